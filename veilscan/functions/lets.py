@@ -1,0 +1,28 @@
+"""Small helpers for building nested Column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def any_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def around(text: Column, start: Column, end: Column, chars: int) -> Column:
+    """``text[max(0, start - chars) : end + chars]`` with 0-based half-open offsets."""
+    left = F.greatest(start - chars, F.lit(0))
+    return F.substring(text, left + 1, end + chars - left)
