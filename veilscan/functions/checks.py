@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def digits_of(value: Column) -> Column:
+def digits_of(value: str) -> str:
     """The value without its non-digit characters (Unicode digits count as digits)."""
-    return F.regexp_replace(value, r"(?U)\D", "")
+    return f"regexp_replace({value}, '(?U)\\\\D', '')"
 
 
 def _dihedral_product(a: int, b: int) -> int:
@@ -28,56 +25,51 @@ def _verhoeff_tables() -> tuple[str, str]:
     return products, "".join(str(d) for row in powers for d in row)
 
 
-_PRODUCTS, _PERMUTED = _verhoeff_tables()
+VERHOEFF_PRODUCTS, VERHOEFF_PERMUTED = _verhoeff_tables()
 
 
-def _digit_at(table: str, index: Column) -> Column:
-    return F.ascii(F.substring(F.lit(table), index + 1, F.lit(1))) - 48
+def _digit_at(table: str, index: str) -> str:
+    return f"(ascii(substring('{table}', {index} + 1, 1)) - 48)"
 
 
-def verhoeff_valid(digits: Column) -> Column:
+def verhoeff_valid(digits: str) -> str:
     """Verhoeff check over an ASCII digit string, last digit being the check digit."""
-    state = F.aggregate(
-        F.split(F.reverse(digits), ""),
-        F.struct(F.lit(0).alias("state"), F.lit(0).alias("pos")),
-        lambda acc, d: F.struct(
-            _digit_at(
-                _PRODUCTS, acc["state"] * 10 + _digit_at(_PERMUTED, (acc["pos"] % 8) * 10 + F.ascii(d) - 48)
-            ).alias("state"),
-            (acc["pos"] + 1).alias("pos"),
-        ),
-        lambda acc: acc["state"],
+    permuted = _digit_at(VERHOEFF_PERMUTED, "(acc.pos % 8) * 10 + ascii(digit) - 48")
+    state = (
+        f"aggregate(split(reverse({digits}), ''), struct(0 AS state, 0 AS pos), (acc, digit) -> struct("
+        f"{_digit_at(VERHOEFF_PRODUCTS, f'acc.state * 10 + {permuted}')} AS state, acc.pos + 1 AS pos), acc -> acc.state)"
     )
-    return F.when(digits.rlike("^[0-9]+$"), state == 0).otherwise(False)
+    return f"CASE WHEN {digits} RLIKE '^[0-9]+$' THEN {state} = 0 ELSE false END"
 
 
-def luhn_valid(value: Column) -> Column:
-    return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
+def luhn_valid(value: str) -> str:
+    return f"luhn_check(regexp_replace({value}, '[^0-9]', ''))"
 
 
-def iban_valid(value: Column) -> Column:
+def iban_valid(value: str) -> str:
     """ISO 13616: country and check digits moved to the end, letters as 10..35, remainder 1 mod 97."""
-    compact = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
-    moved = F.concat(F.substring(compact, 5, 64), F.substring(compact, 1, 4))
-    remainder = F.aggregate(
-        F.split(moved, ""),
-        F.lit(0),
-        lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise(
-            (acc * 100 + F.ascii(c) - 55) % 97
-        ),
+    compact = f"upper(regexp_replace({value}, '[^A-Za-z0-9]', ''))"
+    return (
+        f"aggregate(split(concat(substring({compact}, 5), substring({compact}, 1, 4)), ''), 0, (acc, c) -> "
+        "CASE WHEN c BETWEEN '0' AND '9' THEN (acc * 10 + ascii(c) - 48) % 97 ELSE (acc * 100 + ascii(c) - 55) % 97 END) = 1"
     )
-    return remainder == 1
 
 
-def aadhaar_valid(value: Column, checksum: bool = True) -> Column:
+def aadhaar_valid(value: str, checksum: bool = True) -> str:
     """Twelve digits that pass the checksum; any twelve digits when ``checksum`` is off."""
     digits = digits_of(value)
-    return verhoeff_valid(digits) if checksum else F.length(digits) == 12
+    twelve = f"length({digits}) = 12"
+    return f"({twelve} AND {verhoeff_valid(digits)})" if checksum else f"({twelve})"
+
+
+def phone_length(value: str) -> str:
+    """False unless ten to thirteen digits, else null, which leaves the score as it is."""
+    return f"CASE WHEN length({digits_of(value)}) NOT BETWEEN 10 AND 13 THEN false END"
 
 
-def looks_like_mobile(digits: Column) -> Column:
-    return digits.rlike(r"^[6-9][0-9]{9}$")
+def looks_like_mobile(digits: str) -> str:
+    return f"({digits} RLIKE '^[6-9][0-9]{{9}}$')"
 
 
-def looks_like_aadhaar(digits: Column) -> Column:
-    return digits.rlike(r"^[2-9][0-9]{11}$") & verhoeff_valid(digits)
+def looks_like_aadhaar(digits: str) -> str:
+    return f"({digits} RLIKE '^[2-9][0-9]{{11}}$' AND {verhoeff_valid(digits)})"

@@ -4,64 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .lets import any_of, let
+from .sqltext import any_of, let, text_literal
 
 # Character windows that nearly always hold the wanted tokens; the full text is used where they do not.
 _NEAR_BEFORE = 256
 _NEAR_AFTER = 128
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return any_of(F.contains(text, F.lit(w)) for w in words)
+def contains_any(text: str, words: Iterable[str]) -> str:
+    return any_of(f"contains({text}, {text_literal(w)})" for w in words)
 
 
-def _token_line(text: Column) -> Column:
+def token_line(text: str) -> str:
     """Lower-cased word tokens joined by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
+    return f"trim(regexp_replace(lower({text}), '(?U)\\\\W+', ' '))"
 
 
-def _holds(line: Column, tokens: int) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1 >= tokens
+def _holds(line: str, tokens: int) -> str:
+    return f"length({line}) - length(replace({line}, ' ')) + 1 >= {tokens}"
 
 
-def tokens_before(text: Column, start: Column, count: int) -> Column:
+def tokens_before(text: str, start: str, count: int) -> str:
     """The last ``count`` tokens of ``text[:start]`` as one blank-separated string."""
-    near_start = F.greatest(start - _NEAR_BEFORE, F.lit(0))
-    near = _token_line(F.substring(text, near_start + 1, start - near_start))
+    near = token_line(f"substring({text}, greatest({start} - {_NEAR_BEFORE}, 0) + 1, least({start}, {_NEAR_BEFORE}))")
     # The first token of the short window may be cut, so it must not be among those taken.
-    line = let(
-        near,
-        lambda n: F.when((near_start == 0) | _holds(n, count + 1), n).otherwise(
-            _token_line(F.substring(text, F.lit(1), start))
-        ),
-    )
-    return F.substring_index(line, " ", -count)
-
-
-def tokens_after(text: Column, end: Column, count: int) -> Column:
-    """The first ``count`` tokens of ``text[end:]`` as one blank-separated string."""
-    near = _token_line(F.substring(text, end + 1, F.lit(_NEAR_AFTER)))
-    line = let(
-        near,
-        lambda n: F.when(_holds(n, count + 1), n).otherwise(_token_line(F.substring(text, end + 1, F.length(text)))),
-    )
-    return F.substring_index(line, " ", count)
-
-
-def near_word(text: Column, start: Column, end: Column, words: Iterable[str], before: int, after: int) -> Column:
+    whole = token_line(f"substring({text}, 1, {start})")
+    picked = f"CASE WHEN {start} <= {_NEAR_BEFORE} OR {_holds('line', count + 1)} THEN line ELSE {whole} END"
+    return f"substring_index({let(near, 'line', picked)}, ' ', -{count})"
+
+
+def tokens_after(text: str, stop: str, count: int) -> str:
+    """The first ``count`` tokens of ``text[stop:]`` as one blank-separated string."""
+    near = token_line(f"substring({text}, {stop} + 1, {_NEAR_AFTER})")
+    whole = token_line(f"substring({text}, {stop} + 1)")
+    picked = f"CASE WHEN {_holds('line', count + 1)} THEN line ELSE {whole} END"
+    return f"substring_index({let(near, 'line', picked)}, ' ', {count})"
+
+
+def near_word(text: str, start: str, stop: str, words: Iterable[str], before: int, after: int) -> str:
     """True when a token near the span contains one of ``words``; phrases never fit into one token."""
     single = [w.lower() for w in words if not any(ch.isspace() for ch in w.strip())]
-    if not single:
-        return F.lit(False)
-    tests = []
-    if before > 0:
-        tests.append(contains_any(tokens_before(text, start, before), single))
-    if after > 0:
-        tests.append(contains_any(tokens_after(text, end, after), single))
-    return any_of(tests)
+    sides = []
+    if single and before > 0:
+        sides.append(contains_any(tokens_before(text, start, before), single))
+    if single and after > 0:
+        sides.append(contains_any(tokens_after(text, stop, after), single))
+    return any_of(sides)
 
 
 def boosted(score: float, factor: float, floor: float) -> float:

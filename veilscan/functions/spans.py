@@ -1,54 +1,30 @@
-"""Regex matches with code-point offsets, as a pure Column expression."""
+"""Regex matches with code-point offsets, as a pure SQL expression."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import let, text_literal
 
-from .lets import let
+SPAN_TYPE = "array<struct<start:int,stop:int,value:string>>"
+NO_SPANS = f"cast(array() AS {SPAN_TYPE})"
 
-SPAN_TYPE = "array<struct<start:int,end:int,value:string>>"
 
-
-def no_spans() -> Column:
-    return F.array().cast(SPAN_TYPE)
-
-
-def regex_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of a JVM ``pattern`` as ``array<struct<start, end, value>>``.
+def regex_spans(text: str, pattern: str) -> str:
+    """All non-overlapping matches of a JVM ``pattern`` as ``array<struct<start, stop, value>>``.
 
     Offsets are 0-based half-open code points. A row without a match costs one regex pass; a row with
     matches costs a second pass (``split``) whose gap lengths give the offsets. The pattern must not
     match the empty string.
     """
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-
-    def with_offsets(values: Column) -> Column:
-        # split gives one gap more than there are matches; the last gap carries no match.
-        pieces = F.zip_with(
-            F.split(text, pattern, -1),
-            values,
-            lambda gap, value: F.struct(F.length(gap).alias("skip"), value.alias("value")),
-        )
-        walked = F.aggregate(
-            F.filter(pieces, lambda p: p["value"].isNotNull()),
-            F.struct(F.lit(0).alias("at"), no_spans().alias("out")),
-            lambda acc, p: let(
-                acc["at"] + p["skip"],
-                lambda start: F.struct(
-                    (start + F.length(p["value"])).alias("at"),
-                    F.array_append(
-                        acc["out"],
-                        F.struct(
-                            start.alias("start"),
-                            (start + F.length(p["value"])).alias("end"),
-                            p["value"].alias("value"),
-                        ),
-                    ).alias("out"),
-                ),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(values) == 0, no_spans()).otherwise(walked)
-
-    return let(found, with_offsets)
+    regex = text_literal(pattern)
+    pieces = (
+        f"zip_with(slice(split({text}, {regex}, -1), 1, size(found)), found, "
+        "(gap, value) -> struct(length(gap) AS skip, value AS value))"
+    )
+    walked = f"""aggregate({pieces}, struct(0 AS pos, {NO_SPANS} AS spans),
+        (acc, p) -> struct(
+            acc.pos + p.skip + length(p.value) AS pos,
+            array_append(acc.spans, struct(
+                acc.pos + p.skip AS start, acc.pos + p.skip + length(p.value) AS stop, p.value AS value)) AS spans),
+        acc -> acc.spans)"""
+    found = f"regexp_extract_all(coalesce({text}, ''), {regex}, 0)"
+    return let(found, "found", f"CASE WHEN size(found) = 0 THEN {NO_SPANS} ELSE {walked} END")

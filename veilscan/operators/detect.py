@@ -7,19 +7,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.context import boosted, near_word
-from ..functions.lets import all_of, around, let
 from ..functions.spans import regex_spans
+from ..functions.sqltext import all_of, any_of, around, let, text_literal
 from ..rules import RuleSet
 from .postprocess import ENTITY_PRIORITY, passes_allow_list, passes_rule
 from .recognisers import Pattern, Recogniser
+from .segments import SEGMENT_COLUMNS
 
-# Sort order of the first six fields decides the winner among equal spans.
+# The order of the first six fields decides the winner among equal spans.
 HIT_TYPE = (
-    "array<struct<start:int,end:int,neg_priority:int,neg_score:double,entity:string,ordinal:int,"
+    "array<struct<start:int,stop:int,neg_priority:int,neg_score:double,entity:string,ordinal:int,"
     "recogniser:string,pattern:string,value:string,snippet:string>>"
 )
 
@@ -35,116 +36,115 @@ class Boost:
     scan_wide_words_apply: bool = True
 
 
-def _score(body: Column, span: Column, pattern: Pattern, rec: Recogniser, rules: RuleSet, boost: Boost) -> Column:
-    """Base score, raised to one by a passed check and by the context boost."""
-    base = F.lit(pattern.score)
+@dataclass(frozen=True)
+class DetectOptions:
+    boost: Boost = Boost()
+    allow_list: tuple[str, ...] = ()
+    allow_list_match: str = "exact"
+    snippet_chars: int | None = 24
+
+
+def _number(value: float) -> str:
+    return f"{value!r}D"
+
+
+def score_of(text: str, span: str, pattern: Pattern, rec: Recogniser, rules: RuleSet, boost: Boost) -> str:
+    """Base score, raised by the context boost and set to one by a passed check."""
+    score = _number(pattern.score)
     if boost.enabled and rec.context:
-        raised = boosted(pattern.score, boost.factor, boost.floor)
+        raised = _number(boosted(pattern.score, boost.factor, boost.floor))
         scan_wide = boost.scan_wide_words_apply and any(
             w.lower() in word.lower() for w in rec.context for word in rules.context_words
         )
-        if scan_wide:
-            base = F.lit(raised)
-        else:
-            near = near_word(body, span["start"], span["end"], rec.context, boost.before, boost.after)
-            base = F.when(near, F.lit(raised)).otherwise(base)
+        near = near_word(text, f"{span}.start", f"{span}.stop", rec.context, boost.before, boost.after)
+        score = raised if scan_wide else f"CASE WHEN {near} THEN {raised} ELSE {score} END"
     if rec.validator is not None:
-        base = F.when(rec.validator(span["value"]), F.lit(1.0)).otherwise(base)
-    return base
-
-
-def _pattern_hits(
-    body: Column,
-    lo: Column,
-    hi: Column,
-    pattern: Pattern,
-    rec: Recogniser,
-    ordinal: int,
-    rules: RuleSet,
-    boost: Boost,
-    allow_list: tuple[str, ...],
-    allow_list_match: str,
-    snippet_chars: int | None,
-) -> Column:
-    def survives(span: Column) -> Column:
-        tests = [(span["start"] >= lo) & (span["start"] < hi), passes_allow_list(span["value"], allow_list, allow_list_match)]
-        if rec.validator is not None:
-            tests.append(F.coalesce(rec.validator(span["value"]), F.lit(True)))
-        tests.append(passes_rule(body, span["start"], span["end"], span["value"], rec.entity, rules.rule(rec.entity)))
-        return all_of(tests)
-
-    def hit(span: Column) -> Column:
-        snippet = F.lit(None).cast("string")
-        if snippet_chars is not None:
-            snippet = around(body, span["start"], span["end"], snippet_chars)
-        return F.struct(
-            span["start"].alias("start"),
-            span["end"].alias("end"),
-            F.lit(-ENTITY_PRIORITY.get(rec.entity, 0)).alias("neg_priority"),
-            (-_score(body, span, pattern, rec, rules, boost)).alias("neg_score"),
-            F.lit(rec.entity).alias("entity"),
-            F.lit(ordinal).alias("ordinal"),
-            F.lit(rec.name).alias("recogniser"),
-            F.lit(pattern.name).alias("pattern"),
-            span["value"].alias("value"),
-            snippet.alias("snippet"),
-        )
-
-    hits = F.transform(F.filter(regex_spans(body, pattern.jvm_regex), survives), hit)
-    return F.filter(hits, lambda h: -h["neg_score"] >= F.lit(rules.min_score(rec.entity))).cast(HIT_TYPE)
+        score = f"CASE WHEN {rec.validator(f'{span}.value')} THEN 1.0D ELSE {score} END"
+    return score
 
 
-def same_span_winners(hits: Column) -> Column:
-    """Per (start, end): highest entity priority, then highest score, then entity name.
+def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
+    """The surviving spans of one pattern in the segment columns ``body``, ``lo`` and ``hi``."""
+    tests = ["s.start >= lo", "s.start < hi", passes_allow_list("s.value", options.allow_list, options.allow_list_match)]
+    if rec.validator is not None:
+        tests.append(f"coalesce({rec.validator('s.value')}, true)")
+    tests.append(passes_rule("body", "s.start", "s.stop", "s.value", rec.entity, rules.rule(rec.entity)))
+    snippet = "cast(null AS string)"
+    if options.snippet_chars is not None:
+        snippet = around("body", "s.start", "s.stop", options.snippet_chars)
+    kept = f"filter({regex_spans('body', pattern.jvm_regex)}, s -> {all_of(tests)})"
+    hits = f"""transform({kept}, s -> struct(
+        s.start AS start, s.stop AS stop, {-ENTITY_PRIORITY.get(rec.entity, 0)} AS neg_priority,
+        -({score_of('body', 's', pattern, rec, rules, options.boost)}) AS neg_score,
+        {text_literal(rec.entity)} AS entity, {ordinal} AS ordinal, {text_literal(rec.name)} AS recogniser,
+        {text_literal(pattern.name)} AS pattern, s.value AS value, {snippet} AS snippet))"""
+    return f"cast(filter({hits}, h -> -h.neg_score >= {_number(rules.min_score(rec.entity))}) AS {HIT_TYPE})"
+
+
+def same_span_winners(hits: str) -> str:
+    """Per (start, stop): highest entity priority, then highest score, then entity name.
 
     This also removes duplicates of one entity, keeping the best score. Other overlaps all stay.
     """
     return let(
-        F.array_sort(hits),
-        lambda ordered: F.filter(
-            ordered,
-            lambda h, i: (i == 0)
-            | (F.get(ordered, i - 1)["start"] != h["start"])
-            | (F.get(ordered, i - 1)["end"] != h["end"]),
-        ),
+        f"array_sort({hits})",
+        "o",
+        "filter(o, (h, i) -> i = 0 OR get(o, i - 1).start != h.start OR get(o, i - 1).stop != h.stop)",
     )
 
 
+def _gate_columns(recognisers: list[Recogniser]) -> dict[str, str]:
+    """Cheap per-segment facts that let most segments skip most patterns, computed once each."""
+    words = {p.needs for r in recognisers for p in r.patterns if isinstance(p.needs, str)}
+    gates = {}
+    if any(isinstance(p.needs, int) for r in recognisers for p in r.patterns):
+        # A lower bound of the longest digit run, in the steps the patterns ask for.
+        gates["_run"] = (
+            r"CASE WHEN NOT body RLIKE '(?U)\\d' THEN 0 WHEN NOT body RLIKE '(?U)\\d{4}' THEN 1 "
+            r"WHEN NOT body RLIKE '(?U)\\d{6}' THEN 4 ELSE 6 END"
+        )
+    for i, word in enumerate(sorted(words)):
+        haystack = "body" if word.upper() == word.lower() else "lower(body)"
+        gates[f"_has{i}"] = f"contains({haystack}, {text_literal(word)})"
+    return gates
+
+
+def _gated(hits: str, pattern: Pattern, gates: dict[str, str]) -> str:
+    if pattern.needs is None:
+        return hits
+    if isinstance(pattern.needs, int):
+        test = f"_run >= {pattern.needs}"
+    else:
+        test = next(name for name, sql in gates.items() if sql.endswith(f", {text_literal(pattern.needs)})"))
+    return f"CASE WHEN {test} THEN {hits} ELSE cast(array() AS {HIT_TYPE}) END"
+
+
 def detect(
-    segments: DataFrame,
-    recognisers: list[Recogniser],
-    rules: RuleSet,
-    boost: Boost = Boost(),
-    allow_list: tuple[str, ...] = (),
-    allow_list_match: str = "exact",
-    snippet_chars: int | None = 24,
+    segments: DataFrame, recognisers: list[Recogniser], rules: RuleSet, options: DetectOptions = DetectOptions()
 ) -> DataFrame:
     """One row per surviving span; ``start`` and ``end`` refer to the whole text.
 
     ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along.
     """
-    body, lo, hi = F.col("body"), F.col("lo"), F.col("hi")
-    per_pattern = []
-    ordinal = 0
-    for rec in recognisers:
-        for pattern in rec.patterns:
-            hits = _pattern_hits(
-                body, lo, hi, pattern, rec, ordinal, rules, boost, allow_list, allow_list_match, snippet_chars
-            )
-            ordinal += 1
-            per_pattern.append(hits if rec.gate is None else F.when(rec.gate(body), hits).otherwise(F.array().cast(HIT_TYPE)))
-    found = F.concat(*per_pattern) if per_pattern else F.array().cast(HIT_TYPE)
-    others = [c for c in segments.columns if c not in ("base", "lo", "hi", "body")]
+    gates = _gate_columns(recognisers)
+    patterns = [(p, r) for r in recognisers for p in r.patterns]
+    per_pattern = [_gated(pattern_hits(p, r, i, rules, options), p, gates) for i, (p, r) in enumerate(patterns)]
+    found = f"concat({', '.join([f'cast(array() AS {HIT_TYPE})', *per_pattern])})"
+    others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
+    gated = segments.select("*", *(F.expr(sql).alias(name) for name, sql in gates.items()))
+    if gates and all(p.needs is not None for p, _ in patterns):
+        open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
+        gated = gated.filter(open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.
-    spans = segments.select(*others, "base", F.inline_outer(let(found, same_span_winners))).filter(F.col("entity").isNotNull())
-    return spans.select(
+    spans = gated.select(*others, "base", F.expr(f"inline_outer({same_span_winners(found)})"))
+    return spans.filter(F.col("entity").isNotNull()).select(
         *others,
         F.col("entity").alias("entity_type"),
-        F.col("recogniser"),
-        F.col("pattern"),
+        "recogniser",
+        "pattern",
         (F.col("start") + F.col("base")).alias("start"),
-        (F.col("end") + F.col("base")).alias("end"),
-        F.col("value"),
+        (F.col("stop") + F.col("base")).alias("end"),
+        "value",
         (-F.col("neg_score")).alias("score"),
-        F.col("snippet"),
+        "snippet",
     )

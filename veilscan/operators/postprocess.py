@@ -1,7 +1,7 @@
 """Rule filters and conflict resolution.
 
-The predicates (``passes_*``) work on any span columns, inside an array lambda or on exploded rows. The
-DataFrame operators below them are the table-driven forms with joins and windows.
+The predicates (``passes_*``) are SQL text over any span fields, inside an array lambda or on exploded rows.
+The DataFrame operators below them are the table-driven forms with joins and windows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import digits_of, looks_like_aadhaar, looks_like_mobile
 from ..functions.context import contains_any
-from ..functions.lets import all_of, any_of, around, let
 from ..functions.regexes import RULE_FLAGS, jvm_pattern
+from ..functions.sqltext import all_of, any_of, around, let, text_list, text_literal
 from ..rules import EntityRule
 
 # Entity priorities for equal spans, and the keyword test for short account numbers.
@@ -37,106 +37,99 @@ BANK_KEYWORDS = ("account", "acct", "a/c", "ifsc", "bank", "beneficiary", "iban"
 BANK_WINDOW = 64
 
 
-def normalise(value: Column, mode: str) -> Column:
+def normalise(value: str, mode: str) -> str:
     if mode == "digits":
         return digits_of(value)
-    return F.lower(value) if mode == "lower" else value
+    return f"lower({value})" if mode == "lower" else value
 
 
-def _normalise_text(text: str, mode: str) -> str:
-    if mode == "digits":
-        return "".join(c for c in text if c.isdecimal())
-    return text.lower() if mode == "lower" else text
-
-
-def found_in(value: Column, patterns: list[str]) -> Column:
+def found_in(value: str, patterns: list[str]) -> str:
     """True when any pattern is found in the value, ignoring case."""
-    return any_of(value.rlike(jvm_pattern(p, RULE_FLAGS)) for p in patterns)
+    return any_of(f"{value} RLIKE {text_literal(jvm_pattern(p, RULE_FLAGS))}" for p in patterns)
 
 
-def passes_values(value: Column, rule: EntityRule) -> Column:
+def passes_values(value: str, rule: EntityRule) -> str:
     """Include and exclude lists and length bounds, all on the normalised value."""
     norm = normalise(value, rule.normalization)
+
+    def listed(values: tuple[str, ...]) -> str:
+        return ", ".join(normalise(text_literal(v), rule.normalization) for v in values)
+
     tests = []
     if rule.include_values:
-        tests.append(norm.isin([_normalise_text(v, rule.normalization) for v in rule.include_values]))
+        tests.append(f"{norm} IN ({listed(rule.include_values)})")
     if rule.exclude_values:
-        tests.append(~norm.isin([_normalise_text(v, rule.normalization) for v in rule.exclude_values]))
+        tests.append(f"{norm} NOT IN ({listed(rule.exclude_values)})")
     if rule.min_length is not None:
-        tests.append(F.length(norm) >= rule.min_length)
+        tests.append(f"length({norm}) >= {rule.min_length}")
     if rule.max_length is not None:
-        tests.append(F.length(norm) <= rule.max_length)
+        tests.append(f"length({norm}) <= {rule.max_length}")
     return all_of(tests)
 
 
-def passes_patterns(value: Column, rule: EntityRule) -> Column:
+def passes_patterns(value: str, rule: EntityRule) -> str:
     """Include and exclude patterns, on the raw value. Patterns that do not compile count as not found."""
     tests = []
     if rule.include_patterns:
         tests.append(found_in(value, rule.usable(rule.include_patterns)))
     if rule.exclude_patterns:
-        tests.append(~found_in(value, rule.usable(rule.exclude_patterns)))
+        tests.append("NOT " + found_in(value, rule.usable(rule.exclude_patterns)))
     return all_of(tests)
 
 
-def passes_context(text: Column, start: Column, end: Column, rule: EntityRule) -> Column:
+def passes_context(text: str, start: str, stop: str, rule: EntityRule) -> str:
     """Required and forbidden words as substrings of the window, which includes the span itself."""
-    if not rule.required_context and not rule.forbidden_context:
-        return F.lit(True)
-
-    def test(window: Column) -> Column:
-        tests = []
-        if rule.required_context:
-            tests.append(contains_any(window, rule.required_context))
-        if rule.forbidden_context:
-            tests.append(~contains_any(window, rule.forbidden_context))
-        return all_of(tests)
-
-    return let(F.lower(around(text, start, end, rule.context_window_chars)), test)
+    tests = []
+    if rule.required_context:
+        tests.append(contains_any("win", rule.required_context))
+    if rule.forbidden_context:
+        tests.append("NOT " + contains_any("win", rule.forbidden_context))
+    if not tests:
+        return "true"
+    return let(f"lower({around(text, start, stop, rule.context_window_chars)})", "win", all_of(tests))
 
 
-def passes_bank_guard(text: Column, start: Column, end: Column, value: Column) -> Column:
+def passes_bank_guard(text: str, start: str, stop: str, value: str) -> str:
     """11 to 18 digits, neither a mobile nor a valid Aadhaar number; up to 12 digits need a bank word nearby."""
-
-    def test(digits: Column) -> Column:
-        keyword = contains_any(F.lower(around(text, start, end, BANK_WINDOW)), BANK_KEYWORDS)
-        return (
-            F.length(digits).between(11, 18)
-            & ~looks_like_mobile(digits)
-            & ~looks_like_aadhaar(digits)
-            & ((F.length(digits) > 12) | keyword)
-        )
-
-    return let(digits_of(value), test)
+    keyword = contains_any(f"lower({around(text, start, stop, BANK_WINDOW)})", BANK_KEYWORDS)
+    tests = [
+        "length(num) BETWEEN 11 AND 18",
+        f"NOT {looks_like_mobile('num')}",
+        f"NOT {looks_like_aadhaar('num')}",
+        f"(length(num) > 12 OR {keyword})",
+    ]
+    return let(digits_of(value), "num", all_of(tests))
 
 
-def passes_phone_guard(value: Column) -> Column:
+def passes_phone_guard(value: str) -> str:
     """After country code 91 the ten local digits must start with 6 to 9."""
-    return let(digits_of(value), lambda d: ~d.rlike(r"^91(?=[0-9]{10})") | F.right(d, F.lit(10)).rlike("^[6-9]"))
+    return let(digits_of(value), "num", "(NOT (num LIKE '91%' AND length(num) >= 12) OR right(num, 10) RLIKE '^[6-9]')")
 
 
-def passes_rule(text: Column, start: Column, end: Column, value: Column, entity: str, rule: EntityRule) -> Column:
+def passes_rule(text: str, start: str, stop: str, value: str, entity: str, rule: EntityRule) -> str:
     """All rule filters and guards of one entity, cheapest first."""
-    tests = [F.lit(rule.enabled), passes_values(value, rule), passes_patterns(value, rule)]
+    if not rule.enabled:
+        return "false"
+    tests = [passes_values(value, rule), passes_patterns(value, rule)]
     if entity == "PHONE_NUMBER":
         tests.append(passes_phone_guard(value))
     if entity == "IN_BANK_ACCOUNT":
-        tests.append(passes_bank_guard(text, start, end, value))
-    return all_of([*tests, passes_context(text, start, end, rule)])
+        tests.append(passes_bank_guard(text, start, stop, value))
+    return all_of([*tests, passes_context(text, start, stop, rule)])
 
 
-def passes_allow_list(value: Column, allow_list: tuple[str, ...], match: str = "exact") -> Column:
+def passes_allow_list(value: str, allow_list: tuple[str, ...], match: str = "exact") -> str:
     """False for allowed values, which are not reported."""
     if not allow_list:
-        return F.lit(True)
+        return "true"
     if match == "regex":
-        return ~any_of(value.rlike(jvm_pattern(p)) for p in allow_list)
-    return ~value.isin(list(allow_list))
+        return "NOT " + any_of(f"{value} RLIKE {text_literal(jvm_pattern(p))}" for p in allow_list)
+    return f"{value} NOT IN ({text_list(allow_list)})"
 
 
-def priority_of(entity: Column) -> Column:
-    pairs = [F.lit(x) for item in ENTITY_PRIORITY.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), entity), F.lit(0))
+def priority_of(entity: str) -> Column:
+    pairs = ", ".join(f"'{name}', {rank}" for name, rank in ENTITY_PRIORITY.items())
+    return F.expr(f"coalesce(try_element_at(map({pairs}), {entity}), 0)")
 
 
 def _best(spans: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -151,5 +144,5 @@ def dedup_spans(spans: DataFrame, source: str = "source_id") -> DataFrame:
 
 def resolve_same_span(spans: DataFrame, source: str = "source_id") -> DataFrame:
     """Per (source, start, end): highest priority, then highest score, then entity name."""
-    order = [priority_of(F.col("entity_type")).desc(), F.desc("score"), F.asc("entity_type")]
+    order = [priority_of("entity_type").desc(), F.desc("score"), F.asc("entity_type")]
     return _best(spans, [source, "start", "end"], order)

@@ -6,28 +6,32 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import checks
 from ..functions.regexes import PLAIN_FLAGS, compiles, jvm_pattern, literal, matches_empty
 from ..rules import RuleSet
 
-ColumnTest = Callable[[Column], Column]
+SqlTest = Callable[[str], str]
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A named regex in Python syntax with its base score. ``jvm`` replaces the translated form when given."""
+    """A named regex in Python syntax with its base score. ``jvm`` replaces the translated form when given.
+
+    ``needs`` names something every match contains, so that texts without it are skipped cheaply: a lower-case
+    substring, or the length (1, 4 or 6) of a run of digits.
+    """
 
     name: str
     regex: str
     score: float = 0.5
+    needs: str | int | None = None
     jvm: str | None = None
 
     def __post_init__(self) -> None:
         if matches_empty(self.regex):
             raise ValueError(f"pattern {self.name!r} matches the empty string")
+        if isinstance(self.needs, int) and self.needs not in (1, 4, 6):
+            raise ValueError("a needed digit run is 1, 4 or 6 long")
 
     @property
     def jvm_regex(self) -> str:
@@ -36,33 +40,13 @@ class Pattern:
 
 @dataclass(frozen=True)
 class Recogniser:
-    """``validator`` maps a matched value to true (score becomes 1), false (dropped) or null (unchanged).
-
-    ``gate`` is a cheap test on the whole text that is true for every text the patterns can match.
-    """
+    """``validator`` maps a value, as SQL text, to true (score becomes 1), false (dropped) or null (unchanged)."""
 
     entity: str
     name: str
     patterns: tuple[Pattern, ...]
     context: tuple[str, ...] = ()
-    validator: ColumnTest | None = None
-    gate: ColumnTest | None = None
-
-
-def _has_at(text: Column) -> Column:
-    return F.contains(text, F.lit("@"))
-
-
-def _has_digit(text: Column) -> Column:
-    return text.rlike(r"(?U)\d")
-
-
-def _has_digit_run(text: Column) -> Column:
-    return text.rlike(r"(?U)\d{4}")
-
-
-def _has_six_digits(text: Column) -> Column:
-    return text.rlike(r"(?U)\d{6}")
+    validator: SqlTest | None = None
 
 
 # Patterns, base scores, context words and handle domains of the India identifiers.
@@ -97,84 +81,44 @@ URL = r"\bhttps?://[^\s<>\"']+"
 ISO_DATE = r"(?<!\d)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)"
 
 
-def _phone_length(value: Column) -> Column:
-    """Ten to thirteen digits, otherwise no phone number; the score stays as it is."""
-    return F.when(~F.length(checks.digits_of(value)).between(10, 13), False)
-
-
 def india_recognisers(custom: Mapping[str, Any]) -> list[Recogniser]:
     domains = custom.get("upi_handle_domains") or UPI_DOMAINS
     strict = UPI_STRICT.replace("DOMAINS", "|".join(literal(str(d)) for d in domains))
-    upi = [Pattern("upi_strict", strict, 0.7)]
+    upi = [Pattern("upi_strict", strict, 0.7, "@")]
     if custom.get("upi_generic_pattern", False):
-        upi.append(Pattern("upi_generic", UPI_GENERIC, 0.45))
+        upi.append(Pattern("upi_generic", UPI_GENERIC, 0.45, "@"))
     checksum = bool(custom.get("aadhaar_checksum_validation", True))
+    aadhaar = Recogniser(
+        "IN_AADHAAR",
+        "IN_AADHAAR_RECOGNIZER",
+        (Pattern("aadhaar_strict", AADHAAR, 0.35, 4),),
+        AADHAAR_CONTEXT,
+        lambda value: checks.aadhaar_valid(value, checksum),
+    )
     return [
-        Recogniser(
-            "IN_AADHAAR",
-            "IN_AADHAAR_RECOGNIZER",
-            (Pattern("aadhaar_strict", AADHAAR, 0.35),),
-            AADHAAR_CONTEXT,
-            validator=lambda value: checks.aadhaar_valid(value, checksum),
-            gate=_has_digit_run,
-        ),
-        Recogniser("IN_PAN", "IN_PAN_RECOGNIZER", (Pattern("pan_regex", PAN, 0.55),), PAN_CONTEXT, gate=_has_digit_run),
-        Recogniser("IN_IFSC", "IN_IFSC_RECOGNIZER", (Pattern("ifsc_regex", IFSC, 0.6),), IFSC_CONTEXT, gate=_has_digit),
-        Recogniser("IN_UPI_ID", "IN_UPI_RECOGNIZER", tuple(upi), UPI_CONTEXT, gate=_has_at),
-        Recogniser(
-            "IN_PASSPORT",
-            "IN_PASSPORT_RECOGNIZER",
-            (Pattern("passport_regex", PASSPORT, 0.55),),
-            PASSPORT_CONTEXT,
-            gate=_has_six_digits,
-        ),
-        Recogniser(
-            "IN_BANK_ACCOUNT",
-            "IN_BANK_ACCOUNT_RECOGNIZER",
-            (Pattern("bank_account_regex", BANK_ACCOUNT, 0.35),),
-            BANK_CONTEXT,
-            gate=_has_six_digits,
-        ),
+        aadhaar,
+        Recogniser("IN_PAN", "IN_PAN_RECOGNIZER", (Pattern("pan_regex", PAN, 0.55, 4),), PAN_CONTEXT),
+        Recogniser("IN_IFSC", "IN_IFSC_RECOGNIZER", (Pattern("ifsc_regex", IFSC, 0.6, 1),), IFSC_CONTEXT),
+        Recogniser("IN_UPI_ID", "IN_UPI_RECOGNIZER", tuple(upi), UPI_CONTEXT),
+        Recogniser("IN_PASSPORT", "IN_PASSPORT_RECOGNIZER", (Pattern("passport_regex", PASSPORT, 0.55, 6),), PASSPORT_CONTEXT),
+        Recogniser("IN_BANK_ACCOUNT", "IN_BANK_ACCOUNT_RECOGNIZER", (Pattern("bank_account_regex", BANK_ACCOUNT, 0.35, 6),), BANK_CONTEXT),
     ]
 
 
 def general_recognisers() -> list[Recogniser]:
     """The built-in general entities. Patterns and scores are this library's own."""
+    phone_context = ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call")
+    card_context = ("credit", "card", "visa", "mastercard", "amex", "discover", "jcb", "diners", "maestro")
+    ip_patterns = (Pattern("ipv4", IPV4, 0.6, 1), Pattern("ipv6", IPV6, 0.6, ":"))
+    iban = Pattern("iban", IBAN, 0.5, 1, jvm_pattern(IBAN, PLAIN_FLAGS))
     return [
-        Recogniser("EMAIL_ADDRESS", "EmailRecognizer", (Pattern("email", EMAIL, 0.9, EMAIL_JVM),), ("email",), gate=_has_at),
-        Recogniser(
-            "PHONE_NUMBER",
-            "PhoneRecognizer",
-            (Pattern("phone", PHONE, 0.4),),
-            ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"),
-            validator=_phone_length,
-            gate=_has_digit,
-        ),
-        Recogniser(
-            "CREDIT_CARD",
-            "CreditCardRecognizer",
-            (Pattern("credit_card", CARD, 0.3),),
-            ("credit", "card", "visa", "mastercard", "amex", "discover", "jcb", "diners", "maestro"),
-            validator=checks.luhn_valid,
-            gate=_has_digit,
-        ),
-        Recogniser(
-            "IBAN_CODE",
-            "IbanRecognizer",
-            (Pattern("iban", IBAN, 0.5, jvm_pattern(IBAN, PLAIN_FLAGS)),),
-            ("iban", "bank", "transaction"),
-            validator=checks.iban_valid,
-            gate=_has_digit,
-        ),
-        Recogniser(
-            "IP_ADDRESS",
-            "IpRecognizer",
-            (Pattern("ipv4", IPV4, 0.6), Pattern("ipv6", IPV6, 0.6)),
-            ("ip", "ipv4", "ipv6"),
-            gate=_has_digit,
-        ),
-        Recogniser("URL", "UrlRecognizer", (Pattern("url", URL, 0.5),), ("url", "website", "link"), gate=lambda t: F.contains(t, F.lit("://"))),
-        Recogniser("DATE_TIME", "DateRecognizer", (Pattern("iso_date", ISO_DATE, 0.5),), ("date", "birthday"), gate=_has_digit_run),
+        Recogniser("EMAIL_ADDRESS", "EmailRecognizer", (Pattern("email", EMAIL, 0.9, "@", EMAIL_JVM),), ("email",)),
+        Recogniser("PHONE_NUMBER", "PhoneRecognizer", (Pattern("phone", PHONE, 0.4, 1),), phone_context, checks.phone_length),
+        Recogniser("CREDIT_CARD", "CreditCardRecognizer", (Pattern("credit_card", CARD, 0.3, 4),), card_context, checks.luhn_valid),
+        Recogniser("IBAN_CODE", "IbanRecognizer", (iban,), ("iban", "bank", "transaction"), checks.iban_valid),
+        Recogniser("IP_ADDRESS", "IpRecognizer", ip_patterns, ("ip", "ipv4", "ipv6")),
+        Recogniser("URL", "UrlRecognizer", (Pattern("url", URL, 0.5, "://"),), ("url", "website", "link")),
+        Recogniser("DATE_TIME", "DateRecognizer", (Pattern("iso_date", ISO_DATE, 0.5, 4),), ("date", "birthday")),
     ]
 
 
@@ -185,7 +129,7 @@ def declared_recognisers(rules: RuleSet) -> list[Recogniser]:
         entity, name = (str(item.get(key) or "").strip() for key in ("entity", "name"))
         declared = [p for p in item.get("patterns") or () if isinstance(p, Mapping)]
         patterns = tuple(
-            Pattern(str(p["name"]).strip(), str(p["regex"]).strip(), float(p.get("score", 0.5)))
+            Pattern(str(p["name"]).strip(), str(p["regex"]).strip(), float(p.get("score", 0.5)), p.get("needs"))
             for p in declared
             if str(p.get("name") or "").strip() and str(p.get("regex") or "").strip() and compiles(str(p["regex"]).strip())
         )

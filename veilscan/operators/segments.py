@@ -3,49 +3,34 @@
 Each segment is a core of ``size`` characters with a margin of neighbouring text on both sides. Only matches
 that start in the core are kept, so every match of the text is found in exactly one segment and offsets,
 deduplication and same-span resolution need nothing outside it. Results equal a scan of the whole text for
-matches shorter than the margin.
+matches and context shorter than the margin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lets import let
+from ..functions.sqltext import let
 
+SEGMENT_COLUMNS = ("base", "lo", "hi", "body")
 
-def segments_of(text: Column, size: int, margin: int) -> Column:
-    """``array<struct<base, lo, hi, body>>``: ``body`` starts at offset ``base``, its core is ``[lo, hi)``."""
 
-    def segment(base: Column, lo: Column, core_length: Column, body: Column) -> Column:
-        return F.struct(
-            base.cast("int").alias("base"),
-            lo.cast("int").alias("lo"),
-            (lo + core_length).cast("int").alias("hi"),
-            body.alias("body"),
-        )
-
-    def cut(blocks: Column) -> Column:
-        def neighbour(index: Column) -> Column:
-            return F.coalesce(F.get(blocks, index), F.lit(""))
-
-        return F.transform(
-            blocks,
-            lambda block, i: let(
-                F.right(neighbour(i - 1), F.lit(margin)),
-                lambda left: segment(
-                    i * size - F.length(left),
-                    F.length(left),
-                    F.length(block),
-                    F.concat(left, block, F.left(neighbour(i + 1), F.lit(margin))),
-                ),
-            ),
-        )
-
-    whole = F.array(segment(F.lit(0), F.lit(0), F.length(text), text))
+def segments_of(text: str, size: int, margin: int) -> str:
+    """``array<struct<base, lo, hi, body>>``: ``body`` starts at offset ``base``, its core is ``[lo, hi)``."""
+    whole = f"array(struct(0 AS base, 0 AS lo, length({text}) AS hi, {text} AS body))"
+    if size <= 0:
+        return whole
+    if margin > size:
+        raise ValueError("the margin must not exceed the segment size")
+    left = f"CASE WHEN i = 0 THEN '' ELSE right(blocks[i - 1], {margin}) END"
+    right = f"CASE WHEN i = size(blocks) - 1 THEN '' ELSE left(blocks[i + 1], {margin}) END"
+    cut = f"""transform(blocks, (block, i) -> {let(left, 'pre', f'''struct(
+        i * {size} - length(pre) AS base, length(pre) AS lo, length(pre) + length(block) AS hi,
+        concat(pre, block, {right}) AS body)''')})"""
     # One linear pass cuts the text into blocks of ``size`` code points.
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    return F.when(F.length(text) <= size, whole).otherwise(let(blocks, cut))
+    blocks = f"regexp_extract_all({text}, '(?s).{{1,{size}}}', 0)"
+    return f"CASE WHEN length({text}) <= {size} THEN {whole} ELSE {let(blocks, 'blocks', cut)} END"
 
 
 def explode_segments(records: DataFrame, text: str, size: int, margin: int) -> DataFrame:
@@ -53,11 +38,7 @@ def explode_segments(records: DataFrame, text: str, size: int, margin: int) -> D
 
     Texts without any non-blank character have nothing to find and yield no row.
     """
-    if size <= 0:
-        cut = F.array(F.struct(F.lit(0).alias("base"), F.lit(0).alias("lo"), F.length(text).alias("hi"), F.col(text).alias("body")))
-    else:
-        if margin > size:
-            raise ValueError("the margin must not exceed the segment size")
-        cut = segments_of(F.col(text), size, margin)
     others = [c for c in records.columns if c != text]
-    return records.filter(F.col(text).rlike(r"(?U)\S")).select(*others, F.inline(cut))
+    return records.filter(F.col(text).rlike(r"(?U)\S")).select(
+        *others, F.expr(f"inline({segments_of(f'`{text}`', size, margin)})")
+    )
