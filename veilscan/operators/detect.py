@@ -42,6 +42,8 @@ class DetectOptions:
     allow_list: tuple[str, ...] = ()
     allow_list_match: str = "exact"
     snippet_chars: int | None = 24
+    # Off: every surviving span of every pattern, for the table-driven operators.
+    resolve: bool = True
 
 
 def _number(value: float) -> str:
@@ -136,7 +138,7 @@ def detect(
         open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
         gated = gated.filter(open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.
-    spans = gated.select(*others, "base", F.expr(f"inline_outer({same_span_winners(found)})"))
+    spans = gated.select(*others, "base", F.expr(f"inline_outer({same_span_winners(found) if options.resolve else found})"))
     return spans.filter(F.col("entity").isNotNull()).select(
         *others,
         F.col("entity").alias("entity_type"),
