@@ -24,7 +24,7 @@ from veilscan.schemas import SKIP, SOURCE
 from veilscan.sources import files as fs
 from veilscan.sources import tables as tb
 from veilscan.sources.docx import extract_documents
-from veilscan.sources.records import text_records, union_all
+from veilscan.sources.records import spread, text_records, union_all
 
 from .derived import ACCOUNT_CUT, CUSTOMER_TEXT, EMAIL, HANDLE, K, ORDER_TEXT
 from .docx_build import build_documents
@@ -43,12 +43,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes as fewer files than cores; larger tables keep their partitions."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -57,6 +51,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
 
 
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole page behind its address."""
+    text = F.concat(F.lit("Link <"), "url", F.lit("> of page "), "page_id", F.lit(": "), "html")
+    return spread(load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.alias("text")))
+
+
 def customer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "customer")).selectExpr("c_custkey AS id", f"{CUSTOMER_TEXT} AS text")
 
@@ -118,7 +118,7 @@ def ipv6_spans(spark, sf_dir):
 
 @query
 def url_spans(spark, sf_dir):
-    return spans(pages(spark, sf_dir), GENERAL["URL"].patterns[0])
+    return spans(page_links(spark, sf_dir), GENERAL["URL"].patterns[0])
 
 
 @query
@@ -267,7 +267,7 @@ def entity_threshold(spark, sf_dir):
 
 
 def _bank_like(rule: EntityRule) -> ScanSpec:
-    """Digit runs of documents under one entity rule, without the account guard."""
+    """Digit runs under one entity rule, without the account guard."""
     digits = Recogniser("DIGIT_RUN", "digit_run", (Pattern("digit_run", rec.BANK_ACCOUNT, 0.5, 6),))
     return only(digits, rules=RuleSet(score_threshold=0.0, entity_rules={"DIGIT_RUN": rule}))
 
@@ -293,7 +293,7 @@ def include_exclude_patterns(spark, sf_dir):
 
 @query
 def length_bounds(spark, sf_dir):
-    return scanned(documents(spark, sf_dir), _bank_like(EntityRule(normalization="digits", min_length=10, max_length=15)))
+    return scanned(order_text(spark, sf_dir), _bank_like(EntityRule(normalization="digits", min_length=13, max_length=15)))
 
 
 @query
@@ -362,7 +362,7 @@ def dedup_spans_best_score(spark, sf_dir):
 def same_span_winner(spark, sf_dir):
     """Window form of the winner rule over the raw spans."""
     raw = scan_text(order_text(spark, sf_dir), "text", _overlapping())
-    winners = resolve_same_span(dedup_spans(raw, "id"), "id")
+    winners = resolve_same_span(raw, "id")
     return winners.withColumn("score", F.round("score", 4)).select(*SPAN_COLUMNS)
 
 
@@ -407,6 +407,12 @@ def scan_pages(spark, sf_dir):
     return _scan(pages(spark, sf_dir), "default")
 
 
+@query
+def scan_page_links_dev(spark, sf_dir):
+    """The dev environment also reports URLs and dates."""
+    return _scan(page_links(spark, sf_dir), "dev")
+
+
 @query
 def scan_customer_text(spark, sf_dir):
     return _scan(customer_text(spark, sf_dir), "default")
@@ -619,7 +625,7 @@ ENVIRONMENTS = ("default", "dev", "qa", "prod")
 def _pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unruled spans of the general entities in pages, counted once."""
     wanted = [GENERAL[e] for e in ("EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "URL", "PHONE_NUMBER")]
-    return scanned(pages(spark, sf_dir), only(*wanted, boost=NO_BOOST)).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return scanned(page_links(spark, sf_dir), only(*wanted, boost=NO_BOOST)).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -715,7 +721,7 @@ def column_name_pii(spark, sf_dir):
 def _value_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     customer = spread(load(spark, sf_dir, "customer"))
     contact = customer.selectExpr(
-        "c_custkey", f"{EMAIL} AS contact", f"{HANDLE} AS login", "c_name", "c_mktsegment",
+        "c_custkey", f"{EMAIL} AS contact_email", f"{HANDLE} AS login", "c_name", "c_mktsegment",
         f"CASE WHEN {K} % 4 = 0 THEN NULL WHEN {K} % 4 = 3 THEN 'unknown' ELSE concat('10.0.', CAST({K} % 250 AS STRING), '.', CAST(c_nationkey AS STRING)) END AS origin",
     )
     ledger = spread(load(spark, sf_dir, "orders")).selectExpr(f"{ACCOUNT_CUT} AS ref", "o_orderpriority", "o_orderstatus")

@@ -88,21 +88,21 @@ def discover_columns(
 ) -> DataFrame:
     """Flagged (schema, table, column, pii_type): the name suggests it or enough non-null values hold it.
 
-    Table keys are ``table`` or ``schema.table``.
+    Table keys are ``table`` or ``schema.table``. Values are tested in string columns, names in all columns.
     """
-    profiles = []
+    profiles, names = [], []
     for key, table in tables.items():
         schema, _, name = key.rpartition(".")
         profiles.append(value_profile(table, name, recognisers, schema))
+        names.extend((schema, name, column) for column in table.columns)
     profile = reduce(DataFrame.unionByName, profiles)
-    by_name = reduce(
-        lambda acc, e: acc.when(F.col("pii_type") == e, name_matches("column", e)),
-        COLUMN_NAME_PATTERNS,
-        F.when(F.lit(False), False),
-    )
     rate = F.when(F.col("non_null") > 0, F.col("hits") / F.col("non_null")).otherwise(0.0)
-    scored = profile.withColumn("by_name", F.coalesce(by_name, F.lit(False))).withColumn("hit_rate", F.round(rate, 4))
-    return scored.withColumn("by_value", rate >= min_hit_rate).filter("by_name OR by_value")
+    by_value = profile.withColumn("hit_rate", F.round(rate, 4)).withColumn("by_value", rate >= min_hit_rate)
+    # Both sides have a row per column and entity at most.
+    by_name = column_names_pii(profile.sparkSession.createDataFrame(names, "schema string, table string, column string"))
+    keys = ["schema", "table", "column", "pii_type"]
+    both = by_value.join(by_name.withColumn("by_name", F.lit(True)), keys, "full")
+    return both.na.fill(False, ["by_name", "by_value"]).filter("by_name OR by_value")
 
 
 # The names a detector may give each output column, in order of preference.

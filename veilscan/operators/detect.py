@@ -15,9 +15,11 @@ from ..functions.spans import regex_spans
 from ..functions.sqltext import all_of, any_of, around, let, text_literal
 from ..rules import RuleSet
 from .postprocess import ENTITY_PRIORITY, passes_allow_list, passes_rule
-from .recognisers import Pattern, Recogniser
+from .recognisers import ModelRecogniser, Pattern, Recogniser
 from .segments import SEGMENT_COLUMNS
 
+AnyRecogniser = Recogniser | ModelRecogniser
+
 # The order of the first six fields decides the winner among equal spans.
 HIT_TYPE = (
     "array<struct<start:int,stop:int,neg_priority:int,neg_score:double,entity:string,ordinal:int,"
@@ -50,37 +52,56 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def score_of(text: str, span: str, pattern: Pattern, rec: Recogniser, rules: RuleSet, boost: Boost) -> str:
-    """Base score, raised by the context boost and set to one by a passed check."""
-    score = _number(pattern.score)
+def score_of(text: str, span: str, base: float | str, rec: AnyRecogniser, rules: RuleSet, boost: Boost) -> str:
+    """Base score, a number or SQL text, raised by the context boost and set to one by a passed check."""
+    score = base if isinstance(base, str) else _number(base)
     if boost.enabled and rec.context:
-        raised = _number(boosted(pattern.score, boost.factor, boost.floor))
+        if isinstance(base, str):
+            raised = f"least(1.0D, greatest({base} + {_number(boost.factor)}, {_number(boost.floor)}))"
+        else:
+            raised = _number(boosted(base, boost.factor, boost.floor))
         scan_wide = boost.scan_wide_words_apply and any(
             w.lower() in word.lower() for w in rec.context for word in rules.context_words
         )
         near = near_word(text, f"{span}.start", f"{span}.stop", rec.context, boost.before, boost.after)
         score = raised if scan_wide else f"CASE WHEN {near} THEN {raised} ELSE {score} END"
-    if rec.validator is not None:
+    if isinstance(rec, Recogniser) and rec.validator is not None:
         score = f"CASE WHEN {rec.validator(f'{span}.value')} THEN 1.0D ELSE {score} END"
     return score
 
 
-def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
-    """The surviving spans of one pattern in the segment columns ``body``, ``lo`` and ``hi``."""
+def _surviving(
+    found: str, entity: str, rec: AnyRecogniser, pattern: str, base: float | str, ordinal: int, rules: RuleSet, options: DetectOptions
+) -> str:
+    """The spans in ``found`` that pass allow list, check, rules and thresholds, with score and provenance."""
     tests = ["s.start >= lo", "s.start < hi", passes_allow_list("s.value", options.allow_list, options.allow_list_match)]
-    if rec.validator is not None:
+    if isinstance(rec, Recogniser) and rec.validator is not None:
         tests.append(f"coalesce({rec.validator('s.value')}, true)")
-    tests.append(passes_rule("body", "s.start", "s.stop", "s.value", rec.entity, rules.rule(rec.entity)))
+    tests.append(passes_rule("body", "s.start", "s.stop", "s.value", entity, rules.rule(entity)))
     snippet = "cast(null AS string)"
     if options.snippet_chars is not None:
         snippet = around("body", "s.start", "s.stop", options.snippet_chars)
-    kept = f"filter({regex_spans('body', pattern.jvm_regex)}, s -> {all_of(tests)})"
-    hits = f"""transform({kept}, s -> struct(
-        s.start AS start, s.stop AS stop, {-ENTITY_PRIORITY.get(rec.entity, 0)} AS neg_priority,
-        -({score_of('body', 's', pattern, rec, rules, options.boost)}) AS neg_score,
-        {text_literal(rec.entity)} AS entity, {ordinal} AS ordinal, {text_literal(rec.name)} AS recogniser,
-        {text_literal(pattern.name)} AS pattern, s.value AS value, {snippet} AS snippet))"""
-    return f"cast(filter({hits}, h -> -h.neg_score >= {_number(rules.min_score(rec.entity))}) AS {HIT_TYPE})"
+    hits = f"""transform(filter({found}, s -> {all_of(tests)}), s -> struct(
+        s.start AS start, s.stop AS stop, {-ENTITY_PRIORITY.get(entity, 0)} AS neg_priority,
+        -({score_of('body', 's', base, rec, rules, options.boost)}) AS neg_score,
+        {text_literal(entity)} AS entity, {ordinal} AS ordinal, {text_literal(rec.name)} AS recogniser,
+        {text_literal(pattern)} AS pattern, s.value AS value, {snippet} AS snippet))"""
+    return f"cast(filter({hits}, h -> -h.neg_score >= {_number(rules.min_score(entity))}) AS {HIT_TYPE})"
+
+
+def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
+    """The surviving spans of one pattern in the segment columns ``body``, ``lo`` and ``hi``."""
+    found = regex_spans("body", pattern.jvm_regex)
+    return _surviving(found, rec.entity, rec, pattern.name, pattern.score, ordinal, rules, options)
+
+
+def model_hits(column: str, entity: str, rec: ModelRecogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
+    """The surviving spans of one entity among those a model found in the segment."""
+    found = (
+        f"transform(filter({column}, m -> m.entity = {text_literal(entity)}), m -> struct(int(m.start) AS start, "
+        "int(m.stop) AS stop, substring(body, m.start + 1, m.stop - m.start) AS value, double(m.score) AS score))"
+    )
+    return _surviving(found, entity, rec, "model", "s.score", ordinal, rules, options)
 
 
 def same_span_winners(hits: str) -> str:
@@ -122,24 +143,38 @@ def _gated(hits: str, pattern: Pattern, gates: dict[str, str]) -> str:
 
 
 def detect(
-    segments: DataFrame, recognisers: list[Recogniser], rules: RuleSet, options: DetectOptions = DetectOptions()
+    segments: DataFrame,
+    recognisers: list[Recogniser],
+    rules: RuleSet,
+    options: DetectOptions = DetectOptions(),
+    models: tuple[ModelRecogniser, ...] = (),
 ) -> DataFrame:
     """One row per surviving span; ``start`` and ``end`` refer to the whole text.
 
     ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along.
     """
+    others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
     gates = _gate_columns(recognisers)
     patterns = [(p, r) for r in recognisers for p in r.patterns]
-    per_pattern = [_gated(pattern_hits(p, r, i, rules, options), p, gates) for i, (p, r) in enumerate(patterns)]
-    found = f"concat({', '.join([f'cast(array() AS {HIT_TYPE})', *per_pattern])})"
-    others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
-    gated = segments.select("*", *(F.expr(sql).alias(name) for name, sql in gates.items()))
-    if gates and all(p.needs is not None for p, _ in patterns):
+    parts = [f"cast(array() AS {HIT_TYPE})"]
+    parts += [_gated(pattern_hits(p, r, i, rules, options), p, gates) for i, (p, r) in enumerate(patterns)]
+    for m, model in enumerate(models):
+        wanted = [e for e in model.entities if rules.wants(e)]
+        parts += [model_hits(f"_model{m}", e, model, len(patterns) + m, rules, options) for e in wanted]
+    found = f"concat({', '.join(parts)})"
+
+    gated = segments.select(
+        "*",
+        *(F.expr(sql).alias(name) for name, sql in gates.items()),
+        *(model.find(F.col("body")).alias(f"_model{m}") for m, model in enumerate(models)),
+    )
+    if gates and not models and all(p.needs is not None for p, _ in patterns):
         open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
         gated = gated.filter(open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.
-    spans = gated.select(*others, "base", F.expr(f"inline_outer({same_span_winners(found) if options.resolve else found})"))
-    return spans.filter(F.col("entity").isNotNull()).select(
+    hits = same_span_winners(found) if options.resolve else found
+    spans = gated.select(*others, "base", F.expr(f"inline_outer({hits})")).filter(F.col("entity").isNotNull())
+    return spans.select(
         *others,
         F.col("entity").alias("entity_type"),
         "recogniser",

@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column
+
 from ..functions import checks
 from ..functions.regexes import PLAIN_FLAGS, compiles, jvm_pattern, literal, matches_empty
 from ..rules import RuleSet
@@ -49,6 +51,19 @@ class Recogniser:
     validator: SqlTest | None = None
 
 
+@dataclass(frozen=True)
+class ModelRecogniser:
+    """Spans from a model: ``find`` maps a text column to ``array<struct<entity, start, stop, score>>``.
+
+    ``find`` is typically a pandas UDF. It sees one segment at a time, with offsets relative to it.
+    """
+
+    name: str
+    entities: tuple[str, ...]
+    find: Callable[[Column], Column]
+    context: tuple[str, ...] = ()
+
+
 # Patterns, base scores, context words and handle domains of the India identifiers.
 AADHAAR = r"(?<!\d)(?:[2-9]\d{3}\s?\d{4}\s?\d{4})(?!\d)"
 PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"

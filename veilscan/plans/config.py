@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from ..operators.detect import Boost, DetectOptions
-from ..operators.recognisers import UPI_DOMAINS, Recogniser
+from ..operators.recognisers import UPI_DOMAINS, ModelRecogniser, Recogniser
 from ..rules import RuleSet, choose_environment, merge_layers, read_layer, resolve_rules
 from ..sources.files import FileOutput, Location
 from .rulesets import BASE, ENVIRONMENTS, LISTED_ENTITIES
@@ -78,6 +78,7 @@ class ScanSpec:
     segment_chars: int = 4096
     overlap_chars: int = 500
     extra_recognisers: tuple[Recogniser, ...] = ()
+    models: tuple[ModelRecogniser, ...] = ()
     locations: tuple[Location, ...] = ()
     files: FileOutput = FileOutput()
     plugins: tuple[str, ...] = ("filesystem",)

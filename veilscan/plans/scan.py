@@ -23,7 +23,8 @@ def scan_text(table: DataFrame, text: str, spec: ScanSpec) -> DataFrame:
     """Spans of one text column; the other columns of the table are carried along."""
     size = spec.segment_chars
     segments = explode_segments(table, text, size, min(spec.margin_chars, size) if size > 0 else 0)
-    return detect(segments, select_recognisers(spec.rules, spec.extra_recognisers), spec.rules, spec.detect)
+    recognisers = select_recognisers(spec.rules, spec.extra_recognisers)
+    return detect(segments, recognisers, spec.rules, spec.detect, spec.models)
 
 
 def find_in_records(records: DataFrame, spec: ScanSpec) -> DataFrame:

@@ -15,6 +15,12 @@ RECORD_COLUMNS = [
 ]
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits than cores; larger tables keep their partitions."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def text_records(table: DataFrame, name: str, id_column: str, text_column: str, hash_text: bool = False) -> DataFrame:
     """One record per row of a table, its text taken whole from one column. ``id_column`` must be unique."""
     path = F.concat(F.lit(f"table://{name}/"), F.col(id_column).cast("string"))
