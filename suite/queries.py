@@ -134,7 +134,7 @@ def bank_digit_spans(spark, sf_dir):
 @query
 def phone_spans(spark, sf_dir):
     found = spans(documents(spark, sf_dir), GENERAL["PHONE_NUMBER"].patterns[0])
-    return found.filter(F.expr(f"coalesce({checks.phone_length('value')}, true)"))
+    return found.filter(F.expr(checks.phone_length(checks.digits_of("value"))))
 
 
 @query
@@ -204,7 +204,7 @@ def credit_card_luhn(spark, sf_dir):
         spans(texts(spark, sf_dir), card).withColumn("source", F.lit(name))
         for name, texts in (("documents", documents), ("pages", pages))
     ]
-    return union_all(both).withColumn("valid", F.expr(checks.luhn_valid("value")))
+    return union_all(both).withColumn("valid", F.expr(checks.luhn_valid(checks.digits_of("value"))))
 
 
 @query
@@ -216,7 +216,7 @@ def iban_mod97(spark, sf_dir):
 @query
 def aadhaar_verhoeff(spark, sf_dir):
     found = spans(order_text(spark, sf_dir), INDIA["IN_AADHAAR"].patterns[0])
-    return found.withColumn("valid", F.expr(checks.aadhaar_valid("value")))
+    return found.withColumn("valid", F.expr(checks.aadhaar_valid(checks.digits_of("value"))))
 
 
 @query

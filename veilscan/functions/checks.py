@@ -15,35 +15,30 @@ def _dihedral_product(a: int, b: int) -> int:
 
 
 def _verhoeff_tables() -> tuple[str, str]:
-    """The group's product table (state, digit) and the per-position digit permutations, as digit strings."""
+    """SQL arrays: the group's product by state and digit, and the digit permutation by position and digit."""
     # Fixed value of the published scheme: the digit permutation applied once more per position.
     base = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
     powers = [tuple(range(10))]
     while len(powers) < 8:
         powers.append(tuple(base[d] for d in powers[-1]))
-    products = "".join(str(_dihedral_product(a, b)) for a in range(10) for b in range(10))
-    return products, "".join(str(d) for row in powers for d in row)
+    products = ", ".join(str(_dihedral_product(a, b)) for a in range(10) for b in range(10))
+    return f"array({products})", f"array({', '.join(str(d) for row in powers for d in row)})"
 
 
-VERHOEFF_PRODUCTS, VERHOEFF_PERMUTED = _verhoeff_tables()
-
-
-def _digit_at(table: str, index: str) -> str:
-    return f"(ascii(substring('{table}', {index} + 1, 1)) - 48)"
+_PRODUCTS, _PERMUTED = _verhoeff_tables()
 
 
 def verhoeff_valid(digits: str) -> str:
     """Verhoeff check over an ASCII digit string, last digit being the check digit."""
-    permuted = _digit_at(VERHOEFF_PERMUTED, "(acc.pos % 8) * 10 + ascii(digit) - 48")
-    state = (
-        f"aggregate(split(reverse({digits}), ''), struct(0 AS state, 0 AS pos), (acc, digit) -> struct("
-        f"{_digit_at(VERHOEFF_PRODUCTS, f'acc.state * 10 + {permuted}')} AS state, acc.pos + 1 AS pos), acc -> acc.state)"
-    )
+    # The accumulator holds position * 10 + state.
+    permuted = f"{_PERMUTED}[acc div 10 % 8 * 10 + ascii(digit) - 48]"
+    step = f"(acc div 10 + 1) * 10 + {_PRODUCTS}[acc % 10 * 10 + {permuted}]"
+    state = f"aggregate(split(reverse({digits}), ''), 0L, (acc, digit) -> {step}) % 10"
     return f"CASE WHEN {digits} RLIKE '^[0-9]+$' THEN {state} = 0 ELSE false END"
 
 
-def luhn_valid(value: str) -> str:
-    return f"luhn_check(regexp_replace({value}, '[^0-9]', ''))"
+def luhn_valid(digits: str) -> str:
+    return f"luhn_check({digits})"
 
 
 def iban_valid(value: str) -> str:
@@ -55,16 +50,14 @@ def iban_valid(value: str) -> str:
     )
 
 
-def aadhaar_valid(value: str, checksum: bool = True) -> str:
+def aadhaar_valid(digits: str, checksum: bool = True) -> str:
     """Twelve digits that pass the checksum; any twelve digits when ``checksum`` is off."""
-    digits = digits_of(value)
     twelve = f"length({digits}) = 12"
     return f"({twelve} AND {verhoeff_valid(digits)})" if checksum else f"({twelve})"
 
 
-def phone_length(value: str) -> str:
-    """False unless ten to thirteen digits, else null, which leaves the score as it is."""
-    return f"CASE WHEN length({digits_of(value)}) NOT BETWEEN 10 AND 13 THEN false END"
+def phone_length(digits: str) -> str:
+    return f"length({digits}) BETWEEN 10 AND 13"
 
 
 def looks_like_mobile(digits: str) -> str:

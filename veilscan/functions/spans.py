@@ -8,23 +8,31 @@ SPAN_TYPE = "array<struct<start:int,stop:int,value:string>>"
 NO_SPANS = f"cast(array() AS {SPAN_TYPE})"
 
 
+# Stands around matches in a marked copy of the text; texts that hold it show U+FFFD there instead.
+_MARK = "'\\uFFFF'"
+
+
 def regex_spans(text: str, pattern: str) -> str:
     """All non-overlapping matches of a JVM ``pattern`` as ``array<struct<start, stop, value>>``.
 
-    Offsets are 0-based half-open code points. A row without a match costs one regex pass; a row with
-    matches costs a second pass (``split``) whose gap lengths give the offsets. The pattern must not
-    match the empty string.
+    Offsets are 0-based half-open code points. A row without a match costs one regex pass; so does a row whose
+    only match occurs once in the text, where a plain search gives the offset. Else a second pass marks the
+    matches, and the pieces between the marks give the offsets. (``split`` by the pattern would give the same
+    pieces but compiles the pattern for every row.) The pattern must not match the empty string.
     """
     regex = text_literal(pattern)
-    pieces = (
-        f"zip_with(slice(split({text}, {regex}, -1), 1, size(found)), found, "
-        "(gap, value) -> struct(length(gap) AS skip, value AS value))"
-    )
+    found = f"regexp_extract_all(coalesce({text}, ''), {regex}, 0)"
+    marked = f"regexp_replace(replace({text}, {_MARK}, '\\uFFFD'), {regex}, '\\uFFFF$0\\uFFFF')"
+    # Gap, match, gap, ..., match, gap
+    gaps = f"filter(split({marked}, {_MARK}, -1), (piece, i) -> i % 2 = 0 AND i < 2 * size(found))"
+    pieces = f"zip_with({gaps}, found, (gap, value) -> struct(length(gap) AS skip, value AS value))"
     walked = f"""aggregate({pieces}, struct(0 AS pos, {NO_SPANS} AS spans),
         (acc, p) -> struct(
             acc.pos + p.skip + length(p.value) AS pos,
             array_append(acc.spans, struct(
                 acc.pos + p.skip AS start, acc.pos + p.skip + length(p.value) AS stop, p.value AS value)) AS spans),
         acc -> acc.spans)"""
-    found = f"regexp_extract_all(coalesce({text}, ''), {regex}, 0)"
-    return let(found, "found", f"CASE WHEN size(found) = 0 THEN {NO_SPANS} ELSE {walked} END")
+    alone = "array(struct(at - 1 AS start, at - 1 + length(found[0]) AS stop, found[0] AS value))"
+    unique = f"CASE WHEN size(found) = 1 AND locate(found[0], {text}, at + 1) = 0 THEN {alone} ELSE {walked} END"
+    placed = let(f"locate(found[0], {text})", "at", unique)
+    return let(found, "found", f"CASE WHEN size(found) = 0 THEN {NO_SPANS} ELSE {placed} END")

@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from ..functions.checks import digits_of
 from ..functions.regexes import PLAIN_FLAGS
-from ..functions.sqltext import any_of, text_literal
+from ..functions.sqltext import any_of, let, text_literal
 from ..functions.urls import column_path
 from ..schemas import COLUMN_METADATA, SOURCE
 from .recognisers import Recogniser
@@ -59,7 +60,7 @@ def value_hits(value: str, recognisers: list[Recogniser]) -> str:
             if rec.validator is None:
                 tests.append(f"{value} RLIKE {regex}")
             else:
-                valid = f"coalesce({rec.validator('v')}, true)"
+                valid = let(digits_of("v"), "num", rec.validator("v", "num"))
                 tests.append(f"exists(regexp_extract_all({value}, {regex}, 0), v -> {valid})")
     return any_of(tests)
 

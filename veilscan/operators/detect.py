@@ -48,54 +48,67 @@ class DetectOptions:
     resolve: bool = True
 
 
-def _number(value: float) -> str:
-    return f"{value!r}D"
-
-
-def score_of(text: str, span: str, base: float | str, rec: AnyRecogniser, rules: RuleSet, boost: Boost) -> str:
-    """Base score, a number or SQL text, raised by the context boost and set to one by a passed check."""
-    score = base if isinstance(base, str) else _number(base)
-    if boost.enabled and rec.context:
-        if isinstance(base, str):
-            raised = f"least(1.0D, greatest({base} + {_number(boost.factor)}, {_number(boost.floor)}))"
-        else:
-            raised = _number(boosted(base, boost.factor, boost.floor))
-        scan_wide = boost.scan_wide_words_apply and any(
-            w.lower() in word.lower() for w in rec.context for word in rules.context_words
-        )
-        near = near_word(text, f"{span}.start", f"{span}.stop", rec.context, boost.before, boost.after)
-        score = raised if scan_wide else f"CASE WHEN {near} THEN {raised} ELSE {score} END"
-    if isinstance(rec, Recogniser) and rec.validator is not None:
-        score = f"CASE WHEN {rec.validator(f'{span}.value')} THEN 1.0D ELSE {score} END"
-    return score
+def _number(value: float | str) -> str:
+    return value if isinstance(value, str) else f"{float(value)!r}D"
+
+
+def score_of(text: str, span: str, base: float | str, rec: AnyRecogniser, rules: RuleSet, boost: Boost) -> float | str:
+    """Base score, raised by the context boost; one after a passed check. A number where it is the same for all."""
+    if isinstance(rec, Recogniser) and rec.validator is not None and rec.promotes:
+        return 1.0
+    if not (boost.enabled and rec.context):
+        return base
+    if isinstance(base, str):
+        raised: float | str = f"least(1.0D, greatest({base} + {_number(boost.factor)}, {_number(boost.floor)}))"
+    else:
+        raised = boosted(base, boost.factor, boost.floor)
+    scan_wide = boost.scan_wide_words_apply and any(
+        w.lower() in word.lower() for w in rec.context for word in rules.context_words
+    )
+    if scan_wide:
+        return raised
+    near = near_word(text, f"{span}.start", f"{span}.stop", rec.context, boost.before, boost.after)
+    return f"CASE WHEN {near} THEN {_number(raised)} ELSE {_number(base)} END"
 
 
 def _surviving(
     found: str, entity: str, rec: AnyRecogniser, pattern: str, base: float | str, ordinal: int, rules: RuleSet, options: DetectOptions
-) -> str:
-    """The spans in ``found`` that pass allow list, check, rules and thresholds, with score and provenance."""
-    tests = ["s.start >= lo", "s.start < hi", passes_allow_list("s.value", options.allow_list, options.allow_list_match)]
+) -> str | None:
+    """The spans in ``found`` that pass allow list, check, rules and thresholds, with score and provenance.
+
+    ``None`` when no span can reach the threshold.
+    """
+    score = score_of("body", "s", base, rec, rules, options.boost)
+    floor = rules.min_score(entity)
+    if isinstance(score, float) and score < floor:
+        return None
+    check = "true"
     if isinstance(rec, Recogniser) and rec.validator is not None:
-        tests.append(f"coalesce({rec.validator('s.value')}, true)")
-    tests.append(passes_rule("body", "s.start", "s.stop", "s.value", entity, rules.rule(entity)))
+        check = rec.validator("s.value", "num")
+    tests = [
+        "s.start >= lo",
+        "s.start < hi",
+        passes_allow_list("s.value", options.allow_list, options.allow_list_match),
+        passes_rule("body", "s.start", "s.stop", "s.value", entity, rules.rule(entity), check),
+    ]
     snippet = "cast(null AS string)"
     if options.snippet_chars is not None:
         snippet = around("body", "s.start", "s.stop", options.snippet_chars)
     hits = f"""transform(filter({found}, s -> {all_of(tests)}), s -> struct(
         s.start AS start, s.stop AS stop, {-ENTITY_PRIORITY.get(entity, 0)} AS neg_priority,
-        -({score_of('body', 's', base, rec, rules, options.boost)}) AS neg_score,
+        -({_number(score)}) AS neg_score,
         {text_literal(entity)} AS entity, {ordinal} AS ordinal, {text_literal(rec.name)} AS recogniser,
         {text_literal(pattern)} AS pattern, s.value AS value, {snippet} AS snippet))"""
-    return f"cast(filter({hits}, h -> -h.neg_score >= {_number(rules.min_score(entity))}) AS {HIT_TYPE})"
+    return hits if isinstance(score, float) else f"filter({hits}, h -> -h.neg_score >= {_number(floor)})"
 
 
-def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
+def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str | None:
     """The surviving spans of one pattern in the segment columns ``body``, ``lo`` and ``hi``."""
     found = regex_spans("body", pattern.jvm_regex)
     return _surviving(found, rec.entity, rec, pattern.name, pattern.score, ordinal, rules, options)
 
 
-def model_hits(column: str, entity: str, rec: ModelRecogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str:
+def model_hits(column: str, entity: str, rec: ModelRecogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str | None:
     """The surviving spans of one entity among those a model found in the segment."""
     found = (
         f"transform(filter({column}, m -> m.entity = {text_literal(entity)}), m -> struct(int(m.start) AS start, "
@@ -110,17 +123,18 @@ def same_span_winners(hits: str) -> str:
     This also removes duplicates of one entity, keeping the best score. Other overlaps all stay.
     """
     return let(
-        f"array_sort({hits})",
+        f"sort_array({hits})",
         "o",
-        "filter(o, (h, i) -> i = 0 OR get(o, i - 1).start != h.start OR get(o, i - 1).stop != h.stop)",
+        "CASE WHEN size(o) < 2 THEN o ELSE "
+        "filter(o, (h, i) -> i = 0 OR get(o, i - 1).start != h.start OR get(o, i - 1).stop != h.stop) END",
     )
 
 
-def _gate_columns(recognisers: list[Recogniser]) -> dict[str, str]:
+def _gate_columns(patterns: list[Pattern]) -> dict[str, str]:
     """Cheap per-segment facts that let most segments skip most patterns, computed once each."""
-    words = {p.needs for r in recognisers for p in r.patterns if isinstance(p.needs, str)}
+    words = {p.needs for p in patterns if isinstance(p.needs, str)}
     gates = {}
-    if any(isinstance(p.needs, int) for r in recognisers for p in r.patterns):
+    if any(isinstance(p.needs, int) for p in patterns):
         # A lower bound of the longest digit run, in the steps the patterns ask for.
         gates["_run"] = (
             r"CASE WHEN NOT body RLIKE '(?U)\\d' THEN 0 WHEN NOT body RLIKE '(?U)\\d{4}' THEN 1 "
@@ -154,13 +168,14 @@ def detect(
     ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along.
     """
     others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
-    gates = _gate_columns(recognisers)
     patterns = [(p, r) for r in recognisers for p in r.patterns]
-    parts = [f"cast(array() AS {HIT_TYPE})"]
-    parts += [_gated(pattern_hits(p, r, i, rules, options), p, gates) for i, (p, r) in enumerate(patterns)]
+    hits_of = [(p, pattern_hits(p, r, i, rules, options)) for i, (p, r) in enumerate(patterns)]
+    live = [(p, hits) for p, hits in hits_of if hits is not None]
+    gates = _gate_columns([p for p, _ in live])
+    parts = [f"cast(array() AS {HIT_TYPE})", *(_gated(hits, p, gates) for p, hits in live)]
     for m, model in enumerate(models):
-        wanted = [e for e in model.entities if rules.wants(e)]
-        parts += [model_hits(f"_model{m}", e, model, len(patterns) + m, rules, options) for e in wanted]
+        by_entity = (model_hits(f"_model{m}", e, model, len(patterns) + m, rules, options) for e in model.entities if rules.wants(e))
+        parts += [hits for hits in by_entity if hits is not None]
     found = f"concat({', '.join(parts)})"
 
     gated = segments.select(
@@ -168,7 +183,7 @@ def detect(
         *(F.expr(sql).alias(name) for name, sql in gates.items()),
         *(model.find(F.col("body")).alias(f"_model{m}") for m, model in enumerate(models)),
     )
-    if gates and not models and all(p.needs is not None for p, _ in patterns):
+    if gates and not models and all(p.needs is not None for p, _ in live):
         open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
         gated = gated.filter(open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.

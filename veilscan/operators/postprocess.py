@@ -37,9 +37,9 @@ BANK_KEYWORDS = ("account", "acct", "a/c", "ifsc", "bank", "beneficiary", "iban"
 BANK_WINDOW = 64
 
 
-def normalise(value: str, mode: str) -> str:
+def normalise(value: str, mode: str, digits: str | None = None) -> str:
     if mode == "digits":
-        return digits_of(value)
+        return digits or digits_of(value)
     return f"lower({value})" if mode == "lower" else value
 
 
@@ -48,9 +48,9 @@ def found_in(value: str, patterns: list[str]) -> str:
     return any_of(f"{value} RLIKE {text_literal(jvm_pattern(p, RULE_FLAGS))}" for p in patterns)
 
 
-def passes_values(value: str, rule: EntityRule) -> str:
+def passes_values(value: str, rule: EntityRule, digits: str | None = None) -> str:
     """Include and exclude lists and length bounds, all on the normalised value."""
-    norm = normalise(value, rule.normalization)
+    norm = normalise(value, rule.normalization, digits)
 
     def listed(values: tuple[str, ...]) -> str:
         return ", ".join(normalise(text_literal(v), rule.normalization) for v in values)
@@ -89,33 +89,40 @@ def passes_context(text: str, start: str, stop: str, rule: EntityRule) -> str:
     return let(f"lower({around(text, start, stop, rule.context_window_chars)})", "win", all_of(tests))
 
 
-def passes_bank_guard(text: str, start: str, stop: str, value: str) -> str:
+def passes_bank_guard(text: str, start: str, stop: str, digits: str) -> str:
     """11 to 18 digits, neither a mobile nor a valid Aadhaar number; up to 12 digits need a bank word nearby."""
     keyword = contains_any(f"lower({around(text, start, stop, BANK_WINDOW)})", BANK_KEYWORDS)
     tests = [
-        "length(num) BETWEEN 11 AND 18",
-        f"NOT {looks_like_mobile('num')}",
-        f"NOT {looks_like_aadhaar('num')}",
-        f"(length(num) > 12 OR {keyword})",
+        f"length({digits}) BETWEEN 11 AND 18",
+        f"NOT {looks_like_mobile(digits)}",
+        f"NOT {looks_like_aadhaar(digits)}",
+        f"(length({digits}) > 12 OR {keyword})",
     ]
-    return let(digits_of(value), "num", all_of(tests))
+    return all_of(tests)
 
 
-def passes_phone_guard(value: str) -> str:
+def passes_phone_guard(digits: str) -> str:
     """After country code 91 the ten local digits must start with 6 to 9."""
-    return let(digits_of(value), "num", "(NOT (num LIKE '91%' AND length(num) >= 12) OR right(num, 10) RLIKE '^[6-9]')")
+    return f"(NOT ({digits} LIKE '91%' AND length({digits}) >= 12) OR right({digits}, 10) RLIKE '^[6-9]')"
+
 
+def passes_rule(
+    text: str, start: str, stop: str, value: str, entity: str, rule: EntityRule, check: str = "true"
+) -> str:
+    """All rule filters and guards of one entity and an optional ``check`` on the value, cheapest first.
 
-def passes_rule(text: str, start: str, stop: str, value: str, entity: str, rule: EntityRule) -> str:
-    """All rule filters and guards of one entity, cheapest first."""
+    The check may refer to the digits of the value as ``num``.
+    """
     if not rule.enabled:
         return "false"
-    tests = [passes_values(value, rule), passes_patterns(value, rule)]
+    tests = [passes_values(value, rule, "num"), passes_patterns(value, rule)]
     if entity == "PHONE_NUMBER":
-        tests.append(passes_phone_guard(value))
+        tests.append(passes_phone_guard("num"))
+    tests.append(check)
     if entity == "IN_BANK_ACCOUNT":
-        tests.append(passes_bank_guard(text, start, stop, value))
-    return all_of([*tests, passes_context(text, start, stop, rule)])
+        tests.append(passes_bank_guard(text, start, stop, "num"))
+    chain = all_of([*tests, passes_context(text, start, stop, rule)])
+    return let(digits_of(value), "num", chain) if "num" in chain else chain
 
 
 def passes_allow_list(value: str, allow_list: tuple[str, ...], match: str = "exact") -> str:
