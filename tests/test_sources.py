@@ -9,7 +9,7 @@ from suite.docx_build import docx_bytes
 from veilscan.operators import columns as cols
 from veilscan.operators.recognisers import general_recognisers, india_recognisers
 from veilscan.plans.config import ScanSpec, load_spec, output_location, rules_for, spec_from
-from veilscan.plans.scan import scan_files, scan_records
+from veilscan.plans.scan import scan_all, scan_files, scan_records
 from veilscan.sources import tables as tb
 from veilscan.sources.databases import catalog_tables, database_findings, read_databases
 from veilscan.sources.files import FileOutput, Location, read_files
@@ -291,6 +291,31 @@ def test_databases(spark, crm):
     assert empty[0]["reason"] == "Database plugin enabled but no connections configured."
 
 
+def test_all_sources(spark, tree, crm):
+    def config(url):
+        return {
+            "scan": {"input_paths": [f"{tree}/in/profile.txt"]},
+            "sources": {
+                "enabled_sources": ["filesystem", "database"],
+                "database": {"enabled": True, "connections": [{"name": "crm", "url": url, "include_schemas": ["sales"]}]},
+            },
+        }
+
+    def read(connection, database):
+        if database == "boom":
+            raise RuntimeError("down")
+        return crm
+
+    result = scan_all(spark, spec_from(config("mysql://u:p@h/main")), read)
+    plugins = {r["plugin"]: r for r in result.plugins().collect()}
+    assert plugins["filesystem"]["sources_scanned"] == 1 and plugins["filesystem"]["findings"] >= 8
+    assert plugins["database"]["sources_scanned"] == 5 and plugins["database"]["findings"] >= 5
+    run = result.records.filter("plugin_name = 'database'").select("metadata.run.*").first()
+    assert (run["table_count"], run["pii_column_count"], run["source_type"]) == (1, 5, "mysql")
+    failed = scan_all(spark, spec_from(config("mysql://u:p@h/boom")), read).sources.filter("status = 'failed'").collect()
+    assert len(failed) == 1 and "down" in failed[0]["error"]
+
+
 def test_catalog_reader(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS default.people USING parquet AS SELECT 'a@b.com' AS email")
     tables = catalog_tables(spark)({}, "default")

@@ -231,17 +231,18 @@ def column_records(
     endpoint: str = "",
     database: str = "",
     options: SampleOptions | None = None,
+    flagged: list[tuple[str, str, str]] | None = None,
 ) -> DataFrame:
     """A source record per flagged column. ``catalog`` has schema, table, column, pii_types and, with sampling
-    on, sample_values."""
+    on, sample_values. ``flagged`` lists its (schema, table, column) when the driver knows them."""
     label = "CASE WHEN coalesce(schema, '') = '' THEN `table` ELSE concat(schema, '.', `table`) END"
     path = F.expr(column_path(text_literal(connection), label, "`column`"))
     types = F.when(F.size("pii_types") == 0, F.array(F.lit("PII"))).otherwise(F.col("pii_types"))
     run = F.struct(
         F.lit(connection).alias("source_name"),
         F.lit(connection_type).alias("source_type"),
-        F.lit(None).cast("bigint").alias("table_count"),
-        F.lit(None).cast("bigint").alias("pii_column_count"),
+        F.lit(None if flagged is None else len({c[:2] for c in flagged})).cast("bigint").alias("table_count"),
+        F.lit(None if flagged is None else len(flagged)).cast("bigint").alias("pii_column_count"),
     )
     sampled = options is not None and options.enabled and "sample_values" in catalog.columns
     samples = F.coalesce(F.col("sample_values"), F.array().cast("array<string>")) if sampled else F.lit(None).cast("array<string>")

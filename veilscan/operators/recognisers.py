@@ -86,9 +86,9 @@ BANK_CONTEXT = ("account", "bank", "ifsc", "branch", "beneficiary")
 
 # Our own patterns for the general entities, after public standards.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-# Starts are tried only where a run of address characters begins or the previous match ended. The matches
-# are the same, but a long run without '@' costs one pass over it, not one per character.
-EMAIL_JVM = jvm_pattern(r"(?:\G|(?<![A-Za-z0-9._%+-]))" + EMAIL)
+# Starts are tried only where a run of address characters begins or the previous match ended, and a run is
+# taken whole. The matches are the same, but a long run without '@' costs one pass, not one per character.
+EMAIL_JVM = jvm_pattern(r"(?:(?<![A-Za-z0-9._%+-])|\G)" + EMAIL.replace("+@", "++@"))
 PHONE = (
     r"(?:\+\d{1,3}[ -]?(?:\(\d{2,5}\)[ -]?)?|\(\d{2,5}\)[ -]?|\b)\d{3,5}(?:[ -]?\d{3,5}){1,2}\b"
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from ..operators.findings import in_report_order, to_findings
 from ..operators.recognisers import select_recognisers
 from ..operators.report import global_stats, plugin_summary, sources_report
 from ..operators.segments import explode_segments
-from ..schemas import SOURCE
+from ..schemas import ERROR, SOURCE
+from ..sources.databases import DatabaseLister, TableReader, catalog_tables, database_findings, read_databases
 from ..sources.files import read_files
-from ..sources.records import union_all
+from ..sources.records import status_row, union_all
 from .config import ScanSpec
 
 
@@ -92,10 +94,26 @@ def run_frame(spark: SparkSession, spec: ScanSpec, started: str) -> DataFrame:
         "exclude_entities": json.dumps(list(rules.exclude_entities)),
         "locations": json.dumps([[loc.name, loc.provider, loc.enabled, len(loc.input_paths)] for loc in spec.locations]),
         "plugins": json.dumps(list(spec.plugins)),
+        "connections": json.dumps(connection_summary(spec)),
     }
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in row.items()))
 
 
+def connection_summary(spec: ScanSpec) -> list[dict[str, object]]:
+    """What the config says about each database connection; credentials are left out."""
+    listed = [c for c in spec.database.get("connections") or [] if isinstance(c, Mapping)]
+    return [
+        {
+            "name": str(c.get("name") or f"database_{i}"),
+            "enabled": bool(c.get("enabled", True)),
+            "type": str(c.get("type") or ""),
+            "tables": [t.get("name", "") if isinstance(t, Mapping) else str(t) for t in c.get("include_tables") or c.get("tables") or []],
+            "query_names": [str(q.get("name", "")) if isinstance(q, Mapping) else "" for q in c.get("queries") or []],
+        }
+        for i, c in enumerate(listed, start=1)
+    ]
+
+
 def scan_records(records: DataFrame, spec: ScanSpec, precomputed: DataFrame | None = None) -> ScanResult:
     """Scan any record frame. ``precomputed`` findings, of flagged columns, join those from the texts."""
     findings = find_in_records(records, spec)
@@ -106,3 +124,22 @@ def scan_records(records: DataFrame, spec: ScanSpec, precomputed: DataFrame | No
 
 def scan_files(spark: SparkSession, spec: ScanSpec) -> ScanResult:
     return scan_records(read_files(spark, list(spec.locations), spec.files), spec)
+
+
+def scan_all(spark: SparkSession, spec: ScanSpec, read_tables: TableReader | None = None, list_databases: DatabaseLister | None = None) -> ScanResult:
+    """All enabled sources of the config. A source that fails as a whole becomes one error row."""
+    parts: list[DataFrame] = []
+    precomputed = None
+    for plugin in spec.plugins:
+        try:
+            if plugin == "filesystem":
+                parts.append(read_files(spark, list(spec.locations), spec.files))
+            else:
+                reader = read_tables or catalog_tables(spark)
+                records = read_databases(spark, spec.database, select_recognisers(spec.rules), reader, list_databases)
+                precomputed = database_findings(records)
+                parts.append(records)
+        except Exception as exc:  # noqa: BLE001 - one broken source must not stop the others
+            kind = "database" if plugin == "database" else "filesystem"
+            parts.append(status_row(spark, ERROR, plugin, kind, f"{kind}://{plugin}", f"{type(exc).__name__}: {exc}").drop("metadata"))
+    return scan_records(union_all(parts), spec, precomputed)

@@ -11,8 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import database_of, endpoint, source_type
 from ..functions.sqltext import text_literal
+from ..functions.urls import database_of, endpoint, source_type
 from ..operators.columns import (
     PLUGIN,
     SampleOptions,
@@ -25,8 +25,8 @@ from ..operators.columns import (
 )
 from ..operators.recognisers import Recogniser
 from ..schemas import ERROR, SKIP
-from .records import status_row, status_row_if_empty, union_all
-from .tables import TableFilter, database_targets, filter_tables
+from .records import status_row, union_all
+from .tables import TableFilter, database_targets
 
 # (connection settings, database) -> frames by ``table`` or ``schema.table``
 TableReader = Callable[[Mapping[str, Any], str], Mapping[str, DataFrame]]
@@ -58,18 +58,25 @@ def table_filter(connection: Mapping[str, Any]) -> TableFilter:
     )
 
 
-def _samples(tables: Mapping[str, DataFrame], catalog: DataFrame, options: SampleOptions) -> DataFrame:
-    """Sample lists of the flagged columns. Only their names come to the driver, one per column of the schema."""
-    by_table: dict[str, list[str]] = {}
-    for row in catalog.select("schema", "table", "column").collect():
-        key = f"{row['schema']}.{row['table']}" if row["schema"] else row["table"]
-        by_table.setdefault(key, []).append(row["column"])
+def _settled(catalog: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """The catalog as a literal frame and its column names, so that tables are profiled once.
+
+    It has at most one row per column of the connection's schema, whatever the tables hold.
+    """
+    rows = catalog.collect()
+    return catalog.sparkSession.createDataFrame(rows, catalog.schema), [(r["schema"], r["table"], r["column"]) for r in rows]
+
+
+def _samples(tables: Mapping[str, DataFrame], columns: list[tuple[str, str, str]], options: SampleOptions) -> DataFrame:
+    """Sample lists of the flagged columns, one pass per table."""
+    by_table: dict[tuple[str, str], list[str]] = {}
+    for schema, table, column in columns:
+        by_table.setdefault((schema, table), []).append(column)
     parts = []
-    for key, columns in by_table.items():
-        schema, _, table = key.rpartition(".")
-        lists = sample_lists(column_samples(tables[key], columns, options))
+    for (schema, table), names in by_table.items():
+        lists = sample_lists(column_samples(tables[f"{schema}.{table}" if schema else table], names, options))
         parts.append(lists.select(F.lit(schema).alias("schema"), F.lit(table).alias("table"), "column", "sample_values"))
-    return catalog.join(union_all(parts), ["schema", "table", "column"], "left") if parts else catalog
+    return union_all(parts)
 
 
 def scan_tables(
@@ -81,25 +88,27 @@ def scan_tables(
     database: str = "",
     wanted: TableFilter = TableFilter(),
     samples: SampleOptions = SampleOptions(),
-) -> DataFrame:
-    """Records of the flagged columns, or one skip row when there are none."""
-    flagged = filter_tables(discover_columns(tables, recognisers), wanted)
-    catalog = detection_catalog(flagged)
+) -> DataFrame | None:
+    """Records of the flagged columns, or ``None`` when there are none."""
+    chosen = {key: table for key, table in tables.items() if wanted.accepts(key)}
+    if not chosen:
+        return None
+    catalog, columns = _settled(detection_catalog(discover_columns(chosen, recognisers)))
+    if not columns:
+        return None
     if samples.enabled:
-        catalog = _samples(tables, catalog, samples)
-    records = column_records(catalog, connection, kind, endpoint_name, database, samples)
-    none = status_row_if_empty(records, SKIP, PLUGIN, "database", f"db://{connection}", "No pii columns detected.")
-    return union_all([records, none.withColumn("metadata", F.lit(None).cast(records.schema["metadata"].dataType))])
+        catalog = catalog.join(_samples(chosen, columns, samples), ["schema", "table", "column"], "left")
+    return column_records(catalog, connection, kind, endpoint_name, database, samples, columns)
 
 
 def _url_facts(spark: SparkSession, connection: Mapping[str, Any], url: str) -> Mapping[str, str]:
-    text = {k: text_literal(str(connection.get(k) or "")) for k in ("host",)}
+    host = text_literal(str(connection.get("host") or ""))
     explicit = text_literal(str(connection.get("type") or connection.get("source_type") or ""))
     engine = text_literal(str(connection.get("engine") or connection.get("rds_engine") or ""))
     literal = text_literal(url)
     return spark.range(1).selectExpr(
         f"{source_type(explicit, engine, literal)} AS kind",
-        f"{endpoint(text['host'], literal)} AS endpoint",
+        f"{endpoint(host, literal)} AS endpoint",
         f"{database_of(literal)} AS database",
     ).first().asDict()
 
@@ -178,7 +187,8 @@ def _connection_parts(
             parts.append(row(SKIP, f"db://{shown}", "Column detection is disabled for this connection."))
             continue
         tables = read_tables(connection, database)
-        parts.append(scan_tables(tables, recognisers, shown, facts["kind"], facts["endpoint"], database, wanted, samples))
+        found = scan_tables(tables, recognisers, shown, facts["kind"], facts["endpoint"], database, wanted, samples)
+        parts.append(row(SKIP, f"db://{shown}", "No pii columns detected.") if found is None else found)
         if connection.get("queries"):
             parts.append(row(SKIP, f"db://{shown}/queries", "Custom SQL query scanning is not supported."))
     return parts

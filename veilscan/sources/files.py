@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,13 @@ def _listed(spark: SparkSession, location: Location, index: int, output: FileOut
         if is_dir and location.include_extensions:
             reader = reader.option("pathGlobFilter", any_case_extension_glob(list(location.include_extensions)))
         path = "regexp_replace(url_decode(replace(_metadata.file_path, '+', '%2B')), '^file:/+', '/')"
-        files = reader.load(root).filter(extension_allowed(path, location.include_extensions))
+        try:
+            loaded = reader.load(root)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        files = loaded.filter(extension_allowed(path, location.include_extensions))
         files = files.filter(~glob_excluded(path, location.exclude_file_globs))
         if is_dir and location.recursive:
             files = files.filter(~dir_pruned(path, root, location.exclude_dirs))

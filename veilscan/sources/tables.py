@@ -67,6 +67,18 @@ class TableFilter:
     include_schemas: tuple[str, ...] = ()
     exclude_schemas: tuple[str, ...] = ()
 
+    def accepts(self, key: str) -> bool:
+        """The test of :func:`table_wanted` for one ``table`` or ``schema.table`` key, to leave tables unread."""
+        full = key.strip().lower()
+        schema, _, table = full.rpartition(".")
+        names = {full, table}
+        return (
+            (not self.include or bool(names & set(_lowered(self.include))))
+            and not names & set(_lowered(self.exclude))
+            and (not self.include_schemas or schema in _lowered(self.include_schemas))
+            and schema not in _lowered(self.exclude_schemas)
+        )
+
 
 def table_wanted(schema: Column, table: Column, wanted: TableFilter) -> Column:
     short = F.lower(F.trim(table))
