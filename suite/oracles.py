@@ -429,9 +429,9 @@ ORACLES["file_filters"] = f"""SELECT page_id, {SUFFIX} AS suffix, lower({SUFFIX}
 # ---- rule layers ---------------------------------------------------------------------------------------------
 
 ORACLES["layered_rules"] = """
-WITH base AS (SELECT c_custkey AS entity, round(c_acctbal / 10000, 4) AS score_threshold, c_nationkey AS min_length,
+WITH base AS (SELECT c_custkey AS entity, c_acctbal AS score_threshold, c_nationkey AS min_length,
                      concat(c_mktsegment, '|any') AS required_context FROM customer),
-     env AS (SELECT o_custkey AS entity, CASE WHEN count(*) > 9 THEN round(max(o_totalprice) / 1000000, 4) END AS score_threshold,
+     env AS (SELECT o_custkey AS entity, CASE WHEN count(*) > 9 THEN max(o_totalprice) END AS score_threshold,
                     CAST(NULL AS INTEGER) AS min_length,
                     CASE WHEN min(o_orderpriority) = '1-URGENT' THEN '1-URGENT' END AS required_context FROM orders GROUP BY 1)
 SELECT coalesce(b.entity, e.entity) AS entity, coalesce(e.score_threshold, b.score_threshold) AS score_threshold,

@@ -606,12 +606,12 @@ def layered_rules(spark, sf_dir):
     """A base layer per customer, overridden where that customer's orders say otherwise."""
     base = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"),
-        F.round(F.col("c_acctbal") / 10000, 4).alias("score_threshold"),
+        F.col("c_acctbal").alias("score_threshold"),
         F.col("c_nationkey").alias("min_length"),
         F.array("c_mktsegment", F.lit("any")).alias("required_context"),
     )
     override = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(
-        F.when(F.count("*") > 9, F.round(F.max("o_totalprice") / 1000000, 4)).alias("score_threshold"),
+        F.when(F.count("*") > 9, F.max("o_totalprice")).alias("score_threshold"),
         F.lit(None).cast("int").alias("min_length"),
         F.when(F.min("o_orderpriority") == "1-URGENT", F.array(F.min("o_orderpriority"))).alias("required_context"),
     )

@@ -46,9 +46,9 @@ def near_word(text: str, start: str, stop: str, words: Iterable[str], before: in
     single = [w.lower() for w in words if not any(ch.isspace() for ch in w.strip())]
     sides = []
     if single and before > 0:
-        sides.append(contains_any(tokens_before(text, start, before), single))
+        sides.append(let(tokens_before(text, start, before), "near", contains_any("near", single)))
     if single and after > 0:
-        sides.append(contains_any(tokens_after(text, stop, after), single))
+        sides.append(let(tokens_after(text, stop, after), "near", contains_any("near", single)))
     return any_of(sides)
 
 

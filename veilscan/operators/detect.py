@@ -122,12 +122,8 @@ def same_span_winners(hits: str) -> str:
 
     This also removes duplicates of one entity, keeping the best score. Other overlaps all stay.
     """
-    return let(
-        f"sort_array({hits})",
-        "o",
-        "CASE WHEN size(o) < 2 THEN o ELSE "
-        "filter(o, (h, i) -> i = 0 OR get(o, i - 1).start != h.start OR get(o, i - 1).stop != h.stop) END",
-    )
+    first = "filter(o, (h, i) -> i = 0 OR get(o, i - 1).start != h.start OR get(o, i - 1).stop != h.stop)"
+    return let(hits, "raw", f"CASE WHEN size(raw) < 2 THEN raw ELSE {let('sort_array(raw)', 'o', first)} END")
 
 
 def _gate_columns(patterns: list[Pattern]) -> dict[str, str]:

@@ -91,12 +91,12 @@ def passes_context(text: str, start: str, stop: str, rule: EntityRule) -> str:
 
 def passes_bank_guard(text: str, start: str, stop: str, digits: str) -> str:
     """11 to 18 digits, neither a mobile nor a valid Aadhaar number; up to 12 digits need a bank word nearby."""
-    keyword = contains_any(f"lower({around(text, start, stop, BANK_WINDOW)})", BANK_KEYWORDS)
+    keyword = let(f"lower({around(text, start, stop, BANK_WINDOW)})", "win", contains_any("win", BANK_KEYWORDS))
     tests = [
         f"length({digits}) BETWEEN 11 AND 18",
         f"NOT {looks_like_mobile(digits)}",
-        f"NOT {looks_like_aadhaar(digits)}",
         f"(length({digits}) > 12 OR {keyword})",
+        f"NOT {looks_like_aadhaar(digits)}",
     ]
     return all_of(tests)
 
