@@ -57,7 +57,7 @@ def test_patterns_that_match_nothing_are_refused():
 
 
 def _check_digit(body: str) -> str:
-    """Reference Verhoeff generator with the textbook tables built by group rules."""
+    """An independent generator with the textbook tables built by group rules."""
     perm = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9]]
     for _ in range(7):
         perm.append([(1, 5, 7, 6, 2, 8, 3, 0, 9, 4)[d] for d in perm[-1]])

@@ -30,10 +30,8 @@ _PRODUCTS, _PERMUTED = _verhoeff_tables()
 
 def verhoeff_valid(digits: str) -> str:
     """Verhoeff check over an ASCII digit string, last digit being the check digit."""
-    # The accumulator holds position * 10 + state.
-    permuted = f"{_PERMUTED}[acc div 10 % 8 * 10 + ascii(digit) - 48]"
-    step = f"(acc div 10 + 1) * 10 + {_PRODUCTS}[acc % 10 * 10 + {permuted}]"
-    state = f"aggregate(split(reverse({digits}), ''), 0L, (acc, digit) -> {step}) % 10"
+    permuted = f"transform(split(reverse({digits}), ''), (digit, i) -> {_PERMUTED}[i % 8 * 10 + ascii(digit) - 48])"
+    state = f"aggregate({permuted}, 0, (state, digit) -> {_PRODUCTS}[state * 10 + digit])"
     return f"CASE WHEN {digits} RLIKE '^[0-9]+$' THEN {state} = 0 ELSE false END"
 
 
