@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_REGEX = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -134,6 +135,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def pieces(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of text each, so that what is computed beside the texts stays small; a larger text stands alone."""
+    offsets = np.zeros(batch.num_rows + 1, dtype=np.int64)
+    np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
+    for at, to in slices(offsets, most):
+        yield batch.slice(at, to - at)
+
+
 def distinct_by_text(values: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of values below 2 ** bits: the distinct ones of each text, how often they stand there, and the new bounds."""
     texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))

@@ -46,14 +46,13 @@ def _parts(table: pa.Table, at: int, end: int, most: int | None) -> Iterator[dic
         yield {c: part.column(c).chunk(0) for c in part.column_names}
 
 
-def block_pairs(rows: DataFrame, node: str, block: int) -> DataFrame:
-    """Rows (key, size, node, ...) -> a copy for each pair of blocks that the row belongs to, with the blocks i <= j and the row's own as side.
+def block_pairs(rows: DataFrame, node: str) -> DataFrame:
+    """Rows (key, blocks, node, ...) -> a copy for each pair of blocks that the row belongs to, with the blocks i <= j and the row's own as side.
 
-    A group of at most `block` rows is one block. A larger one is cut into blocks by a hash of the node, so every pair of rows meets in exactly one pair of blocks and no task gets more than two blocks."""
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), F.col(node)), blocks).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("blocks", "other", "size")
+    A group is cut into its number of blocks by a hash of the node, so every pair of rows meets in exactly one pair of blocks and no task gets more than two blocks."""
+    own = F.pmod(F.xxhash64(F.lit(7), F.col(node)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("blocks", "other")
 
 
 def local_roots(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits
+from .embedding_dedup import vector_links
+from .licenses import license_scan
 from .mixing import mixed
 from .ngram_join import similarity_classes
+from .quality import quality_scores
 from .sharding import byte_shards
+from .suffix_dedup import without_repeats
+from .token_counts import edited_counts, pre_token_trees, read_ranks, redaction_edits
 from .toxicity import toxicity
 
+TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files, read by the driver
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -57,3 +65,35 @@ def op5_mix_sources(spark, sf_dir):
 @query
 def op6_ngram_jaccard_join(spark, sf_dir):
     return similarity_classes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vector_links(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op7_suffix_array_dedup(spark, sf_dir):
+    return without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    return license_scan(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    """Tokens before and after mail addresses, long numbers and runs of blanks are edited away."""
+    ranks = read_ranks(os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return edited_counts(pre_token_trees(redaction_edits(docs), ranks), ranks).drop("text")
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    """The fold is the remainder of crc32(doc_id as text) by 3: rows of remainder 1 are held out, their labels never read."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    learnt = load(spark, sf_dir, "labels").where(~fold)
+    scored = quality_scores(load(spark, sf_dir, "documents").select("doc_id", "text"), learnt).drop("text")
+    return scored.select("doc_id", fold.alias("held_out"), "score", "predicted")
