@@ -50,28 +50,31 @@ def mixed(
     checksum; the prefix sum of expected copies starts at one offset in [0, 1), drawn from the seed and the source's name, and a document is emitted
     once for each whole number that its interval crosses. Neighbours in that order have like sizes, so the words taken miss the target by about one of the largest documents.
 
-    The prefix sum has two levels, so that a source with a third of all rows is no task of its own: rows are range-partitioned by
-    (source, size, doc_id), each partition counts its rows per source, and a document's place is the count before its partition plus its place in it.
-    The expected copies before a document are its place times the rate, which is exact and the same in every run.
+    The prefix sum has two levels, so that a source with a third of all rows is no task of its own: rows are range-partitioned by (source, size, doc_id) and sorted,
+    which numbers them within their partition; the rows of each source and partition are counted, and a document's place is the count before its partition plus its place in it. That is
+    one shuffle of the rows; what is joined to them has a row per source and partition. The expected copies before a document are its place times the rate, which is exact and
+    the same in every run.
 
     A null text has size 0; null sources are one source, the last. A source without words has target 0 and takes nothing. Repeated rows are documents of
     their own. An empty table gives no rows. Columns named like a result are replaced.
     """
     keep = plain_columns(docs, *RESULT) if carry is None else ["doc_id", "source", *carry]
     sized = docs.select(*keep, word_count().alias("size"), F.xxhash64("text").alias("mix_checksum"))
-    dealt = settled(sized.repartitionByRange("source", "size", "doc_id", "mix_checksum").withColumn("mix_part", F.spark_partition_id()), "mix")
-    targets = source_targets(dealt.select("source", "size"), weights, share, cap)  # one row per source
-    counts = dealt.groupBy("source", "mix_part").agg(F.count("*").alias("n"))
+    order = ["source", "size", "doc_id", "mix_checksum"]
+    numbered = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mix_row", F.monotonically_increasing_id())
+    dealt = settled(numbered.withColumn("mix_part", F.spark_partition_id()), "mix")
+    targets = source_targets(dealt.select("source", "size"), weights, share, cap)
+    counts = dealt.groupBy("source", "mix_part").agg(F.count("*").alias("n"), F.min("mix_row").alias("first_row"))
     earlier = Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select("source", "mix_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"))
-    by_source = lambda frame: frame.select(F.struct("source").alias("its"), *(c for c in frame.columns if c != "source"))  # noqa: E731  a struct equals itself where its field is null
-    inside = Window.partitionBy("mix_part", "source").orderBy("size", "doc_id", "mix_checksum")
-    rows = dealt.withColumn("row_at", F.row_number().over(inside)).withColumn("its", F.struct("source"))
-    rows = rows.join(by_source(places), ["its", "mix_part"]).join(by_source(targets).drop("n_rows"), "its")
+    places = counts.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    places = places.join(targets.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")))
+    # written first, so that Spark knows its size when it chooses how to join; the partition alone is the key where a source can be null
+    places = settled(places.select("mix_part", F.col("source").alias("its"), (F.col("n_before") - F.col("first_row")).alias("shift"), "source_size", "target"), "places")
+    rows = dealt.join(places.withColumnRenamed("mix_part", "its_part"), (F.col("mix_part") == F.col("its_part")) & F.col("source").eqNullSafe(F.col("its")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     offset = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
-    place = F.col("n_before") + F.col("row_at")
+    place = F.col("mix_row") + F.col("shift") + 1
     copies = (F.floor(offset + rate * place) - F.floor(offset + rate * (place - 1))).cast("long")
     return rows.withColumn("copies", copies).select(*keep, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
