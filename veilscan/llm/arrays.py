@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,21 @@ _PIECE = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(run):
+    """A function of batches that gives freed memory back to the system when its task ends; else idle Python workers hold what their largest task took."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import binary_lists, slices, text_bytes, with_columns, words_of
+from .arrays import binary_lists, pieces, text_bytes, tidy, with_columns, words_of
 from .fm_index import FmIndex
-from .storage import plain_columns
+from .storage import plain_columns, small_batches
 
 RESULT = ("n_words", "n_hit", "hits", "items", "spans")
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
 
 
 @dataclass
@@ -103,11 +103,10 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _search(phrases, keep: list[str]):
     """Adds the occurrences of one block of phrases to those found before."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = text_bytes(batch.column("text"))
-            for at, to in slices(offsets, SHARD_BYTES):
-                part = batch.slice(at, to - at)
+            for part in pieces(batch, SHARD_BYTES):
                 words = words_of(*text_bytes(part.column("text")))
                 p = phrases.value
                 place = np.minimum(np.searchsorted(p.vocabulary, words.hash), max(len(p.vocabulary) - 1, 0))
@@ -115,7 +114,7 @@ def _search(phrases, keep: list[str]):
                 where, length, which = hits_of_shard(numbers, words.bounds, p)
                 text = np.searchsorted(words.bounds, where, side="right") - 1
                 order = np.argsort(text, kind="stable")
-                where, length, which, cuts = where[order], length[order], which[order], np.searchsorted(text[order], np.arange(to - at + 1))
+                where, length, which, cuts = where[order], length[order], which[order], np.searchsorted(text[order], np.arange(part.num_rows + 1))
                 hits, items = part.column("hits").to_pylist(), part.column("items").to_pylist()
                 for i in np.flatnonzero(np.diff(cuts)):
                     here = slice(cuts[i], cuts[i + 1])
@@ -135,6 +134,7 @@ def _search(phrases, keep: list[str]):
 def _spans(keep: list[str]):
     """Word ranges -> byte ranges of the text, from the first byte of the first word to the last byte of the last."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = [np.frombuffer(h, dtype=np.int64).reshape(-1, 2) for h in batch.column("hits").to_pylist()]
@@ -163,7 +163,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[l
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 1 << 24) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> the columns of docs, and n_words, n_hit (words hit), hits (pairs of 64-bit word numbers, from and to), items (ids of items with an occurring phrase).
 
-    A phrase is `width` consecutive lower-case words of an item; an item of fewer words is one phrase. Each shard (documents of some 8 MB that lie together in a partition) gets an FM-index over its word
+    A phrase is `width` consecutive lower-case words of an item; an item of fewer words is one phrase. Each shard (documents of some 4 MB that lie together in a partition) gets an FM-index over its word
     numbers; all phrases are searched backward at once through the wavelet matrix, their occurrences located by sampled suffix positions and their word ranges merged.
     Nothing is shuffled. The benchmark, a stated query set, is taken in blocks of about block_bytes, each one broadcast and one pass in the same stage.
 
@@ -171,6 +171,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     have their own hits. Empty tables give no rows or no hits. Columns named like a result are replaced.
     """
     keep = plain_columns(docs, *RESULT)
+    small_batches(docs)
     frame = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast('' as binary)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("items"))
     for ids, texts in benchmark_blocks(benchmark, block_bytes):
         phrases = docs.sparkSession.sparkContext.broadcast(phrases_of(ids, texts, width))
@@ -183,6 +184,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     keep = plain_columns(docs, *RESULT)
     found = benchmark_hits(docs, benchmark, width)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _spans([*keep])(batches):
             texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()

@@ -13,10 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import constants, mix64
+from .arrays import constants, mix64, tidy
 from .components import components
 from .groups import block_pairs, by_key, local_roots
-from .storage import plain_columns, settled
+from .storage import plain_columns, settled, small_batches
 
 RESULT = ("n_links", "component_id", "kept")
 
@@ -62,6 +62,7 @@ def unit_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sign(settings: VectorSettings, tables: int, projections: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         weights = constants(projections, 505)
@@ -92,6 +93,7 @@ def _sign(settings: VectorSettings, tables: int, projections: int):
 def _verify(settings: VectorSettings, tables: int):
     """Rows of a block pair of one bucket -> (node, links, root): the vectors linked to node by pairs whose first common bucket this is, and the smallest node of what they link here."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, ["key", "i", "j"]):
             key, i, j = (rows[c][0].as_py() for c in ("key", "i", "j"))
@@ -133,6 +135,7 @@ def vector_links(embeddings: DataFrame, settings: VectorSettings = VectorSetting
     """
     tables, projections = settings.tables(embeddings.count())
     keep = [c for c in plain_columns(embeddings, *RESULT) if c != "embedding"]
+    small_batches(embeddings)
     source = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     signed = settled(source.mapInArrow(_sign(settings, tables, projections), "vec_id long, same binary, unit binary, keys array<bigint>"), "vectors")
     nodes = signed.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

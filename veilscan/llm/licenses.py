@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import pieces, text_bytes, with_columns, words_of
-from .storage import plain_columns
+from .arrays import pieces, text_bytes, tidy, with_columns, words_of
+from .storage import plain_columns, small_batches
 
 RESULT = ("licenses", "best_license", "coverage", "matched_words", "span_start", "span_stop")
 PIECE = 1 << 20
@@ -169,8 +169,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, setti
     shares = np.stack([np.bincount(line, minlength=len(vocabulary)) for line in lines]) if lines else np.zeros((0, 0))
     sizes = np.array([len(line) for line in lines])
     keep = plain_columns(docs, *RESULT)
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((names, vocabulary, lines, shares, sizes))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vocabulary, lines, shares, sizes = shared.value
         for batch in batches:

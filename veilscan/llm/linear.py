@@ -44,10 +44,12 @@ class FtrlModel:
         """Passes over the rows in an order drawn from the seed; extra holds the dense features, a line per row."""
         order = np.random.default_rng(seed)
         tail = np.arange(self.size, self.size + self.dense + 1)
-        full = [(np.concatenate([f, tail]), np.concatenate([v, extra[i] if self.dense else [], [1.0]])) for i, (f, v) in enumerate(rows)]
+        ends = np.ones((len(rows), self.dense + 1))
+        if self.dense:
+            ends[:, :-1] = extra
         for _ in range(self.settings.epochs):
-            for i in order.permutation(len(full)):
-                at, value = full[i]
+            for i in order.permutation(len(rows)):
+                at, value = np.concatenate([rows[i][0], tail]), np.concatenate([rows[i][1], ends[i]])
                 w = self._weights(at)
                 g = (sigmoid(float(w @ value)) - labels[i]) * value
                 squares = g * g

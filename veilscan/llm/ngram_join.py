@@ -12,22 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import binary_lists, constants, mix64, ngram_hashes, slices, text_bytes, words_of
+from .arrays import binary_lists, constants, mix64, ngram_hashes, pieces, slices, text_bytes, tidy, words_of
 from .components import components
 from .groups import block_pairs, by_key, local_roots
-from .storage import plain_columns, settled
+from .storage import plain_columns, settled, small_batches
 
 
 @dataclass(frozen=True)
 class JoinSettings:
     """n: words per n-gram; threshold: least Jaccard similarity of a link; recall: share of pairs right at the threshold that some band must catch;
-    hashes: MinHash values at most; block: texts that one task compares with as many others at once."""
+    hashes: MinHash values at most; block, block_grams: texts, and n-grams, that one task compares with as many others at once."""
 
     n: int = 5
     threshold: float = 0.8
     recall: float = 0.99
     hashes: int = 256
     block: int = 1024
+    block_grams: int = 1 << 20
 
     def bands(self) -> tuple[int, int]:
         """(bands, rows per band): the most rows per band, so the fewest false candidates, with which the bands that the recall needs fit into the hashes."""
@@ -39,6 +40,7 @@ class JoinSettings:
         return best
 
 
+PIECE = 1 << 20
 RESULT = ("class_id", "n_links", "class_size", "kept")
 
 
@@ -67,13 +69,12 @@ def _sign(settings: JoinSettings):
     """(doc_id, text) -> doc_id, the digest of the n-gram set and the band keys; no row for a text without words or id."""
     bands, rows = settings.bands()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         weights = constants(rows, 303)
         for batch in batches:
-            _, offsets = text_bytes(batch.column("text"))
-            for at, to in slices(offsets, 1 << 23):
-                part = batch.slice(at, to - at)
+            for part in pieces(batch, PIECE):
                 grams, bounds = ngram_sets(part.column("text"), settings.n)
                 has = np.flatnonzero(np.diff(bounds))
                 signed = min_hashes(grams, np.append(bounds[has], bounds[-1]), bands * rows).reshape(-1, bands, rows)
@@ -83,6 +84,7 @@ def _sign(settings: JoinSettings):
                     {
                         "doc_id": part.column("doc_id").take(pa.array(has)),
                         "set_key": pa.array(digests, pa.binary()),
+                        "n_grams": pa.array(np.diff(bounds)[has]),
                         "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
                     }
                 )
@@ -94,6 +96,7 @@ def _needed(settings: JoinSettings):
     """Of the members of a bucket, those that share no earlier bucket with some other member: only their pairs are compared here."""
     bands, _ = settings.bands()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, ["key"], settings.block * 4):
             keys = rows["bands"].flatten().to_numpy().reshape(-1, bands)
@@ -113,7 +116,7 @@ def _needed(settings: JoinSettings):
             if stay.any():
                 kept = pa.array(np.flatnonzero(stay))
                 size = int(rows["size"][0].as_py()) if rows["size"][0].as_py() > n else int(stay.sum())
-                yield pa.RecordBatch.from_pydict({"key": rows["key"].take(kept), "rep": rows["rep"].take(kept), "size": pa.array(np.full(len(kept), size))})
+                yield pa.RecordBatch.from_pydict({"key": rows["key"].take(kept), "rep": rows["rep"].take(kept), "size": pa.array(np.full(len(kept), size)), "grams_here": rows["grams_here"].take(kept)})
 
     return run
 
@@ -122,6 +125,7 @@ def _verify(settings: JoinSettings):
     """Rows of a block pair of one bucket -> (node, links, root): the texts linked to node by pairs that meet here first, and the smallest node of what they link here."""
     bands, _ = settings.bands()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, ["key", "i", "j"]):
             key, i, j = (rows[c][0].as_py() for c in ("key", "i", "j"))
@@ -163,11 +167,10 @@ def _verify(settings: JoinSettings):
 
 
 def _payload(settings: JoinSettings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = text_bytes(batch.column("text"))
-            for at, to in slices(offsets, 1 << 22):
-                part = batch.slice(at, to - at)
+            for part in pieces(batch, PIECE):
                 grams, bounds = ngram_sets(part.column("text"), settings.n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "copies", "bands")), binary_lists(grams, bounds)], names=["rep", "copies", "bands", "grams"])
 
@@ -182,27 +185,29 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
 
     Texts with one set are one node, weighted by their number, so copies are never compared or expanded. Band keys of the nodes are shuffled, eight bytes a band; buckets of one are dropped. In a bucket only
     members with a partner that no earlier bucket shares stay, so a pair of near copies travels once, not once per band. Their full n-gram sets are then compared within the bucket, a pair only in its
-    first common bucket, so that links are counted without emitting a row per pair; a bucket of more than `block` members is split into block pairs, each a group of its own.
+    first common bucket, so that links are counted without emitting a row per pair; a bucket of more than `block` members or `block_grams` n-grams is split into block pairs, each a group of its own.
     What is emitted is a line per member and bucket. Links become classes by rounds of joins.
 
     A text of fewer than n words has one n-gram: all of them. Null texts, texts without words and null ids link with nothing; such a row has itself as class. doc_id names a text: rows that share
     one are linked, whatever their texts, and repeated rows of the smallest id of a class all have kept true (first_of_each leaves one). An empty table gives no rows. Columns named like a result are replaced.
     """
     keep = [c for c in plain_columns(docs, *RESULT) if c != "text"]
+    small_batches(docs)
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settled(source.mapInArrow(_sign(settings), "doc_id long, set_key binary, bands array<bigint>"), "signed")
+    signed = settled(source.mapInArrow(_sign(settings), "doc_id long, set_key binary, n_grams long, bands array<bigint>"), "signed")
     nodes = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = signed.join(nodes, "set_key").where("doc_id = rep").select("rep", "copies", "bands").dropDuplicates(["rep"])
+    reps = signed.join(nodes, "set_key").where("doc_id = rep").select("rep", "copies", "n_grams", "bands").dropDuplicates(["rep"])
     reps = settled(reps, "nodes")
-    members = reps.select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    candidates = members.join(shared, "key").join(reps.select("rep", "bands"), "rep")
+    members = reps.select("rep", "n_grams", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_grams").alias("grams_here")).where("size > 1")
+    candidates = members.drop("n_grams").join(shared, "key").join(reps.select("rep", "bands"), "rep")
     grouped = candidates.repartition("key").sortWithinPartitions("key")
-    needed = settled(grouped.mapInArrow(_needed(settings), "key long, rep long, size long"), "needed")
+    needed = settled(grouped.mapInArrow(_needed(settings), "key long, rep long, size long, grams_here long"), "needed")
     matched = reps.join(needed.select("rep").distinct(), "rep")
     texts = source.withColumnRenamed("doc_id", "rep").join(matched, "rep").dropDuplicates(["rep"])
     payload = texts.mapInArrow(_payload(settings), "rep long, copies long, bands array<bigint>, grams binary")
-    dealt = block_pairs(needed.join(payload, "rep"), "rep", settings.block)
+    blocks = F.ceil(F.greatest(F.col("size") / settings.block, F.least(F.col("size"), F.col("grams_here") / settings.block_grams))).cast("int")
+    dealt = block_pairs(needed.withColumn("blocks", blocks).drop("size", "grams_here").join(payload, "rep"), "rep")
     verified = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = settled(verified.mapInArrow(_verify(settings), "node long, links long, root long"), "found")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

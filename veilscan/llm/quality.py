@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import binary_lists, constants, distinct_by_text, mix64, pieces, text_bytes, with_columns, words_of
+from .arrays import binary_lists, constants, distinct_by_text, mix64, pieces, text_bytes, tidy, with_columns, words_of
 from .linear import Ftrl, FtrlModel, dots, sigmoid
-from .storage import plain_columns
+from .storage import plain_columns, small_batches
 
 RESULT = ("score", "predicted")
 PIECE = 1 << 19
@@ -84,6 +84,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
 
 
 def _examples(settings: QualitySettings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, PIECE):
@@ -96,6 +97,7 @@ def _examples(settings: QualitySettings):
 def _train(settings: QualitySettings):
     """One task over the bounded sample."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
         for batch in batches:
@@ -129,9 +131,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: QualitySettings
     Inputs of a score are the words of the whole text and their form, nothing else. Null counts as the empty text, which has a score of its own. Repeated rows score alike. An empty table gives
     no rows. Columns named like a result are replaced.
     """
+    small_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, settings))
     keep = plain_columns(docs, *RESULT)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, PIECE):

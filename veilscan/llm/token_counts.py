@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import pieces
-from .storage import plain_columns
+from .arrays import pieces, tidy
+from .storage import plain_columns, small_batches
 
 # Fixed value: the published pre-token pattern of the vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,8 +166,10 @@ def pre_token_trees(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     The leaves are the state to keep: node sums follow from them in one pass. A null text has none. Columns named like a result are replaced."""
     keep = [c for c in docs.columns if c not in ("leaves", "n_pretokens", "n_tokens")]
+    small_batches(docs)
     given = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PreTokenCounts(given.value)
         for batch in batches:
@@ -191,8 +193,10 @@ def edited_counts(trees: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     A document without edits is not encoded again. Null edits are none; a null text stays null if nothing is put in; overlapping edits and bounds outside the text are handled as apply_edits says."""
     keep = [c for c in trees.columns if c not in ("leaves", "edits", "n_edits", "n_tokens_after", "n_reencoded")]
+    small_batches(trees)
     given = trees.sparkSession.sparkContext.broadcast(ranks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PreTokenCounts(given.value)
         for batch in batches:
@@ -215,8 +219,10 @@ def edited_counts(trees: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def redaction_edits(docs: DataFrame) -> DataFrame:
     """The columns of docs, and edits: mail addresses and long numbers give way to a mark, runs of blanks or line breaks to one. Columns named like it are replaced."""
+    small_batches(docs)
     keep = plain_columns(docs, "edits")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())]))
         for batch in batches:

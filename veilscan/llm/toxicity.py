@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Words, binary_lists, distinct_by_text, mix64, run_hashes, slices, text_bytes, with_columns, words_of
+from .arrays import LOWER, Words, binary_lists, distinct_by_text, mix64, pieces, run_hashes, text_bytes, tidy, with_columns, words_of
 from .linear import Ftrl, FtrlModel, dots, sigmoid
-from .storage import plain_columns
+from .storage import plain_columns, small_batches
 
 # Seed words of the categories that the label table doesn't mark. A labelled text is an example of such a category if it is
 # labelled toxic and holds one of the words.
@@ -21,6 +21,7 @@ SEED_WORDS = {
     "contempt": ("disgusting", "filth", "garbage", "pathetic", "scum", "trash", "worthless"),
 }
 LAST = "toxic"
+PIECE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -67,9 +68,10 @@ def _seed_hashes() -> dict[str, np.ndarray]:
 def _examples(settings: ChainSettings):
     """Maps (doc_id, text, toxic) to feature numbers and a label per category."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seed_hashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, PIECE)):
             found, values, bounds, words = _features(*text_bytes(batch.column("text")), settings)
             toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
             labels = [toxic * (np.bincount(words.text[np.isin(words.hash, s)], minlength=len(toxic)) > 0) for s in seeds.values()] + [toxic]
@@ -82,35 +84,41 @@ def _examples(settings: ChainSettings):
 def _train(settings: ChainSettings):
     """One task over the bounded sample: the full chain, one row of weights per category."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, values, marks = [], [], []
+        size = 1 << settings.bits
+        rows, marks, seen = [], [], np.zeros(size, dtype=np.int32)
         for batch in batches:
-            rows += [np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in batch.column("features").to_pylist()]
-            values += [np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in batch.column("amounts").to_pylist()]
             marks += [np.frombuffer(x, dtype=np.uint8) for x in batch.column("marks").to_pylist()]
+            for found, amounts in zip(batch.column("features").to_pylist(), batch.column("amounts").to_pylist(), strict=True):
+                rows.append((np.frombuffer(found, dtype=np.uint32), np.frombuffer(amounts, dtype=np.float32)))
+                seen[rows[-1][0]] += 1
         names = settings.categories
         y = np.array(marks, dtype=np.float64).reshape(len(rows), len(names))
-        size = 1 << settings.bits
-        known = np.bincount(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), minlength=size) >= settings.min_rows
-        sparse = [(r[known[r]], v[known[r]]) for r, v in zip(rows, values, strict=True)]
+        learnt = np.flatnonzero(seen >= settings.min_rows)
+        number = np.full(size, -1, dtype=np.int32)
+        number[learnt] = np.arange(len(learnt))
+        for i, (found, amounts) in enumerate(rows):
+            at = number[found]
+            rows[i] = at[at >= 0], amounts[at >= 0]
         fold = np.random.default_rng(11).permutation(len(rows)) % settings.folds
         earlier = np.zeros((len(rows), 0))
         for j, name in enumerate(names):
             if not len(rows) or y[:, j].min() == y[:, j].max():  # nothing to tell apart: the share, or none
-                weights = np.zeros(size + j + 1)
+                weights = np.zeros(len(learnt) + j + 1)
                 weights[-1] = 35.0 if len(rows) and y[0, j] else -35.0
                 outside = y[:, j]
             else:
-                fit = lambda at: FtrlModel(size, j, settings.ftrl).fit([sparse[i] for i in at], y[at, j], earlier[at]).weights()  # noqa: B023, E731
+                fit = lambda at: FtrlModel(len(learnt), j, settings.ftrl).fit([rows[i] for i in at], y[at, j], earlier[at]).weights()  # noqa: B023, E731
                 outside = np.zeros(len(rows))
                 for k in range(settings.folds):
                     w = fit(np.flatnonzero(fold != k))
                     for i in np.flatnonzero(fold == k):
-                        outside[i] = sigmoid(w[sparse[i][0]] @ sparse[i][1] + earlier[i] @ w[size:-1] + w[-1])
+                        outside[i] = sigmoid(w[rows[i][0]] @ rows[i][1] + earlier[i] @ w[len(learnt) : -1] + w[-1])
                 weights = fit(np.arange(len(rows)))
             earlier = np.column_stack([earlier, outside])
-            used = np.flatnonzero(weights)
-            yield pa.RecordBatch.from_pydict({"category": [j], "at": [used.astype(np.int64).tobytes()], "weight": [weights[used].tobytes()]})
+            at = np.concatenate([learnt, size + np.arange(j + 1)])[weights != 0]
+            yield pa.RecordBatch.from_pydict({"category": [j], "at": [at.astype(np.int64).tobytes()], "weight": [weights[weights != 0].tobytes()]})
 
     return run
 
@@ -147,15 +155,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: ChainSettings = Chain
     A text is seen as its hashed words and word beginnings with their counts, all of them, however long it is; a null text has none. Word order and case don't count.
     Repeated rows score alike. No usable labels, or only one kind, make every probability of that category 0 or 1. An empty table gives no rows.
     """
+    small_batches(docs)
     models = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, settings))
     names = [f"p_{c}" for c in settings.categories]
     keep = plain_columns(docs, *names, "rejected")
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = text_bytes(batch.column("text"))
-            for at, to in slices(offsets, 1 << 22):
-                part = batch.slice(at, to - at)
+            for part in pieces(batch, PIECE):
                 p = chain_probabilities(models.value, *text_bytes(part.column("text")), settings)
                 yield with_columns(part, keep, **{n: pa.array(p[:, j]) for j, n in enumerate(names)}, rejected=pa.array(p[:, -1] >= settings.threshold))
 
