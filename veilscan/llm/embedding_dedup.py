@@ -149,7 +149,7 @@ def vector_links(embeddings: DataFrame, settings: VectorSettings = VectorSetting
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     per_node = nodes.join(links, "rep", "left").join(classes, "rep", "left")
     per_node = per_node.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    by_id = signed.select("vec_id", "same").join(per_node, "same").groupBy(F.col("vec_id").alias("its_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    joined = embeddings.select(*keep).join(by_id, F.col("vec_id") == F.col("its_id"), "left")
+    by_id = signed.select("vec_id", "same").join(per_node, "same").groupBy(F.col("vec_id").alias("_its_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    joined = embeddings.select(*keep).join(by_id, F.col("vec_id") == F.col("_its_id"), "left")
     result = joined.select(*keep, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

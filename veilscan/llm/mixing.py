@@ -59,26 +59,26 @@ def mixed(
     their own. An empty table gives no rows. Columns named like a result are replaced.
     """
     keep = plain_columns(docs, *RESULT) if carry is None else ["doc_id", "source", *carry]
-    sized = docs.select(*keep, word_count().alias("size"), F.xxhash64("text").alias("mix_checksum"))
-    order = ["source", "size", "doc_id", "mix_checksum"]
-    numbered = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mix_row", F.monotonically_increasing_id())
-    dealt = settled(numbered.withColumn("mix_part", F.spark_partition_id()), "mix")
+    sized = docs.select(*keep, word_count().alias("size"), F.xxhash64("text").alias("_mix_checksum"))
+    order = ["source", "size", "doc_id", "_mix_checksum"]
+    numbered = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mix_row", F.monotonically_increasing_id())
+    dealt = settled(numbered.withColumn("_mix_part", F.spark_partition_id()), "mix")
     targets = source_targets(dealt.select("source", "size"), weights, share, cap)
-    counts = dealt.groupBy("source", "mix_part").agg(F.count("*").alias("n"), F.min("mix_row").alias("first_row"))
-    earlier = Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("source", "_mix_part").agg(F.count("*").alias("n"), F.min("_mix_row").alias("first_row"))
+    earlier = Window.partitionBy("source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    places = places.join(targets.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")))
+    places = places.join(targets.withColumnRenamed("source", "_its"), F.col("source").eqNullSafe(F.col("_its")))
     # written first, so that Spark knows its size when it chooses how to join; the partition alone is the key where a source can be null
-    places = settled(places.select("mix_part", F.col("source").alias("its"), (F.col("n_before") - F.col("first_row")).alias("shift"), "source_size", "target"), "places")
-    rows = dealt.join(places.withColumnRenamed("mix_part", "its_part"), (F.col("mix_part") == F.col("its_part")) & F.col("source").eqNullSafe(F.col("its")))
+    places = settled(places.select("_mix_part", F.col("source").alias("_its"), (F.col("n_before") - F.col("first_row")).alias("_shift"), "source_size", "target"), "places")
+    rows = dealt.join(places.withColumnRenamed("_mix_part", "_its_part"), (F.col("_mix_part") == F.col("_its_part")) & F.col("source").eqNullSafe(F.col("_its")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     offset = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
-    place = F.col("mix_row") + F.col("shift") + 1
+    place = F.col("_mix_row") + F.col("_shift") + 1
     copies = (F.floor(offset + rate * place) - F.floor(offset + rate * (place - 1))).cast("long")
     return rows.withColumn("copies", copies).select(*keep, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emitted(mix: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mix.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy")
+    return mix.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")

@@ -217,10 +217,10 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
     sizes = per_node.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     by_set = nodes.select("set_key", "rep").join(per_node.drop("copies"), "rep").join(sizes, "class_id")
     by_doc = signed.select("doc_id", "set_key").join(by_set.drop("rep"), "set_key")
-    by_doc = by_doc.groupBy(F.col("doc_id").alias("its_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("class_size").alias("class_size"))
+    by_doc = by_doc.groupBy(F.col("doc_id").alias("_its_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("class_size").alias("class_size"))
     return (
         docs.select(*keep)
-        .join(by_doc, F.col("doc_id") == F.col("its_id"), "left")
+        .join(by_doc, F.col("doc_id") == F.col("_its_id"), "left")
         .select(*keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
         .withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
     )
@@ -228,7 +228,7 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
 
 def first_of_each(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     """The rows of docs with one document of each class left, the one with the smallest id; rows that repeat an id leave one, rows without an id all stay."""
-    stay = settled(similarity_classes(docs.select("doc_id", "text"), settings).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("its_id")).agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(stay.where("n = 1"), F.col("doc_id") == F.col("its_id"), "left_semi")
-    repeated = docs.join(stay.where("n > 1"), F.col("doc_id") == F.col("its_id"), "left_semi").dropDuplicates(["doc_id"])
+    stay = settled(similarity_classes(docs.select("doc_id", "text"), settings).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_its_id")).agg(F.count("*").alias("_n")), "stay")
+    kept = docs.join(stay.where("_n = 1"), F.col("doc_id") == F.col("_its_id"), "left_semi")
+    repeated = docs.join(stay.where("_n > 1"), F.col("doc_id") == F.col("_its_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))

@@ -28,29 +28,29 @@ def byte_shards(docs: DataFrame, shards: int = 40, row_bytes: int = 16, carry: t
     octets = F.coalesce(F.octet_length("text"), F.lit(0)).cast(LONG)
     slim = docs.select("doc_id", *carry, (octets + row_bytes).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     order = ["doc_id", "text_crc32", "size"]
-    dealt = settled(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    dealt = settled(slim.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(F.sum("size").alias("_part_bytes"), F.count("*").alias("_part_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = totals.select(
-        "part",
-        F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("part_bytes").over(Window.partitionBy()).alias("all_bytes"),
+        "_part",
+        F.coalesce(F.sum("_part_bytes").over(before), F.lit(0)).alias("_bytes_before"),
+        F.coalesce(F.sum("_part_rows").over(before), F.lit(0)).alias("_rows_before"),
+        F.sum("_part_bytes").over(Window.partitionBy()).alias("_all_bytes"),
     )
-    inside = Window.partitionBy("part").orderBy(*order)
-    running = dealt.withColumn("bytes_to", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row_at", F.row_number().over(inside))
-    placed = running.join(F.broadcast(offsets), "part").select(
+    inside = Window.partitionBy("_part").orderBy(*order)
+    running = dealt.withColumn("_bytes_to", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_row_at", F.row_number().over(inside))
+    placed = running.join(F.broadcast(offsets), "_part").select(
         "doc_id",
         *carry,
         "size",
         "text_crc32",
-        (F.col("rows_before") + F.col("row_at")).alias("place"),
+        (F.col("_rows_before") + F.col("_row_at")).alias("_place"),
         # twice the middle of the row on the line of all bytes, against twice the length of the line
-        F.expr(f"least(cast(({shards}L * (2 * (bytes_before + bytes_to) - size)) div (2 * all_bytes) as int), {shards - 1})").alias("shard"),
+        F.expr(f"least(cast(({shards}L * (2 * (_bytes_before + _bytes_to) - size)) div (2 * _all_bytes) as int), {shards - 1})").alias("shard"),
     )
     placed = settled(placed, "placed")
-    starts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row per shard
-    return placed.join(F.broadcast(starts), "shard").select("doc_id", *carry, "size", "text_crc32", "shard", (F.col("place") - F.col("first")).cast(LONG).alias("slot"))
+    starts = placed.groupBy("shard").agg(F.min("_place").alias("_first"))  # one row per shard
+    return placed.join(F.broadcast(starts), "shard").select("doc_id", *carry, "size", "text_crc32", "shard", (F.col("_place") - F.col("_first")).cast(LONG).alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> DataFrame:
