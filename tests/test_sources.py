@@ -344,3 +344,17 @@ def test_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     batch = scan_records(text_records(table, "t", "id", "text"), spec).findings
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count() > 10
+
+
+def test_no_column_holds_a_masked_path(spark, tree):
+    for mode in ("basename", "hash", "redacted"):
+        out = FileOutput(mask_mode=mode, base_dirs=(tree,), report_path=f"{tree}/out/output.json")
+        rows = read_files(spark, [Location("a", (f"{tree}/in",))], out).select("source_id", "source_path", "metadata").collect()
+        assert rows and not any(tree in repr(r) for r in rows)
+
+
+def test_datasets_below_the_report_path_are_not_read(spark, tmp_path):
+    put(str(tmp_path), "in/a.txt", PROFILE)
+    put(str(tmp_path), "in/report/findings/part-0.json", PROFILE)
+    out = FileOutput(report_path=str(tmp_path / "in/report"))
+    assert read_files(spark, [Location("a", (str(tmp_path / "in"),))], out).count() == 1

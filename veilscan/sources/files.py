@@ -115,10 +115,12 @@ def _listed(spark: SparkSession, location: Location, index: int, output: FileOut
         if is_dir and location.recursive:
             files = files.filter(~dir_pruned(path, root, location.exclude_dirs))
         if output.report_path:
-            files = files.filter(F.expr(path) != os.path.abspath(output.report_path))
+            own = os.path.abspath(output.report_path)
+            files = files.filter((F.expr(path) != own) & ~F.expr(path).startswith(own.rstrip("/") + "/"))
         frames.append(
             files.select(
-                F.concat(F.lit(f"{index}.{position}:"), F.expr(path)).alias("source_id"),
+                # a digest, so that no report says more of the path than its mask lets it
+                F.concat(F.lit(f"{index}.{position}:"), F.sha2(F.concat(F.lit(f"{output.hash_salt}|"), F.expr(path)), 256)).alias("source_id"),
                 F.expr(path).alias("path"),
                 F.col("_metadata.file_size").alias("size"),
                 F.col("content"),
