@@ -16,7 +16,7 @@ from veilscan.operators.detect import Boost, DetectOptions
 from veilscan.operators.findings import category_of, in_report_order
 from veilscan.operators.postprocess import dedup_spans, resolve_same_span
 from veilscan.operators.recognisers import Pattern, Recogniser
-from veilscan.operators.report import entity_profile, findings_per_source, global_stats, plugin_summary, sources_report
+from veilscan.operators.report import entity_profile, findings_per_source, plugin_summary, source_rows
 from veilscan.plans.config import ScanSpec, rules_for
 from veilscan.plans.scan import find_in_records, scan_records, scan_text
 from veilscan.rules import EntityRule, RuleSet, layered_rule_frame
@@ -502,7 +502,7 @@ def global_counts(spark, sf_dir):
 @query
 def plugin_counts(spark, sf_dir):
     result = scan_records(_gated_records(spark, sf_dir), ScanSpec(PLAIN_RULES))
-    return plugin_summary(spark, result.sources, ["documents", "pages", "database"])
+    return plugin_summary(spark, source_rows(result.records), result.findings, ["documents", "pages", "database"])
 
 
 @query
@@ -656,7 +656,7 @@ def effective_thresholds(spark, sf_dir):
 @query
 def db_targets(spark, sf_dir):
     """Databases named after nations, selected and excluded without regard to case."""
-    found = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     names = found.groupBy(F.concat(F.lit(" Db_"), "n_name").alias("name")).agg(F.count("*").alias("tables"))
     chosen = tb.select_databases(names, exclude=("db_nation_3", "DB_NATION_11 ", "DB_FRANCE"))
     named = tb.select_databases(names, include=("DB_NATION_1", "db_nation_2", "db_india"), exclude=("db_nation_2",))

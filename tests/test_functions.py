@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import checks, paths, urls
 from veilscan.functions.context import near_word, tokens_after, tokens_before
-from veilscan.functions.regexes import glob_regex, jvm_pattern, matches_empty
+from veilscan.functions.regexes import PLAIN_FLAGS, glob_regex, jvm_pattern, matches_empty, usable
 from veilscan.functions.spans import regex_spans
+from veilscan.functions.sqltext import text_literal
 from veilscan.operators.recognisers import AADHAAR, BANK_ACCOUNT, EMAIL, EMAIL_JVM, Pattern
 
 FLAGS = re.I | re.M | re.S
@@ -136,3 +137,15 @@ def test_urls(spark):
     assert column(spark, urls.source_type("'RDS'", "'mariadb'", "v"), url[:1]) == ["mysql"]
     assert column(spark, urls.schema_part("v"), ["a.b.t", "t"]) == ["a.b", ""]
     assert column(spark, urls.table_part("v"), ["a.b.t", "t"]) == ["t", "t"]
+
+
+@pytest.mark.parametrize("pattern", [r"[[(]", r"^[a&&b]", r"a\Z", r"[]x]+", r"[^]a]", r"[\]\[-]", r"\[b", r"(?P<q>a)(?P=q)"])
+def test_python_patterns_on_the_jvm(spark, pattern):
+    values = ["asha@x", "b", "[(]", "&", "a", "a\n", "xx]", "-[b", "aa", ""]
+    sql = f"t RLIKE {text_literal(jvm_pattern(pattern, PLAIN_FLAGS))} AS hit"
+    got = {r["t"]: r["hit"] for r in spark.createDataFrame([(v,) for v in values], "t string").selectExpr("t", sql).collect()}
+    assert got == {v: re.search(pattern, v) is not None for v in values}
+
+
+def test_patterns_that_match_nothing_are_left_out():
+    assert not usable(r"\d*") and not usable("(") and usable(r"\d+")

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 from dataclasses import replace
 
@@ -6,6 +7,7 @@ import pytest
 from fixtures import AADHAAR, EXPORT, HARMLESS, NEAR_MISSES, PROFILE, REPEATED
 from pyspark.sql import functions as F
 
+from veilscan.functions.spans import regex_spans
 from veilscan.operators.detect import Boost, DetectOptions
 from veilscan.operators.postprocess import dedup_spans, resolve_same_span
 from veilscan.operators.recognisers import ModelRecogniser, Pattern, Recogniser, india_recognisers
@@ -94,6 +96,31 @@ def test_segment_cores_partition_the_text(spark):
     assert all(len(r["body"]) <= 160 for r in rows)
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é ".join(f"word{i} 12345{i}" for i in range(20000))
+    spans = spark.createDataFrame([(text,)], "t string").selectExpr(f"inline({regex_spans('t', chr(92) + 'd+')})").collect()
+    assert [(r["start"], r["stop"], r["value"]) for r in spans] == [(*m.span(), m[0]) for m in re.finditer(r"\d+", text)]
+
+
+def test_texts_below_the_chunk_size_are_whole(spark):
+    url = "https://example.org/" + "a" * 2500
+    text = "x " * 2000 + url + " " + "1234 " * 4000
+    spec = ScanSpec(RuleSet(score_threshold=0.0))
+    rows = found(spark, spec, text)
+    assert url in {r["value"] for r in rows if r["entity_type"] == "URL"}
+    key = lambda r: (r["start"], r["end"], r["entity_type"])
+    assert sorted(map(key, rows)) == sorted(map(key, found(spark, replace(spec, segment_chars=0), text)))
+    assert spec_from({"analyser_section": {"chunk_size_chars": 12345}}).segment_chars == 12345
+
+
+def test_windows_wider_than_a_segment(spark):
+    rule = EntityRule(required_context=("beacon",), context_window_chars=12000)
+    rec = Recogniser("DIGITS", "digits", (Pattern("d", r"\b\d{6}\b", 0.9),))
+    spec = only(rec, rules=RuleSet(score_threshold=0.0, entity_rules={"DIGITS": rule}))
+    text = "beacon " + "x " * 5000 + "123456" + " y" * 3000
+    assert len(found(spark, replace(spec, segment_chars=500), text)) == len(found(spark, replace(spec, segment_chars=0), text)) == 1
+
+
 def test_blank_text_is_not_scanned(spark):
     assert explode_segments(texts(spark, " \n\t ", "x"), "text", 100, 10).count() == 1
 

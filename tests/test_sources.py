@@ -318,9 +318,25 @@ def test_all_sources(spark, tree, crm):
 
 def test_catalog_reader(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS default.people USING parquet AS SELECT 'a@b.com' AS email")
-    tables = catalog_tables(spark)({}, "default")
+    tables = catalog_tables(spark)({"url": "catalog:default"}, "default")
     assert "people" in tables and tables["people"].columns == ["email"]
     spark.sql("DROP TABLE default.people")
+    with pytest.raises(ValueError):  # the catalog's tables are not those of another URL
+        catalog_tables(spark)({"url": "mysql://h/default"}, "default")
+
+
+def test_detector_switch_for_all_connections(spark, crm):
+    connections = [{"name": "a", "url": "mysql://h/d"}, {"name": "b", "url": "mysql://h/d", "detector": {"enabled": True}}]
+    rows = read_databases(spark, {"detector": {"enabled": False}, "connections": connections}, recognisers(), lambda *_: crm).collect()
+    assert [r["record_type"] for r in rows if r["source_path"] == "db://a"] == ["skip"]
+    assert any(r["source_path"].startswith("db://b/table:") for r in rows)
+
+
+def test_totals_with_repeated_ids(spark):
+    table = spark.createDataFrame([(1, "a@b.com"), (1, "c@d.org")], "id long, text string")
+    result = scan_records(text_records(table, "t", "id", "text"), ScanSpec(rules_for("default")))
+    assert result.findings.count() == 2 and result.stats.first()["total_findings"] == 2
+    assert [(r["sources_scanned"], r["findings"]) for r in result.plugins().collect() if r["plugin"] == "table"] == [(2, 2)]
 
 
 def test_detector_output(spark):

@@ -14,7 +14,22 @@ RULE_FLAGS = "(?idU)"
 
 def jvm_pattern(pattern: str, flags: str = ANALYSER_FLAGS) -> str:
     """The same pattern for java.util.regex, with ``flags`` in front."""
-    return flags + pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<")
+    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    return flags + re.sub(_TOKEN, _jvm_token, named)
+
+
+# An escaped character, or a whole character class.
+_TOKEN = r"(?s)\\.|\[\^?\]?(?:\\.|[^\]\\])*\]"
+
+
+def _jvm_token(token: re.Match[str]) -> str:
+    """``\\Z`` is the very end in Python; in a class ``[``, ``&&`` and a leading ``]`` stand for themselves."""
+    text = token[0]
+    if text[0] == "\\":
+        return "\\z" if text == "\\Z" else text
+    head = "[^" if text.startswith("[^") else "["
+    body = re.sub(r"(?s)\\.|[\[\]&]", lambda c: c[0] if c[0][0] == "\\" else "\\" + c[0], text[len(head) : -1])
+    return f"{head}{body}]"
 
 
 def compiles(pattern: str) -> bool:
@@ -30,6 +45,11 @@ def matches_empty(pattern: str) -> bool:
     return re.search(pattern, "") is not None
 
 
+def usable(pattern: str) -> bool:
+    """A pattern that compiles and finds no empty spans; a declared pattern that does not is left out by itself."""
+    return compiles(pattern) and not matches_empty(pattern)
+
+
 def literal(text: str) -> str:
     """Escape ``text`` so that it stands for itself in both regex dialects."""
     return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)

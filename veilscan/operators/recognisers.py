@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 
 from ..functions import checks
-from ..functions.regexes import PLAIN_FLAGS, compiles, jvm_pattern, literal, matches_empty
+from ..functions.regexes import PLAIN_FLAGS, jvm_pattern, literal, matches_empty, usable
 from ..rules import RuleSet
 
 SqlTest = Callable[[str, str], str]
@@ -172,7 +172,7 @@ def declared_recognisers(rules: RuleSet) -> list[Recogniser]:
         patterns = tuple(
             Pattern(str(p["name"]).strip(), str(p["regex"]).strip(), float(p.get("score", 0.5)), p.get("needs"))
             for p in declared
-            if str(p.get("name") or "").strip() and str(p.get("regex") or "").strip() and compiles(str(p["regex"]).strip())
+            if str(p.get("name") or "").strip() and str(p.get("regex") or "").strip() and usable(str(p["regex"]).strip())
         )
         if entity and name and patterns and rules.rule(entity).enabled:
             context = tuple(str(w) for w in item.get("context") or () if str(w).strip())

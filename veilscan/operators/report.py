@@ -13,12 +13,12 @@ def findings_per_source(findings: DataFrame) -> DataFrame:
     return findings.groupBy("source_id").agg(F.count("*").alias("findings_count"))
 
 
-def sources_report(records: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row per record: scanned with its findings count, skipped with a reason, or failed with an error."""
+def source_rows(records: DataFrame) -> DataFrame:
+    """One row per record: scanned, skipped with a reason, or failed with an error."""
     kind = F.col("record_type")
     status = F.when(kind == SOURCE, "scanned").when(kind == SKIP, "skipped").otherwise("failed")
     unknown = F.concat(F.lit("Unknown source record type: "), kind)
-    rows = records.select(
+    return records.select(
         "source_id",
         F.col("source_path").alias("file_path"),
         status.alias("status"),
@@ -28,7 +28,11 @@ def sources_report(records: DataFrame, findings: DataFrame) -> DataFrame:
         F.col("plugin_name").alias("source_plugin"),
         F.col("metadata").alias("source_metadata"),
     )
-    counted = rows.join(findings_per_source(findings), "source_id", "left")
+
+
+def sources_report(records: DataFrame, findings: DataFrame) -> DataFrame:
+    """The source rows with the findings count of their id."""
+    counted = source_rows(records).join(findings_per_source(findings), "source_id", "left")
     # Skipped sources carry no count.
     count = F.when(F.col("status") != "skipped", F.coalesce("findings_count", F.lit(0)))
     return counted.withColumn("findings_count", count)
@@ -38,18 +42,25 @@ def _status_counts() -> list:
     return [F.count_if(F.col("status") == s).alias(f"sources_{s}") for s in ("scanned", "skipped", "failed")]
 
 
-def global_stats(report: DataFrame) -> DataFrame:
+def _with_findings(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """Source rows and a row per finding, added up without a join, so that a repeated source id does no harm."""
+    statuses = rows.select(F.col("source_plugin").alias("plugin"), "status", F.lit(0).alias("finding"))
+    found = findings.select(F.col("source_plugin").alias("plugin"), F.lit(None).cast("string").alias("status"), F.lit(1).alias("finding"))
+    return statuses.unionByName(found)
+
+
+def global_stats(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: the source counts, the same counts under their file names, and the number of findings."""
-    total = F.coalesce(F.sum("findings_count"), F.lit(0)).alias("total_findings")
-    stats = report.agg(*_status_counts(), total)
+    total = F.coalesce(F.sum("finding"), F.lit(0)).alias("total_findings")
+    stats = _with_findings(rows, findings).agg(*_status_counts(), total)
     files = [F.col(f"sources_{s}").alias(f"files_{s}") for s in ("scanned", "skipped", "failed")]
     return stats.select(*files, *stats.columns)
 
 
-def plugin_summary(spark: SparkSession, report: DataFrame, plugins: list[str]) -> DataFrame:
+def plugin_summary(spark: SparkSession, rows: DataFrame, findings: DataFrame, plugins: list[str]) -> DataFrame:
     """Counts per plugin; a configured plugin without any source is listed with zeros."""
-    findings = F.coalesce(F.sum("findings_count"), F.lit(0)).alias("findings")
-    per_plugin = report.groupBy(F.col("source_plugin").alias("plugin")).agg(*_status_counts(), findings)
+    total = F.coalesce(F.sum("finding"), F.lit(0)).alias("findings")
+    per_plugin = _with_findings(rows, findings).groupBy("plugin").agg(*_status_counts(), total)
     configured = spark.createDataFrame([(p,) for p in plugins], "plugin string")
     return per_plugin.join(configured, "plugin", "full").na.fill(0)
 

@@ -74,8 +74,8 @@ class ScanSpec:
 
     rules: RuleSet
     detect: DetectOptions = DetectOptions()
-    # The core length that texts are cut into; results do not depend on it. Zero or less keeps texts whole.
-    segment_chars: int = 4096
+    # Texts up to this length are scanned whole, longer ones in cores of it. Zero or less keeps all texts whole.
+    segment_chars: int = 200000
     overlap_chars: int = 500
     extra_recognisers: tuple[Recogniser, ...] = ()
     models: tuple[ModelRecogniser, ...] = ()
@@ -211,7 +211,7 @@ def spec_from(config: Mapping[str, Any], config_dir: str = ".") -> ScanSpec:
             allow_list_match=str(analyser.get("allow_list_match") or "exact"),
             snippet_chars=int(output["snippet_context_chars"]) if output["include_text_snippet"] else None,
         ),
-        segment_chars=ScanSpec.segment_chars if chunk > 0 else 0,
+        segment_chars=max(chunk, 0),
         overlap_chars=max(ScanSpec.overlap_chars, overlap),
         locations=_locations(merged),
         files=FileOutput(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.detect import detect
 from ..operators.findings import in_report_order, to_findings
 from ..operators.recognisers import select_recognisers
-from ..operators.report import global_stats, plugin_summary, sources_report
+from ..operators.report import global_stats, plugin_summary, source_rows, sources_report
 from ..operators.segments import explode_segments
 from ..schemas import ERROR, SOURCE
 from ..sources.databases import DatabaseLister, TableReader, catalog_tables, database_findings, read_databases
@@ -23,8 +23,9 @@ from .config import ScanSpec
 
 def scan_text(table: DataFrame, text: str, spec: ScanSpec) -> DataFrame:
     """Spans of one text column; the other columns of the table are carried along."""
-    size = spec.segment_chars
-    segments = explode_segments(table, text, size, min(spec.margin_chars, size) if size > 0 else 0)
+    # A core is never shorter than the margin, which must hold the widest window of any rule.
+    size = max(spec.segment_chars, spec.margin_chars) if spec.segment_chars > 0 else 0
+    segments = explode_segments(table, text, size, spec.margin_chars)
     recognisers = select_recognisers(spec.rules, spec.extra_recognisers)
     return detect(segments, recognisers, spec.rules, spec.detect, spec.models)
 
@@ -50,16 +51,16 @@ class ScanResult:
 
     @property
     def stats(self) -> DataFrame:
-        return global_stats(self.sources)
+        return global_stats(source_rows(self.records), self.findings)
 
     def plugins(self) -> DataFrame:
-        return plugin_summary(self.records.sparkSession, self.sources, list(self.spec.plugins))
+        return plugin_summary(self.records.sparkSession, source_rows(self.records), self.findings, list(self.spec.plugins))
 
     def save(self, path: str, fmt: str = "json", ordered: bool = False) -> ScanResult:
         """Write ``findings``, ``sources``, ``stats``, ``plugins`` and ``run`` as datasets below ``path``.
 
         Texts are scanned once: the counts come from the findings as written. ``ordered`` sorts the findings in
-        report order, which costs a range shuffle.
+        report order, which costs a range shuffle. On a cluster ``path`` must be on shared storage.
         """
         spark = self.records.sparkSession
         started = _utc_now(spark)
@@ -69,8 +70,8 @@ class ScanResult:
         saved = ScanResult(self.spec, self.records, written)
         saved.sources.write.mode("overwrite").format(fmt).save(f"{path}/sources")
         report = spark.read.schema(saved.sources.schema).format(fmt).load(f"{path}/sources")
-        global_stats(report).write.mode("overwrite").format(fmt).save(f"{path}/stats")
-        plugin_summary(spark, report, list(self.spec.plugins)).write.mode("overwrite").format(fmt).save(f"{path}/plugins")
+        global_stats(report, written).write.mode("overwrite").format(fmt).save(f"{path}/stats")
+        plugin_summary(spark, report, written, list(self.spec.plugins)).write.mode("overwrite").format(fmt).save(f"{path}/plugins")
         run_frame(spark, self.spec, started).write.mode("overwrite").format(fmt).save(f"{path}/run")
         return saved
 

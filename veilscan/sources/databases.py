@@ -33,10 +33,21 @@ TableReader = Callable[[Mapping[str, Any], str], Mapping[str, DataFrame]]
 DatabaseLister = Callable[[Mapping[str, Any]], list[str]]
 
 
+def connection_url(connection: Mapping[str, Any]) -> str:
+    """The first of the four URL settings that is not blank."""
+    urls = (str(connection.get(k) or "").strip() for k in ("url", "uri", "connection_string", "dsn"))
+    return next((u for u in urls if u), "")
+
+
 def catalog_tables(spark: SparkSession) -> TableReader:
-    """Reads every table of the named database in the session catalog."""
+    """Reads every table of the named database in the session catalog, for connections whose URL begins with ``catalog:``.
+
+    Any other URL is refused, since the catalog's tables are not those it names.
+    """
 
-    def read(_connection: Mapping[str, Any], database: str) -> Mapping[str, DataFrame]:
+    def read(connection: Mapping[str, Any], database: str) -> Mapping[str, DataFrame]:
+        if not connection_url(connection).startswith("catalog:"):
+            raise ValueError("no reader for this URL; pass read_tables, or a URL that begins with catalog:")
         names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
         return {name: spark.table(f"`{database}`.`{name}`") for name in names}
 
@@ -155,7 +166,7 @@ def _connection_parts(
         own = connection.get(key)
         return settings.get(key, default) if own is None else own
 
-    url = next((u for u in (str(connection.get(k) or "").strip() for k in ("url", "uri", "connection_string", "dsn")) if u), "")
+    url = connection_url(connection)
     if not url:
         return [row(ERROR, f"db://{name}", "Missing connection URL (url/uri/connection_string/dsn).")]
     wanted = table_filter(connection)
@@ -183,7 +194,8 @@ def _connection_parts(
     parts = []
     for database in targets:
         shown = f"{name}:{database}" if len(targets) > 1 else name
-        if not (connection.get("detector") or {}).get("enabled", True):
+        detector = {**(settings.get("detector") or {}), **(connection.get("detector") or {})}
+        if not detector.get("enabled", True):
             parts.append(row(SKIP, f"db://{shown}", "Column detection is disabled for this connection."))
             continue
         tables = read_tables(connection, database)

@@ -23,8 +23,9 @@ PLUGIN = "filesystem"
 # Extensions read as text, extensions with an extractor, and the default scan settings.
 TEXT_EXTENSIONS = (".txt", ".csv", ".json", ".log", ".md", ".xml", ".yaml", ".yml")
 DOCX = ".docx"
-UNEXTRACTED = (".pdf", ".png", ".jpg", ".jpeg")
-DEFAULT_EXTENSIONS = (*TEXT_EXTENSIONS, ".pdf", DOCX, ".png", ".jpg", ".jpeg")
+PDF = ".pdf"
+UNEXTRACTED = (PDF, ".png", ".jpg", ".jpeg")
+DEFAULT_EXTENSIONS = (*TEXT_EXTENSIONS, PDF, DOCX, ".png", ".jpg", ".jpeg")
 DEFAULT_EXCLUDE_DIRS = (".git", ".idea", ".venv", "venv", "__pycache__", "node_modules", "dist", "build")
 DEFAULT_EXCLUDE_GLOBS = ("*.pyc", "*.pyo", "*.DS_Store")
 
@@ -141,12 +142,14 @@ def _file_records(files: DataFrame, location: Location, output: FileOutput) -> D
     texts = ", ".join(f"'{e}'" for e in TEXT_EXTENSIONS)
     kind = f"lower({suffix('path')})"
     never = ", ".join(f"'{e}'" for e in UNEXTRACTED)
+    # No PDF text can be had here, so such files are shown as skipped, not as scanned without findings.
+    pdf = extension == PDF
     plain = small.filter(extension != DOCX).select(
         *_provenance(output),
-        F.lit(SOURCE).alias("record_type"),
+        F.when(pdf, SKIP).otherwise(SOURCE).alias("record_type"),
         F.expr(f"CASE WHEN {kind} IN ({texts}) THEN {decoded('content')} WHEN {kind} IN ({never}) THEN '' ELSE {other} END").alias("text"),
         _hash(output).alias("content_hash"),
-        F.lit(None).cast("string").alias("reason"),
+        F.when(pdf, "PDF text extraction is not available").alias("reason"),
     )
     documents = small.filter(extension == DOCX).select(
         *_provenance(output), _hash(output).alias("content_hash"), "content"
