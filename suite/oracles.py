@@ -373,16 +373,20 @@ ORACLES["union_sources"] = union(
         for n, src in (("documents", DOCS), ("pages", PAGES), ("conversations", TURNS))
     )
 )
-STATUS = union(
-    *(
-        f"""SELECT concat('table://{n}/', a.id) AS file_path, CASE WHEN octet_length(encode(a.text)) > 8000 THEN 'skipped' ELSE 'scanned' END AS status,
-        CASE WHEN octet_length(encode(a.text)) > 8000 THEN 'File larger than 8000 bytes' END AS reason, CAST(NULL AS VARCHAR) AS error,
-        CASE WHEN octet_length(encode(a.text)) <= 8000 THEN coalesce(c.n, 0) END AS findings_count, '{n}' AS source_plugin
-        FROM ({src}) a LEFT JOIN (SELECT id, count(*) AS n FROM ({plain_findings(src)}) GROUP BY id) c ON a.id = c.id"""
-        for n, src in (("documents", DOCS), ("pages", PAGES))
+def statuses(too_large: str) -> str:
+    return union(
+        *(
+            f"""SELECT concat('table://{n}/', a.id) AS file_path, CASE WHEN {too_large} THEN 'skipped' ELSE 'scanned' END AS status,
+            CASE WHEN {too_large} THEN 'File larger than 8000 bytes' END AS reason, CAST(NULL AS VARCHAR) AS error,
+            CASE WHEN NOT ({too_large}) THEN coalesce(c.n, 0) END AS findings_count, '{n}' AS source_plugin
+            FROM ({src}) a LEFT JOIN (SELECT id, count(*) AS n FROM ({plain_findings(src)}) GROUP BY id) c ON a.id = c.id"""
+            for n, src in (("documents", DOCS), ("pages", PAGES))
+        )
     )
-)
-ORACLES["scan_status"] = STATUS
+
+
+STATUS = statuses("false")
+ORACLES["scan_status"] = statuses("octet_length(encode(a.text)) > 8000")
 COUNTS = "count(*) FILTER (status = 'scanned') AS {0}_scanned, count(*) FILTER (status = 'skipped') AS {0}_skipped, count(*) FILTER (status = 'failed') AS {0}_failed"
 ORACLES["global_counts"] = (
     f"SELECT {COUNTS.format('files')}, {COUNTS.format('sources')}, CAST(sum(findings_count) AS BIGINT) AS total_findings FROM ({STATUS})"
@@ -392,11 +396,11 @@ ORACLES["plugin_counts"] = (
     f"FROM (VALUES ('documents'), ('pages'), ('database')) AS p(plugin) LEFT JOIN ({STATUS}) s ON s.source_plugin = p.plugin GROUP BY p.plugin"
 )
 ORACLES["findings_count_per_source"] = f"SELECT file_path AS source_id, count(*) AS findings_count FROM ({FOUND}) GROUP BY 1"
-ENGLISH = f"SELECT doc_id AS id, text FROM documents WHERE lang = 'en'"
-ORACLES["blank_sources"] = f"""SELECT 'scanned' AS status, count(*) AS sources, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings, count(n) AS with_findings
-    FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM ({plain_findings(ENGLISH)}) GROUP BY id) c ON d.doc_id = c.id"""
+ORACLES["blank_sources"] = f"""SELECT 'scanned' AS status, false AS blank, count(*) AS sources, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings, count(n) AS with_findings
+    FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM ({plain_findings(DOCS)}) GROUP BY id) c ON d.doc_id = c.id
+    UNION ALL SELECT 'scanned', true, count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM documents"""
 ORACLES["findings_sorted_topk"] = (
-    f'SELECT file_path, start, "end", score, entity_type, text FROM ({FOUND}) ORDER BY file_path, start, "end", score DESC, entity_type LIMIT 100'
+    f'SELECT file_path, start, "end", score, entity_type, text FROM ({FOUND}) ORDER BY file_path, start, "end", score DESC, entity_type LIMIT 50'
 )
 ORACLES["content_hash"] = "SELECT concat('table://documents/', doc_id) AS source_path, sha256(text) AS content_hash FROM documents"
 ORACLES["text_decode"] = (
@@ -509,7 +513,7 @@ def value_counts() -> str:
     tables = (
         ("crm", "contact", CONTACT, ("contact_email", "login", "c_name", "c_mktsegment", "origin")),
         ("", "ledger", LEDGER, ("ref", "o_orderpriority", "o_orderstatus")),
-        ("", "documents", DOCS, ("text",)),
+        ("", "documents", "SELECT text, lang, source FROM documents", ("text", "lang", "source")),
         ("", "events", "SELECT event_type, props FROM events", ("event_type", "props")),
     )
     rows = []

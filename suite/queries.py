@@ -488,6 +488,12 @@ def _gated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(parts)
 
 
+def _whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and pages as two plugins."""
+    both = (("documents", _doc_records(spark, sf_dir)), ("pages", _page_records(spark, sf_dir)))
+    return union_all(records.withColumn("plugin_name", F.lit(name)) for name, records in both)
+
+
 @query
 def scan_status(spark, sf_dir):
     result = scan_records(_gated_records(spark, sf_dir), ScanSpec(PLAIN_RULES))
@@ -496,12 +502,12 @@ def scan_status(spark, sf_dir):
 
 @query
 def global_counts(spark, sf_dir):
-    return scan_records(_gated_records(spark, sf_dir), ScanSpec(PLAIN_RULES)).stats
+    return scan_records(_whole_records(spark, sf_dir), ScanSpec(PLAIN_RULES)).stats
 
 
 @query
 def plugin_counts(spark, sf_dir):
-    result = scan_records(_gated_records(spark, sf_dir), ScanSpec(PLAIN_RULES))
+    result = scan_records(_whole_records(spark, sf_dir), ScanSpec(PLAIN_RULES))
     return plugin_summary(spark, source_rows(result.records), result.findings, ["documents", "pages", "database"])
 
 
@@ -512,21 +518,20 @@ def findings_count_per_source(spark, sf_dir):
 
 @query
 def blank_sources(spark, sf_dir):
-    """Texts without any visible character have no findings but keep their status row."""
-    table = load(spark, sf_dir, "documents").withColumn(
-        "text", F.when(F.col("lang") == "en", F.col("text")).otherwise(F.regexp_replace("text", r"(?s).", " "))
-    )
-    result = scan_records(text_records(spread(table), "documents", "doc_id", "text"), ScanSpec(PLAIN_RULES))
-    return result.sources.groupBy("status").agg(
+    """All documents, and beside each a text of as many blanks: those have no findings but keep their status row."""
+    blanks = spread(load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?s).", " ").alias("text")))
+    records = union_all([_doc_records(spark, sf_dir), text_records(blanks, "blanks", "doc_id", "text")])
+    result = scan_records(records, ScanSpec(PLAIN_RULES))
+    return result.sources.groupBy("status", F.col("file_path").startswith("table://blanks/").alias("blank")).agg(
         F.count("*").alias("sources"), F.sum("findings_count").alias("findings"), F.count_if(F.col("findings_count") > 0).alias("with_findings")
     )
 
 
 @query
 def findings_sorted_topk(spark, sf_dir):
-    """The first hundred findings in report order."""
+    """The first fifty findings in report order."""
     found = find_in_records(_doc_records(spark, sf_dir), ScanSpec(PLAIN_RULES))
-    return in_report_order(found).select("file_path", "start", "end", "score", "entity_type", "text").limit(100)
+    return in_report_order(found).select("file_path", "start", "end", "score", "entity_type", "text").limit(50)
 
 
 @query
@@ -728,7 +733,7 @@ def _value_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "crm.contact": contact,
         "ledger": ledger,
-        "documents": documents(spark, sf_dir),
+        "documents": spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")),
         "events": load(spark, sf_dir, "events").select("event_type", "props"),
     }
 

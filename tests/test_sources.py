@@ -217,6 +217,18 @@ def test_samples(spark, crm):
 def test_sample_limit_is_applied_before_the_shuffle(spark, crm):
     plan = cols.column_samples(crm["sales.customers"], ["email"], cols.SampleOptions())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+    lines = plan.splitlines()
+    below = [i for i, line in enumerate(lines) if "MapInArrow" in line]
+    assert below and max(i for i, line in enumerate(lines) if "Exchange" in line) < below[0]
+
+
+def test_samples_over_many_partitions(spark):
+    table = spark.range(0, 5000, 1, 7).selectExpr("cast(id % 900 as string) AS a", "CASE WHEN id % 3 > 0 THEN concat('é', id % 40) END AS b")
+    for kw in ({}, {"exclude_null": False}):
+        got = cols.column_samples(table, ["a", "b"], cols.SampleOptions(limit_per_column=12, exclude_empty_strings=False, **kw)).collect()
+        for c in ("a", "b"):
+            values = [r[c] for r in table.select(c).distinct().collect() if r[c] is not None or kw]
+            assert [r["value"] for r in sorted(got, key=lambda r: r["rank"]) if r["column"] == c] == ["" if v is None else v for v in sorted(values, key=lambda v: (v is not None, v or ""))[:12]]
 
 
 def test_sample_options():
@@ -369,6 +381,23 @@ def test_no_column_holds_a_masked_path(spark, tree):
         assert rows and not any(tree in repr(r) for r in rows)
 
 
+def test_hidden_names_are_read(spark, tmp_path):
+    names = ("a.txt", "_b.txt", ".c.txt", "_priv/d.txt", ".cfg/e.txt", "_priv/deep/f.txt", "part_=1/_g=1.txt")
+    for name in (*names, ".git/x.txt", "_priv/node_modules/y.txt", "_z.pyc"):
+        put(str(tmp_path), f"in/{name}", PROFILE)
+    put(str(tmp_path), "in/_big.txt", "x" * 3_000_000)
+    root = str(tmp_path / "in")
+    out = FileOutput(mask_mode="relative", base_dirs=(root,))
+    rows = read_files(spark, [Location("a", (root,), max_file_size_mb=1)], out).collect()
+    assert sorted(r["source_path"] for r in rows) == sorted([*names, "_big.txt"])
+    assert {r["source_path"]: r["record_type"] for r in rows}["_big.txt"] == "skip"
+    assert all(r["text"] == PROFILE for r in rows if r["record_type"] == "source")
+    flat = read_files(spark, [Location("a", (root,), recursive=False)], out).collect()
+    assert sorted(r["source_path"] for r in flat) == [".c.txt", "_b.txt", "_big.txt", "a.txt"]
+    for one in (f"{root}/_b.txt", f"file://{root}/a.txt", f"{root}/_priv/d.txt", f"{root}/.cfg"):
+        assert read_files(spark, [Location("a", (one,))], out).count() == 1
+
+
 def test_datasets_below_the_report_path_are_not_read(spark, tmp_path):
     put(str(tmp_path), "in/a.txt", PROFILE)
     put(str(tmp_path), "in/report/findings/part-0.json", PROFILE)

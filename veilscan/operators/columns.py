@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,17 +203,36 @@ def column_values(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select(F.inline(pairs))
 
 
+def _first_distinct(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per partition, the first ``limit`` distinct values of each column in value order, null first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, list[tuple[bool, str]]] = {}
+        for batch in batches:
+            for column, value in zip(batch.column("column").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                kept, key = first.setdefault(column, []), (value is not None, value or "")
+                place = bisect_left(kept, key)
+                if place < limit and kept[place : place + 1] != [key]:
+                    kept.insert(place, key)
+                    del kept[limit:]
+        rows = [(column, value if known else None) for column, kept in first.items() for known, value in kept]
+        yield pa.RecordBatch.from_pydict({"column": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.string())})
+
+    return run
+
+
 def column_samples(table: DataFrame, columns: list[str], options: SampleOptions = SampleOptions()) -> DataFrame:
     """The first values of each column in value order, limited before formatting as (column, rank, value).
 
-    Distinct values combine on the map side, and Spark keeps at most the limit per column and partition
-    before it shuffles for the final rank, so no task receives a whole column.
+    Each partition keeps at most the limit of distinct values per column before anything is shuffled, so no
+    task receives a whole column and no other value is moved.
     """
     values = column_values(table, columns)
     if options.exclude_null:
         values = values.filter(F.col("value").isNotNull())
     if options.distinct:
-        values = values.groupBy("column", "value").agg(F.lit(1).alias("_n")).select("column", "value")
+        slim = values.mapInArrow(_first_distinct(options.limit_per_column), "column string, value string")
+        values = slim.distinct()
     rank = F.row_number().over(W.partitionBy("column").orderBy("value"))
     limited = values.withColumn("rank", rank).filter(F.col("rank") <= options.limit_per_column)
     shown = limited.withColumn("value", shown_value(F.col("value"), options.max_value_length))

@@ -1,14 +1,18 @@
 """The file source: listing, filters, decoding and DOCX text.
 
 Filters test the hidden ``_metadata`` columns, so files that are filtered out are never opened. Spark lists
-no file or directory whose name begins with ``.`` or ``_``.
+no file or directory whose name begins with ``.`` or ``_``; on local paths those are listed beside it and read
+by tasks.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,40 +95,94 @@ def decoded(content: str, newlines: bool = True) -> str:
     return f"regexp_replace({text}, '\\\\r\\\\n?', '\\n')" if newlines else text
 
 
+def hidden(name: str) -> bool:
+    """Spark's listing leaves out files and directories of such names."""
+    left_out = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return left_out and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def hidden_files(root: str, location: Location) -> list[tuple[str, int]]:
+    """(path, size) of the files at a local path that Spark doesn't list, pruned directories never entered."""
+    if os.path.isfile(root):
+        return [(root, os.path.getsize(root))] if hidden(os.path.basename(root)) else []
+    found = []
+    for folder, below, names in os.walk(root):
+        below[:] = [d for d in below if d not in location.exclude_dirs] if location.recursive else []
+        inside = folder != root and any(hidden(part) for part in os.path.relpath(folder, root).split(os.sep))
+        paths = [os.path.join(folder, name) for name in names if inside or hidden(name)]
+        found += [(path, os.path.getsize(path)) for path in paths if os.path.isfile(path)]
+    return found
+
+
+def _looks_partitioned(root: str) -> bool:
+    """Spark would take directories named key=value for partitions, list them in a flat listing and leave out the files beside them."""
+    return not os.path.isdir(root) or any("=" in entry.name and entry.is_dir() for entry in os.scandir(root))
+
+
+def _read_up_to(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Reads the files of (path, size) rows one by one; those over the limit stay closed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, size in zip(frame["path"], frame["size"], strict=True):
+                content = None
+                if size <= limit:
+                    with open(path, "rb") as handle:
+                        content = handle.read()
+                yield pd.DataFrame({"path": [path], "size": [size], "content": [content]})
+
+    return run
+
+
 def _listed(spark: SparkSession, location: Location, index: int, output: FileOutput) -> list[DataFrame]:
     """Candidate files per input path, not yet opened: path, size, extension and the size verdict."""
     frames = []
     for position, raw in enumerate(location.input_paths):
-        root = os.path.abspath(os.path.expanduser(raw)) if "://" not in raw else raw
-        is_dir = os.path.isdir(root) or "://" in root
-        if not is_dir and not os.path.isfile(root):
-            continue
+        root = re.sub("^file:/+", "/", raw)
+        root = os.path.abspath(os.path.expanduser(root)) if "://" not in root else root
+        # What this machine doesn't see may lie on the default file system, so Spark is asked.
+        is_dir = not os.path.isfile(root)
+
+        def wanted(files: DataFrame, path: str, root: str = root, is_dir: bool = is_dir) -> DataFrame:
+            files = files.filter(extension_allowed(path, location.include_extensions))
+            files = files.filter(~glob_excluded(path, location.exclude_file_globs))
+            if is_dir and location.recursive:
+                files = files.filter(~dir_pruned(path, root, location.exclude_dirs))
+            elif is_dir:
+                top = F.lit(root.rstrip("/"))
+                files = files.filter(F.expr(path).endswith(top) | F.expr(f"regexp_replace({path}, '/[^/]*$', '')").endswith(top))
+            if output.report_path:
+                own = os.path.abspath(output.report_path)
+                files = files.filter((F.expr(path) != own) & ~F.expr(path).startswith(own.rstrip("/") + "/"))
+            return files
+
+        parts = []
+        if unseen := hidden_files(root, location):
+            listed = wanted(spark.createDataFrame(unseen, "path string, size long"), "path")
+            limit = int(location.max_file_size_mb * 1024 * 1024)
+            parts.append(listed.mapInPandas(_read_up_to(limit), "path string, size long, content binary"))
         reader = spark.read.format("binaryFile")
-        if is_dir and location.recursive:
+        if is_dir and (location.recursive or _looks_partitioned(root)):
             reader = reader.option("recursiveFileLookup", "true")
         if is_dir and location.include_extensions:
             reader = reader.option("pathGlobFilter", any_case_extension_glob(list(location.include_extensions)))
         path = "regexp_replace(url_decode(replace(_metadata.file_path, '+', '%2B')), '^file:/+', '/')"
-        try:
-            loaded = reader.load(root)
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if is_dir or not hidden(os.path.basename(root)):
+            try:
+                loaded = wanted(reader.load(root), path)
+                parts.append(loaded.select(F.expr(path).alias("path"), F.col("_metadata.file_size").alias("size"), "content"))
+            except AnalysisException as exc:
+                if exc.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        if not parts:
             continue
-        files = loaded.filter(extension_allowed(path, location.include_extensions))
-        files = files.filter(~glob_excluded(path, location.exclude_file_globs))
-        if is_dir and location.recursive:
-            files = files.filter(~dir_pruned(path, root, location.exclude_dirs))
-        if output.report_path:
-            own = os.path.abspath(output.report_path)
-            files = files.filter((F.expr(path) != own) & ~F.expr(path).startswith(own.rstrip("/") + "/"))
         frames.append(
-            files.select(
+            union_all(parts).select(
                 # a digest, so that no report says more of the path than its mask lets it
-                F.concat(F.lit(f"{index}.{position}:"), F.sha2(F.concat(F.lit(f"{output.hash_salt}|"), F.expr(path)), 256)).alias("source_id"),
-                F.expr(path).alias("path"),
-                F.col("_metadata.file_size").alias("size"),
-                F.col("content"),
+                F.concat(F.lit(f"{index}.{position}:"), F.sha2(F.concat(F.lit(f"{output.hash_salt}|"), "path"), 256)).alias("source_id"),
+                "path",
+                "size",
+                "content",
                 F.lit(location.name).alias("location"),
                 F.lit(location.provider).alias("provider"),
             )
