@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -246,6 +247,16 @@ def test_licenses(spark, odd):
     assert license_scan(odd).where("licenses <> ''").count() == 0 and license_scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_in_any_order(spark):
+    line = TEMPLATES
+    names = ["cc-by-nc-4.0-line", "cc-by-4.0-line", "cc-by-sa-4.0-line", "apache-2.0-notice", "apache-2.0-line", "mit-line"]
+    lists = [pair for pair in itertools.permutations(names, 2)] + [(n,) * k for n in names for k in (2, 5)] + list(itertools.permutations(names[:4]))
+    rows = [(i, gap.join(["", *(line[n] for n in some), ""])) for i, (some, gap) in enumerate(itertools.product(lists, (LONG, " y ", " ")))]
+    expected = {i: ",".join(sorted(set(some))) for i, (some, _) in enumerate(itertools.product(lists, (LONG, " y ", " ")))}
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == expected
+
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 

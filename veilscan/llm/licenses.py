@@ -101,11 +101,12 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def best_alignment(text: list[int], template: list[int], settings: ScanSettings) -> tuple[float, int, int, int] | None:
-    """(coverage, aligned words, first, last place in the text) of the best region that reaches both shares; the first of equals.
+def regions(text: list[int], template: list[int], settings: ScanSettings) -> list[tuple[float, int, int, int]]:
+    """(coverage, aligned words, first, last place in the text) of each alignment that reaches both shares; they may overlap.
 
-    An alignment that covers enough misses few template words, so it holds one of the template's rarest few. Around each occurrence of one of those in the text, whole, a region wide enough for any
-    alignment through it is aligned, so a template that stands several times, or far apart words like its own, don't hide it."""
+    An alignment that covers enough misses few template words, so it holds one of the template's rarest few. Each occurrence of one of those in the text is taken for each of its places in the template,
+    unless an alignment found before has just that pair: the words next to it that are equal are aligned first, then the rest of a stretch wide enough for any alignment through the pair. So the same
+    template further on, right behind, or far apart words like its own, hide none."""
     n = len(template)
     wanted = Counter(template)
     places: dict[int, list[int]] = {w: [] for w in wanted}
@@ -119,38 +120,60 @@ def best_alignment(text: list[int], template: list[int], settings: ScanSettings)
         missing -= wanted[w]
         if missing < 0:
             break
-    reach = int(n / settings.density) + 1
-    best, seen_to = None, -1
-    for p in sorted({p for w in tested for p in places[w]}):
-        low, high = max(0, p - reach), min(len(text), p + reach + 1)
-        if high <= seen_to:
-            continue
-        region = text[low:high]
-        if sum(min(c, k) for w, k in wanted.items() if (c := region.count(w))) < need:
-            continue
-        pairs = patience(region, template)
-        pairs = _dense([low + i for i, _ in pairs], settings.density)
-        if len(pairs) >= need and (best is None or len(pairs) > best[1]):
-            best = len(pairs) / n, len(pairs), pairs[0], pairs[-1]
-    return best
-
-
-def _dense(places: list[int], density: float) -> list[int]:
-    """The places without outlying ends: while too few of the words between the ends are aligned, the end with the wider gap goes."""
-    a, b = 0, len(places)
-    while b - a > 1 and b - a < density * (places[b - 1] - places[a] + 1):
-        if places[a + 1] - places[a] > places[b - 1] - places[b - 2]:
+    slots = {w: [j for j, v in enumerate(template) if v == w] for w in tested}
+    slack = int(n / settings.density) + 1 - n
+    known = sorted(i for at in places.values() for i in at)
+    out: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+    done: set[tuple[int, int]] = set()
+    for p in sorted(p for w in tested for p in places[w]):
+        for t in slots[text[p]]:
+            low, high = max(0, p - t - slack), min(len(text), p - t + n + slack)
+            if (p, t) in done or bisect_left(known, high) - bisect_left(known, low) < need:
+                continue
+            here = Counter(text[low:high])
+            if sum(min(k, here[w]) for w, k in wanted.items()) < need:
+                continue
+            pairs = _dense(_through(text, template, p, t, low, high), settings.density)
+            if len(pairs) >= need:
+                done.update(pairs)
+                first, last = pairs[0][0], pairs[-1][0]
+                if (first, last) not in out or len(pairs) > out[first, last][1]:
+                    out[first, last] = len(pairs) / n, len(pairs), first, last
+    return list(out.values())
+
+
+def _through(text: list[int], template: list[int], p: int, t: int, low: int, high: int) -> list[tuple[int, int]]:
+    """The alignment within text[low:high] that has place p of the text at place t of the template."""
+    i, j, k, m = p, t, p + 1, t + 1
+    while i > low and j > 0 and text[i - 1] == template[j - 1]:
+        i, j = i - 1, j - 1
+    while k < high and m < len(template) and text[k] == template[m]:
+        k, m = k + 1, m + 1
+    before, after = patience(text, template, low, i, 0, j), patience(text, template, k, high, m, len(template))
+    return [*before, *zip(range(i, k), range(j, m), strict=True), *after]
+
+
+def _dense(pairs: list[tuple[int, int]], density: float) -> list[tuple[int, int]]:
+    """The pairs without outlying ends: while too few of the words between the ends are aligned, the end with the wider gap goes."""
+    a, b = 0, len(pairs)
+    while b - a > 1 and b - a < density * (pairs[b - 1][0] - pairs[a][0] + 1):
+        if pairs[a + 1][0] - pairs[a][0] > pairs[b - 1][0] - pairs[b - 2][0]:
             a += 1
         else:
             b -= 1
-    return places[a:b]
+    return pairs[a:b]
 
 
 def _apart(found: list[tuple[str, tuple]]) -> list[tuple[str, tuple]]:
-    """Best first, without those that overlap a better one: a template like another is not found beside it in the same words."""
+    """Best first, without those that overlap a better one: a template like another is not found beside it in the same words, but wherever else it stands."""
     kept: list[tuple[str, tuple]] = []
-    for name, best in sorted(found, key=lambda f: (-f[1][1], -f[1][0], f[0])):
-        if all(best[3] < other[2] or best[2] > other[3] for _, other in kept):
+    starts: list[int] = []
+    stops: list[int] = []
+    for name, best in sorted(found, key=lambda f: (-f[1][1], -f[1][0], f[0], f[1][2])):
+        at = bisect_left(stops, best[2])
+        if at == len(starts) or starts[at] > best[3]:
+            starts.insert(at, best[2])
+            stops.insert(at, best[3])
             kept.append((name, best))
     return kept
 
@@ -158,7 +181,7 @@ def _apart(found: list[tuple[str, tuple]]) -> list[tuple[str, tuple]]:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, settings: ScanSettings = ScanSettings()) -> DataFrame:
     """docs (text, ...) -> the columns of docs, and licenses (names of all templates found, sorted and comma-joined), best_license, coverage, matched_words, span_start, span_stop (bytes).
 
-    The best license aligns the most words, then has the best coverage, then the first name; of templates found in overlapping words only the best counts. Words are lower-case runs of letters and digits; the whole text is looked at, and only templates of which
+    The best license aligns the most words, then has the best coverage, then the first name, then stands first. Every place where a template stands counts; of those that overlap, only the best. Words are lower-case runs of letters and digits; the whole text is looked at, and only templates of which
     it holds enough words at all are aligned. Nothing is shuffled. Null and empty texts, and those without a license, have an empty list, nulls and coverage 0. Repeated rows fare alike. An empty table gives no rows. Columns named like a result are replaced.
     """
     given = TEMPLATES if templates is None else templates
@@ -188,13 +211,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, setti
                 numbers = np.where(known, place, -1)
                 for i in np.flatnonzero(enough.any(axis=1)):
                     text = numbers[w.bounds[i] : w.bounds[i + 1]].tolist()
-                    found = [(names[t], best) for t in np.flatnonzero(enough[i]) if (best := best_alignment(text, lines[t], settings))]
+                    found = [(names[t], region) for t in np.flatnonzero(enough[i]) for region in regions(text, lines[t], settings)]
                     if found := _apart(found):
                         name, best = found[0]
                         base = w.bounds[i]
                         start = w.start[w.bounds[i]:w.bounds[i + 1]]
                         origin = text_start(part, i)
-                        out["licenses"][i] = ",".join(sorted(n for n, _ in found))
+                        out["licenses"][i] = ",".join(sorted({n for n, _ in found}))
                         out["best_license"][i], out["coverage"][i], out["matched_words"][i] = name, best[0], best[1]
                         out["span_start"][i], out["span_stop"][i] = int(start[best[2]] - origin), int(w.stop[base + best[3]] - origin)
                 kinds = {"licenses": pa.string(), "best_license": pa.string(), "coverage": pa.float64()}
