@@ -257,6 +257,42 @@ def test_licenses_in_any_order(spark):
     assert {r["doc_id"]: r["licenses"] for r in got} == expected
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    bsd = TEMPLATES["bsd-3-clause-terms"]
+    names = bsd.index(" Neither the name"), bsd.index(" THIS SOFTWARE IS")
+    ads = " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University."
+    mit = TEMPLATES["mit-grant"]
+    gnu = "This work is licensed under the GNU {} Public License, version {}."
+    cases = [
+        (bsd[: names[0]] + bsd[names[1] :], "bsd-2-clause-terms"),
+        (bsd, "bsd-3-clause-terms"),
+        (bsd[: names[0]] + ads + bsd[names[0] :], "bsd-4-clause-terms"),
+        (bsd[: bsd.index(" Redistributions in binary")], "bsd-family-terms"),
+        (mit, "mit-grant"),
+        (mit[: mit.index(", subject to")] + "." + mit[mit.index(" THE SOFTWARE IS") :], "mit-0-grant"),
+        (mit[: mit.index(", subject to")], "mit-family-grant"),
+        *((f"Licensed under CC {k} 4.0.", f"cc-{k.lower()}-4.0-line") for k in ("BY", "BY-NC", "BY-ND", "BY-SA", "BY-NC-SA", "BY-NC-ND")),
+        ("Licensed under CC BY-SA 3.0.", ""),
+        (gnu.format("General", 2), "gpl-2.0-line"),
+        (gnu.format("General", 3), "gpl-3.0-line"),
+        (gnu.format("Lesser General", 3), "lgpl-3.0-line"),
+        (gnu.format("Affero General", 3), "agpl-3.0-line"),
+        (gnu.format("General", 4), ""),
+        (gnu.format("General", 3).replace("work", "program"), "gpl-3.0-short-line"),
+        (TEMPLATES["gpl-3.0-notice"].replace("version 3", "version 2"), "gpl-2.0-notice"),
+        (TEMPLATES["gpl-3.0-notice"].replace("GNU", "GNU Lesser"), "lgpl-3.0-notice"),
+        ("Licensed under the Apache License, Version 1.0.", "apache-1.0-line"),
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0-line"),
+        ("Licensed under the Apache License, Version 3.0.", ""),
+        ("Released under the modified MIT License.", ""),
+    ]
+    for gap in (" ", LONG):
+        frame = spark.createDataFrame([(i, gap + text + " " + gap) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+        assert {cases[r["doc_id"]][0]: r["licenses"] for r in license_scan(frame).collect()} == dict(cases)
+    whole = spark.createDataFrame([(n, LONG + t + " " + LONG) for n, t in TEMPLATES.items()], "doc_id string, text string")
+    assert all(r["licenses"] == r["doc_id"] and r["coverage"] == 1 for r in license_scan(whole).collect())
+
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
