@@ -180,6 +180,24 @@ def test_ngram_join_of_odd_rows(odd):
     assert similarity_classes(odd.limit(0)).count() == 0
 
 
+def test_ngram_join_at_the_threshold(spark):
+    bands, rows = JoinSettings().bands()
+    assert (1 - 0.8**rows) ** bands <= 1e-4
+    draw = random.Random(6)
+    word = lambda: f"{draw.getrandbits(48):x}"
+    texts = {}
+    for i in range(0, 3000, 2):  # 8 of 10 n-grams are common, so every pair is right at the threshold
+        line = [word() for _ in range(14)]
+        texts[i], texts[i + 1] = " ".join(line), " ".join(line[:12])
+    got = similarity_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_ngram_join_of_odd_rows_loses_no_link(odd):
+    got = {(r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in similarity_classes(odd).collect()}
+    assert {(1, 1, 3, True), (2, 1, 3, False), (3, 1, 3, False), (4, 4, 0, True), (None, None, 0, True)} <= got
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(4)
     centres = draw.standard_normal((30, 16))

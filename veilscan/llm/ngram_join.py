@@ -25,7 +25,7 @@ class JoinSettings:
 
     n: int = 5
     threshold: float = 0.8
-    recall: float = 0.99
+    recall: float = 0.9999
     hashes: int = 256
     block: int = 1024
     block_grams: int = 1 << 20
