@@ -198,6 +198,16 @@ def test_ngram_join_of_odd_rows_loses_no_link(odd):
     assert {(1, 1, 3, True), (2, 1, 3, False), (3, 1, 3, False), (4, 4, 0, True), (None, None, 0, True)} <= got
 
 
+def test_ngram_join_of_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "x"), (1, b, "y"), (2, b + " more", "x"), (3, a + " more", "x"), (4, None, "x"), (4, "!", "x"), (1, a, "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["source"], r["class_id"], r["n_links"], r["class_size"], r["kept"]) for r in similarity_classes(frame).collect()]
+    assert sorted(got)[:5] == [(1, "w", 1, 2, 3, True), (1, "x", 1, 2, 3, True), (1, "y", 1, 1, 2, True), (2, "x", 1, 1, 2, False), (3, "x", 1, 2, 3, False)]
+    kept = [tuple(r) for r in first_of_each(frame).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a, "w"), (1, b, "y"), (4, None, "x"), (4, "!", "x")], key=repr)
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(4)
     centres = draw.standard_normal((30, 16))

@@ -66,7 +66,7 @@ def min_hashes(grams: np.ndarray, bounds: np.ndarray, hashes: int) -> np.ndarray
 
 
 def _sign(settings: JoinSettings):
-    """(doc_id, text) -> doc_id, the digest of the n-gram set and the band keys; no row for a text without words or id."""
+    """(doc_id, mark, text) -> doc_id, mark, the digest of the n-gram set and the band keys; no row for a text without words or id."""
     bands, rows = settings.bands()
 
     @tidy
@@ -83,6 +83,7 @@ def _sign(settings: JoinSettings):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id").take(pa.array(has)),
+                        "mark": part.column("mark").take(pa.array(has)),
                         "set_key": pa.array(digests, pa.binary()),
                         "n_grams": pa.array(np.diff(bounds)[has]),
                         "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
@@ -188,15 +189,21 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
     first common bucket, so that links are counted without emitting a row per pair; a bucket of more than `block` members or `block_grams` n-grams is split into block pairs, each a group of its own.
     What is emitted is a line per member and bucket. Links become classes by rounds of joins.
 
-    A text of fewer than n words has one n-gram: all of them. Null texts, texts without words and null ids link with nothing; such a row has itself as class. doc_id names a text: rows that share
-    one are linked, whatever their texts, and repeated rows of the smallest id of a class all have kept true (first_of_each leaves one). An empty table gives no rows. Columns named like a result are replaced.
+    A text of fewer than n words has one n-gram: all of them. Null texts, texts without words and null ids link with nothing; such a row has itself as class. Each different text of an id is
+    a text of its own: rows that share an id are linked only if their texts are, and classes with one smallest id have one class_id. All rows of the smallest id of a class have kept true (first_of_each leaves one). An empty table gives no rows. Columns named like a result are replaced.
     """
+    return _classes(docs, settings).drop("_its_class", "_its_mark")
+
+
+def _classes(docs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """similarity_classes, with a name of the class and a hash of the text."""
     keep = [c for c in plain_columns(docs, *RESULT) if c != "text"]
     small_batches(docs)
-    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settled(source.mapInArrow(_sign(settings), "doc_id long, set_key binary, n_grams long, bands array<bigint>"), "signed")
-    nodes = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = signed.join(nodes, "set_key").where("doc_id = rep").select("rep", "copies", "n_grams", "bands").dropDuplicates(["rep"])
+    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    signed = settled(source.mapInArrow(_sign(settings), "doc_id long, mark long, set_key binary, n_grams long, bands array<bigint>"), "signed")
+    nodes = signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("copies"))
+    nodes = nodes.select("set_key", F.xxhash64("set_key").alias("rep"), F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), "copies")
+    reps = signed.join(nodes, "set_key").where("doc_id = first_id AND mark = first_mark").dropDuplicates(["set_key"]).select("rep", "first_id", "first_mark", "copies", "n_grams", "bands")
     reps = settled(reps, "nodes")
     members = reps.select("rep", "n_grams", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_grams").alias("grams_here")).where("size > 1")
@@ -204,7 +211,7 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
     grouped = candidates.repartition("key").sortWithinPartitions("key")
     needed = settled(grouped.mapInArrow(_needed(settings), "key long, rep long, size long, grams_here long"), "needed")
     matched = reps.join(needed.select("rep").distinct(), "rep")
-    texts = source.withColumnRenamed("doc_id", "rep").join(matched, "rep").dropDuplicates(["rep"])
+    texts = source.withColumnsRenamed({"doc_id": "first_id", "mark": "first_mark"}).join(matched, ["first_id", "first_mark"]).dropDuplicates(["rep"])
     payload = texts.mapInArrow(_payload(settings), "rep long, copies long, bands array<bigint>, grams binary")
     blocks = F.ceil(F.greatest(F.col("size") / settings.block, F.least(F.col("size"), F.col("grams_here") / settings.block_grams))).cast("int")
     dealt = block_pairs(needed.withColumn("blocks", blocks).drop("size", "grams_here").join(payload, "rep"), "rep")
@@ -212,23 +219,35 @@ def similarity_classes(docs: DataFrame, settings: JoinSettings = JoinSettings())
     found = settled(verified.mapInArrow(_verify(settings), "node long, links long, root long"), "found")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    per_node = reps.select("rep", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    per_node = per_node.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"), "copies")
-    sizes = per_node.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    by_set = nodes.select("set_key", "rep").join(per_node.drop("copies"), "rep").join(sizes, "class_id")
-    by_doc = signed.select("doc_id", "set_key").join(by_set.drop("rep"), "set_key")
-    by_doc = by_doc.groupBy(F.col("doc_id").alias("_its_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("class_size").alias("class_size"))
+    per_node = reps.select("rep", "first_id", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    per_node = per_node.select("rep", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("_its_class"), "copies")
+    sizes = per_node.groupBy("_its_class").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    by_set = nodes.select("set_key", "rep").join(per_node.drop("first_id", "copies"), "rep").join(sizes, "_its_class")
+    by_text = signed.select(F.col("doc_id").alias("_its_id"), F.col("mark").alias("_of_mark"), "set_key").distinct().join(by_set.drop("rep"), "set_key").drop("set_key")
     return (
-        docs.select(*keep)
-        .join(by_doc, F.col("doc_id") == F.col("_its_id"), "left")
-        .select(*keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
-        .withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+        docs.select(*keep, F.xxhash64("text").alias("_its_mark"))
+        .join(by_text, (F.col("doc_id") == F.col("_its_id")) & (F.col("_its_mark") == F.col("_of_mark")), "left")
+        .select(
+            *keep,
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("class_size", F.lit(1)).alias("class_size"),
+            F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+            F.coalesce("_its_class", "_its_mark").alias("_its_class"),
+            "_its_mark",
+        )
     )
 
 
 def first_of_each(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """The rows of docs with one document of each class left, the one with the smallest id; rows that repeat an id leave one, rows without an id all stay."""
-    stay = settled(similarity_classes(docs.select("doc_id", "text"), settings).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_its_id")).agg(F.count("*").alias("_n")), "stay")
-    kept = docs.join(stay.where("_n = 1"), F.col("doc_id") == F.col("_its_id"), "left_semi")
-    repeated = docs.join(stay.where("_n > 1"), F.col("doc_id") == F.col("_its_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs with one document of each class left, the one with the smallest id; of several texts of that id in the class the one of the smallest hash, of rows that repeat
+    a text and its id the first by content. Rows without an id all stay."""
+    classes = _classes(docs.select("doc_id", "text"), settings).where("kept AND doc_id IS NOT NULL")
+    per_class = classes.groupBy(F.col("doc_id").alias("_its_id"), "_its_class", "_its_mark").agg(F.count("*").alias("_n"))
+    stay = per_class.groupBy("_its_id", "_its_class").agg(F.min(F.struct("_its_mark", "_n")).alias("_first"))
+    stay = settled(stay.select("_its_id", F.col("_first._its_mark").alias("_its_mark"), F.col("_first._n").alias("_n")), "stay")
+    same = (F.col("doc_id") == F.col("_its_id")) & (F.xxhash64("text") == F.col("_its_mark"))
+    kept = docs.join(stay.where("_n = 1"), same, "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = docs.join(stay.where("_n > 1"), same, "left_semi").groupBy(F.col("doc_id").alias("_its_id"), F.xxhash64("text").alias("_its_mark")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return kept.unionByName(repeated.select("_row.*")).unionByName(docs.where("doc_id IS NULL"))
