@@ -25,7 +25,7 @@ from veilscan.llm.oracles import ORACLES
 from veilscan.llm.quality import quality_scores
 from veilscan.llm.queries import QUERIES
 from veilscan.llm.sharding import byte_shards, sharded
-from veilscan.llm.suffix_dedup import without_repeats
+from veilscan.llm.suffix_dedup import MatchSettings, SuffixFamily, without_repeats
 from veilscan.llm.token_counts import PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
 from veilscan.llm.toxicity import toxicity
 
@@ -259,6 +259,34 @@ def test_suffix_dedup_of_odd_rows(odd):
     assert without_repeats(odd.limit(0)).count() == 0
 
 
+def test_suffix_family_of_many_levels():
+    family, draw = SuffixFamily(), random.Random(8)
+    seen, most, merges = {}, 0, 0
+    for turn in range(60):
+        drawn = sorted({f"{draw.randrange(900):03d}".encode() for _ in range(draw.randint(1, 40))})
+        strings = np.array(drawn, dtype="S3")
+        found = family.lookup(strings, -1 if not seen else 10**6)
+        assert [int(x) for x in found] == [seen.get(x, -1 if not seen else 10**6) for x in drawn]
+        fresh = np.array([x not in seen for x in drawn])
+        levels = len(family.levels)
+        family.add(strings[fresh], np.full(int(fresh.sum()), turn))
+        merges += fresh.any() and len(family.levels) <= levels
+        most = max(most, len(family.levels))
+        seen.update((x, turn) for x in drawn if x not in seen)
+        assert sum(len(a) for a, _ in family.levels) == len(seen) and all((a[1:] > a[:-1]).all() for a, _ in family.levels)
+    assert most > 2 and merges > 5
+
+
+def test_suffix_dedup_in_small_batches(docs):
+    draw = random.Random(9)
+    common = " ".join(f"{draw.getrandbits(40):x}" for _ in range(12))
+    spark = docs.sparkSession
+    rows = {i: f"{draw.getrandbits(90):x} {common} {draw.getrandbits(90):x} " * draw.randint(1, 3) for i in range(120)}
+    rows[7] = common[10:90]
+    got = without_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), MatchSettings(batch=64)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == repeats(rows)
+
+
 def test_patience():
     assert patience([9, 1, 2, 7, 3, 4, 9], [1, 2, 3, 4]) == [(1, 0), (2, 1), (4, 2), (5, 3)]
     assert patience([], [1]) == [] == patience([5, 5], [1, 2])
