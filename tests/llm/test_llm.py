@@ -407,3 +407,69 @@ def test_pipeline_stages(spark):
         assert empty.columns == docs.columns and empty.count() == 0
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+
+
+def by_id(frame):
+    return sorted((r["doc_id"], r["text"]) for r in frame.collect())
+
+
+def test_stage_toxicity_drops_what_the_chain_rejects(spark, docs):
+    rejected = {r["doc_id"] for r in QUERIES["op1_toxicity"](spark, SF).collect() if r["rejected"]}
+    assert by_id(corpus_pipeline.drop_toxic(spark, docs, SF)) == [x for x in by_id(docs) if x[0] not in rejected]
+
+
+def test_stage_near_copies_against_brute_force(spark, docs):
+    links = similar({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert by_id(corpus_pipeline.drop_near_copies(spark, docs, SF)) == [x for x in by_id(docs) if min(reach(links, x[0])) == x[0]]
+
+
+def test_stage_benchmark_against_brute_force(spark, docs):
+    phrases = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id IS NOT NULL").collect():
+        w = words(r["text"])
+        phrases |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    lengths, expected, cut = {len(p) for p in phrases}, [], 0
+    for key, text in by_id(docs):
+        found = list(WORD.finditer((text or "").translate(A_TO_Z)))
+        w = [m.group() for m in found]
+        spans = sorted((i, i + n) for n in lengths for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in phrases)
+        joined = []
+        for a, b in spans:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        for a, b in reversed(joined):
+            text = text[: found[a].start()] + "\n" + text[found[b - 1].end() :]
+        expected.append((key, text))
+        cut += bool(joined)
+    assert cut and by_id(corpus_pipeline.cut_benchmark(spark, docs, SF)) == expected
+
+
+def test_stage_mix_against_sql(spark, docs):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    expected = {i: taken // size for i, size, taken in duck.execute(f"SELECT doc_id, size, taken FROM ({ORACLES['op5_mix_sources']}) WHERE size > 0").fetchall()}
+    copies = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert {i: copies[i] for i in expected} == expected
+
+
+def test_stage_shards_against_brute_force(spark, docs):
+    rows = sorted((r["doc_id"], len((r["text"] or "").encode()) + 16) for r in docs.collect())
+    total, upto, slots, expected = sum(n for _, n in rows), 0, Counter(), {}
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in corpus_pipeline.assign_shards(spark, docs, SF).collect()}
+    for key, n in rows:
+        upto += n
+        shard = min(40 * (2 * upto - n) // (2 * total), 39)
+        expected[key] = shard, slots[shard]
+        slots[shard] += 1
+    assert got == expected
+
+
+def test_license_scan_against_brute_force(docs):
+    lines = {n: words(t) for n, t in TEMPLATES.items()}
+    for r in license_scan(docs).collect():
+        w = words(r["text"])
+        spans = [(i, i + len(t), n) for n, t in lines.items() for i in range(len(w) - len(t) + 1) if w[i : i + len(t)] == t]
+        whole = {n for a, b, n in spans if not any(c <= a and b <= d and d - c > b - a for c, d, _ in spans)}
+        assert whole == set(filter(None, r["licenses"].split(",")))
