@@ -71,7 +71,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]

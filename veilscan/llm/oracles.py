@@ -64,3 +64,83 @@ ranked AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(start + rate * place) - floor(start + rate * (place - 1))) AS BIGINT) AS taken FROM ranked
 """
+
+_CRC32_OF_KEY = _CRC32_OF.replace("text", "key")
+
+# a dynamic program over the rows of each conversation: per state the least (cost, audit, repaired text); states 0 to 3 as START, SYSTEM, USER, ASSISTANT
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC32},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, CAST({_CRC32_OF_KEY} AS BIGINT) % 20 AS kind FROM keyed, crc_table),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM hurt),
+marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (place > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id),
+never AS (SELECT {{'cost': 1000000000, 'audit': '', 'done': ''}} AS x),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, {{'cost': 0, 'audit': '', 'done': ''}} AS s0, x AS s1, x AS s2, x AS s3 FROM stats, never
+  UNION ALL
+  SELECT conv_id, place, {{'cost': s0.cost + 3, 'audit': s0.audit || 'D', 'done': s0.done}},
+    list_sort([{{'cost': s1.cost + 3, 'audit': s1.audit || 'D', 'done': s1.done}},
+      {{'cost': s0.cost + CASE WHEN lost OR left(role, 1) <> 's' THEN 1000000000 ELSE more END, 'audit': s0.audit || 'K', 'done': s0.done || chr(10) || role || ':' || text}}])[1],
+    list_sort([{{'cost': s2.cost + 3, 'audit': s2.audit || 'D', 'done': s2.done}},
+      {{'cost': u.cost + CASE WHEN lost THEN 1000000000 WHEN left(role, 1) = 'u' THEN more ELSE more + 2 END, 'audit': u.audit || CASE WHEN left(role, 1) = 'u' THEN 'K' ELSE 'R' END,
+        'done': u.done || chr(10) || CASE WHEN left(role, 1) = 'u' THEN role ELSE 'user' END || ':' || text}}])[1],
+    list_sort([{{'cost': s3.cost + 3, 'audit': s3.audit || 'D', 'done': s3.done}},
+      {{'cost': s2.cost + CASE WHEN lost THEN 1000000000 WHEN left(role, 1) = 'a' THEN more ELSE more + 2 END, 'audit': s2.audit || CASE WHEN left(role, 1) = 'a' THEN 'K' ELSE 'R' END,
+        'done': s2.done || chr(10) || CASE WHEN left(role, 1) = 'a' THEN role ELSE 'assistant' END || ':' || text}}])[1]
+  FROM (
+    SELECT *, list_sort([s0, s1, s3])[1] AS u FROM (
+      SELECT k.conv_id, k.place, k.role, k.text, k.fault IN ('blank', 'duplicate') AS lost, CASE WHEN k.fault = 'truncated' THEN 1 ELSE 0 END AS more, s0, s1,
+        list_sort([s2, {{'cost': s0.cost + 2, 'audit': s0.audit || 'I', 'done': s0.done || chr(10) || 'user:'}}, {{'cost': s1.cost + 2, 'audit': s1.audit || 'I', 'done': s1.done || chr(10) || 'user:'}},
+          {{'cost': s3.cost + 2, 'audit': s3.audit || 'I', 'done': s3.done || chr(10) || 'user:'}}])[1] AS s2,
+        list_sort([s3, {{'cost': s2.cost + 2, 'audit': s2.audit || 'I', 'done': s2.done || chr(10) || 'assistant:'}},
+          {{'cost': s0.cost + 4, 'audit': s0.audit || 'II', 'done': s0.done || chr(10) || 'user:' || chr(10) || 'assistant:'}},
+          {{'cost': s1.cost + 4, 'audit': s1.audit || 'II', 'done': s1.done || chr(10) || 'user:' || chr(10) || 'assistant:'}}])[1] AS s3
+      FROM steps JOIN marked k ON k.conv_id IS NOT DISTINCT FROM steps.conv_id AND k.place = steps.place + 1))),
+ends AS (
+  SELECT s.conv_id, list_sort([s0, s3, {{'cost': s2.cost + 2, 'audit': s2.audit || 'I', 'done': s2.done || chr(10) || 'assistant:'}},
+    {{'cost': s1.cost + 4, 'audit': s1.audit || 'II', 'done': s1.done || chr(10) || 'user:' || chr(10) || 'assistant:'}}])[1] AS best
+  FROM steps s JOIN stats t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND s.place = t.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.done, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+gram AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM piece, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, p, count(*) AS a FROM gram GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(p, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+covered AS (
+  SELECT DISTINCT c.lang, c.p FROM cand c JOIN (
+    SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM cand, (VALUES (2), (3)) t(k) WHERE k < m)) g
+  ON c.lang = g.lang AND c.p = g.p WHERE 100 * CAST(g.a AS HUGEINT) >= 80 * CAST(c.a AS HUGEINT)),
+cut AS (SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.p, c.a, fx.a AS l, fy.a AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(fx.a AS HUGEINT) + fy.a) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.p ORDER BY (CAST(2000000 AS HUGEINT) * c.a) // (CAST(fx.a AS HUGEINT) + fy.a), k) AS weakest
+  FROM cut c JOIN f fx ON fx.lang = c.lang AND fx.p = c.x JOIN f fy ON fy.lang = c.lang AND fy.p = c.y),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM scored s WHERE weakest = 1 AND NOT EXISTS (FROM covered v WHERE v.lang = s.lang AND v.p = s.p))
+SELECT lang, CAST(rank AS BIGINT) AS rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

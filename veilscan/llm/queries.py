@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
+from .conversation_repair import conversation_repairs
 from .decontaminate import benchmark_hits
 from .embedding_dedup import vector_links
 from .licenses import license_scan
 from .mixing import mixed
 from .ngram_join import similarity_classes
+from .packing import packed
 from .quality import quality_scores
 from .sharding import byte_shards
 from .suffix_dedup import without_repeats
@@ -97,3 +100,35 @@ def op10_quality_classifier(spark, sf_dir):
     learnt = load(spark, sf_dir, "labels").where(~fold)
     scored = quality_scores(load(spark, sf_dir, "documents").select("doc_id", "text"), learnt).drop("text")
     return scored.select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) with nulls as one space and some rows dropped, emptied, without sentence ends, doubled or given to the user, as the checksum of conv_id and turn says."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    key = F.concat(conv, F.lit(":"), turn)
+    kind = F.col("_kind")
+    hurt = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("_kind")).where(kind != 0)
+    hurt = hurt.withColumn("text", F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    hurt = hurt.withColumn("role", F.when(kind == 4, "user").otherwise(F.col("role")))
+    return hurt.withColumn("_copy", F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_kind", "_copy")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    conversations = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repairs(damaged(conversations)).withColumnRenamed("conv_id", "_its_conv")
+    every = conversations.select("conv_id").distinct()
+    found = every.join(repaired, every["conv_id"].eqNullSafe(repaired["_its_conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations(load(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query
+def op13_best_fit_packing(spark, sf_dir):
+    with open(os.path.join(TOKENIZERS, "word_bpe_49k.json"), encoding="utf-8") as file:
+        return packed(load(spark, sf_dir, "documents").select("doc_id", "text"), file.read())
