@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,7 +95,8 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.per_text)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, hashes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Words:
+    """The words of texts; hashes: word_hashes where equal hashes are to mean equal words, else run_hashes, which unlike words of a thousand characters may share."""
     inside = IS_WORD[data]
     n = len(data)
     edges = offsets[(offsets > 0) & (offsets < n)]
@@ -106,7 +108,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     after[:-1] = inside[1:]
     after[edges - 1] = False
     stop = np.flatnonzero(inside & ~after) + 1
-    return Words(start, stop, run_hashes(LOWER[data], start, stop), np.searchsorted(start, offsets))
+    return Words(start, stop, (hashes or run_hashes)(LOWER[data], start, stop), np.searchsorted(start, offsets))
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -126,6 +128,23 @@ def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mix64(out)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, in which every eight bytes are mixed into what stands before them; ranges of up to eight bytes without zeros never share one, others by chance alone."""
+    sizes = stop - start
+    out = np.full(len(start), _BASE, dtype=np.uint64)
+    for k in np.flatnonzero(sizes > 256):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    left = np.flatnonzero((sizes > 0) & (sizes <= 256))
+    at = 0
+    while len(left):
+        unused = np.maximum(at + 8 - sizes[left], 0).astype(np.uint64) * np.uint64(8)
+        out[left] = mix64(out[left] ^ ((eights[start[left] + at] << unused) >> unused)) + np.uint64(_BASE)
+        at += 8
+        left = left[sizes[left] > at]
+    return out
+
+
 def ngram_hashes(words: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n consecutive words at each place, and the bounds by text. A text of fewer words, but not none, has one: all of its words."""
     counts = words.per_text

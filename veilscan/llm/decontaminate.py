@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import binary_lists, pieces, text_bytes, tidy, with_columns, words_of
+from .arrays import binary_lists, pieces, text_bytes, tidy, with_columns, word_hashes, words_of
 from .fm_index import FmIndex
 from .storage import plain_columns, small_batches
 
@@ -25,13 +25,14 @@ class Phrases:
     vocabulary: np.ndarray  # sorted word hashes; word number = place + 1
     patterns: np.ndarray
     lengths: np.ndarray
-    items: np.ndarray  # item ids of all phrases behind one another
+    items: np.ndarray  # places, in item_ids, of the items of all phrases behind one another
     item_bounds: np.ndarray
+    item_ids: list  # of any type; null where an item has none
 
 
-def phrases_of(item_ids: list[int], texts: list[str | None], width: int) -> Phrases:
+def phrases_of(item_ids: list, texts: list[str | None], width: int) -> Phrases:
     """Every `width` consecutive words of an item; an item of fewer, but not none, is one phrase."""
-    words = words_of(*text_bytes(pa.array(texts, pa.string())))
+    words = words_of(*text_bytes(pa.array(texts, pa.string())), word_hashes)
     vocabulary, numbers = np.unique(words.hash, return_inverse=True)
     counts = words.per_text
     starts, lengths, owners = [], [], []
@@ -41,13 +42,13 @@ def phrases_of(item_ids: list[int], texts: list[str | None], width: int) -> Phra
         lengths.append(np.full(n, min(width, counts[i])))
         owners.append(np.full(n, i))
     if not starts:
-        return Phrases(vocabulary, np.zeros((0, width), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+        return Phrases(vocabulary, np.zeros((0, width), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), [])
     start, length, owner = map(np.concatenate, (starts, lengths, owners))
     columns = np.arange(width)
     table = np.where(columns < length[:, None], numbers[np.minimum(start[:, None] + columns, len(numbers) - 1)] + 1, 0)
     patterns, which = np.unique(table, axis=0, return_inverse=True)
     pairs = np.unique(np.stack([which.ravel(), owner], axis=1), axis=0)
-    return Phrases(vocabulary, patterns, (patterns > 0).sum(axis=1), np.array(item_ids, dtype=np.int64)[pairs[:, 1]], np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)))
+    return Phrases(vocabulary, patterns, (patterns > 0).sum(axis=1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), item_ids)
 
 
 def hits_of_shard(numbers: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +108,7 @@ def _search(phrases, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, SHARD_BYTES):
-                words = words_of(*text_bytes(part.column("text")))
+                words = words_of(*text_bytes(part.column("text")), word_hashes)
                 p = phrases.value
                 place = np.minimum(np.searchsorted(p.vocabulary, words.hash), max(len(p.vocabulary) - 1, 0))
                 numbers = np.where(p.vocabulary[place] == words.hash, place + 1, 0) if len(p.vocabulary) else np.zeros(len(words.hash), dtype=np.int64)
@@ -123,10 +124,10 @@ def _search(phrases, keep: list[str]):
                     s, e = merged(np.concatenate([old[:, 0], first]), np.concatenate([old[:, 1], first + length[here]]))
                     hits[i] = np.stack([s, e], axis=1).astype(np.int64).tobytes()
                     distinct = np.unique(which[here])
-                    new = [p.items[p.item_bounds[w] : p.item_bounds[w + 1]] for w in distinct]
-                    items[i] = np.unique(np.concatenate([items[i], *new])).astype(np.int64).tolist()
+                    new = np.unique(np.concatenate([p.items[p.item_bounds[w] : p.item_bounds[w + 1]] for w in distinct]))
+                    items[i] = sorted({*items[i], *(p.item_ids[k] for k in new)} - {None})
                 n_hit = [int(np.diff(np.frombuffer(h, dtype=np.int64).reshape(-1, 2), axis=1).sum()) for h in hits]
-                yield with_columns(part, keep, n_words=pa.array(words.per_text), n_hit=pa.array(n_hit, pa.int64()), hits=pa.array(hits, pa.binary()), items=pa.array(items, pa.list_(pa.int64())))
+                yield with_columns(part, keep, n_words=pa.array(words.per_text), n_hit=pa.array(n_hit, pa.int64()), hits=pa.array(hits, pa.binary()), items=pa.array(items, part.schema.field("items").type))
 
     return run
 
@@ -150,13 +151,13 @@ def _spans(keep: list[str]):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str | None]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
     """The items of the benchmark in blocks of about block_bytes, so that each is a bounded broadcast."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
@@ -167,12 +168,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     numbers; all phrases are searched backward at once through the wavelet matrix, their occurrences located by sampled suffix positions and their word ranges merged.
     Nothing is shuffled. The benchmark, a stated query set, is taken in blocks of about block_bytes, each one broadcast and one pass in the same stage.
 
-    Null and empty texts have no words and no hits; items without words have no phrases; an item id may repeat (its phrases add up), null ids are left out. Repeated documents each
+    Null and empty texts have no words and no hits; items without words have no phrases; an item id may repeat (its phrases add up) and be of any type that sorts; an item without an id hits and is cut as any other, but stands in no list. Repeated documents each
     have their own hits. Empty tables give no rows or no hits. Columns named like a result are replaced.
     """
     keep = plain_columns(docs, *RESULT)
     small_batches(docs)
-    frame = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast('' as binary)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    frame = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast('' as binary)").alias("hits"), F.expr(f"cast(array() as array<{benchmark.schema['item_id'].dataType.simpleString()}>)").alias("items"))
     for ids, texts in benchmark_blocks(benchmark, block_bytes):
         phrases = docs.sparkSession.sparkContext.broadcast(phrases_of(ids, texts, width))
         frame = frame.mapInArrow(_search(phrases, keep), frame.schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import binary_lists, constants, mix64, ngram_hashes, pieces, slices, text_bytes, tidy, words_of
+from .arrays import binary_lists, constants, mix64, ngram_hashes, pieces, slices, text_bytes, tidy, word_hashes, words_of
 from .components import components
 from .groups import block_pairs, by_key, local_roots
 from .storage import plain_columns, settled, small_batches
@@ -46,7 +46,7 @@ RESULT = ("class_id", "n_links", "class_size", "kept")
 
 def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-gram hashes of each text, and their bounds."""
-    grams, bounds = ngram_hashes(words_of(*text_bytes(column)), n)
+    grams, bounds = ngram_hashes(words_of(*text_bytes(column), word_hashes), n)
     order = np.lexsort((grams, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
     texts, grams = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), grams[order]
     first = np.ones(len(grams), dtype=bool)
