@@ -27,7 +27,7 @@ class VectorSettings:
     load: unrelated vectors that a vector may meet in a table, on average; block: vectors that one task compares with as many others at once."""
 
     threshold: float = 0.95
-    recall: float = 0.97
+    recall: float = 0.9999
     width: float = 2.0
     load: float = 0.1
     block: int = 1024
@@ -81,6 +81,7 @@ def _sign(settings: VectorSettings, tables: int, projections: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "vec_id": batch.column("vec_id").take(pa.array(rows)),
+                        "mark": batch.column("mark").take(pa.array(rows)),
                         "same": pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unit], pa.binary()),
                         "unit": pa.array([u.tobytes() for u in unit], pa.binary()),
                         "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(keys.ravel())),
@@ -129,17 +130,17 @@ def vector_links(embeddings: DataFrame, settings: VectorSettings = VectorSetting
     a bucket of more than `block` vectors is split into block pairs, each a group of its own, and none is capped. Projections grow with the logarithm of the number of vectors. A link
     below the threshold is never made; about 1 - recall of those right at it are missed, fewer of closer ones.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link with nothing; vectors of unlike length don't link. vec_id names a vector: rows that share
-    one are one node's. component_id is the smallest vec_id that links reach; kept: vec_id = component_id (true for a null id). Labels and other columns are not looked at. An empty table gives no rows.
-    Columns named like a result are replaced.
+    Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link with nothing; vectors of unlike length don't link. Each different vector of an id is a vector of
+    its own: rows that share an id have the links of their own vectors, and reach each other by links only. component_id is the smallest vec_id that links reach; kept: vec_id = component_id (true for a null id).
+    Labels and other columns are not looked at. An empty table gives no rows. Columns named like a result are replaced.
     """
     tables, projections = settings.tables(embeddings.count())
     keep = [c for c in plain_columns(embeddings, *RESULT) if c != "embedding"]
     small_batches(embeddings)
-    source = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    signed = settled(source.mapInArrow(_sign(settings, tables, projections), "vec_id long, same binary, unit binary, keys array<bigint>"), "vectors")
-    nodes = signed.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = settled(signed.join(nodes, "same").where("vec_id = rep").select("rep", "copies", "unit", "keys").dropDuplicates(["rep"]), "nodes")
+    source = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("embedding").alias("mark"), "embedding")
+    signed = settled(source.mapInArrow(_sign(settings, tables, projections), "vec_id long, mark long, same binary, unit binary, keys array<bigint>"), "vectors")
+    nodes = signed.groupBy("same").agg(F.xxhash64("same").alias("rep"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    reps = settled(signed.dropDuplicates(["same"]).join(nodes, "same").select("rep", "copies", "unit", "keys"), "nodes")
     members = reps.select("rep", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = members.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / settings.block).cast("int")).drop("size")
@@ -147,9 +148,11 @@ def vector_links(embeddings: DataFrame, settings: VectorSettings = VectorSetting
     found = settled(dealt.mapInArrow(_verify(settings, tables), "node long, links long, root long"), "found")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-    per_node = nodes.join(links, "rep", "left").join(classes, "rep", "left")
-    per_node = per_node.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    by_id = signed.select("vec_id", "same").join(per_node, "same").groupBy(F.col("vec_id").alias("_its_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    joined = embeddings.select(*keep).join(by_id, F.col("vec_id") == F.col("_its_id"), "left")
+    per_node = nodes.join(links, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = per_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    per_node = per_node.join(first, "component").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    by_row = signed.select(F.col("vec_id").alias("_its_id"), F.col("mark").alias("_its_mark"), "same").distinct().join(per_node, "same").drop("same")
+    marked = embeddings.select(*keep, F.xxhash64("embedding").alias("_mark"))
+    joined = marked.join(by_row, (F.col("vec_id") == F.col("_its_id")) & (F.col("_mark") == F.col("_its_mark")), "left")
     result = joined.select(*keep, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
