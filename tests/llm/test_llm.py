@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from veilscan.llm.arrays import word_hashes
 from veilscan.llm.decontaminate import benchmark_hits, decontaminated
 from veilscan.llm.embedding_dedup import VectorSettings, vector_links
 from veilscan.llm.fm_index import FmIndex
@@ -26,7 +27,7 @@ from veilscan.llm.quality import quality_scores
 from veilscan.llm.queries import QUERIES
 from veilscan.llm.sharding import byte_shards, sharded
 from veilscan.llm.suffix_dedup import MatchSettings, SuffixFamily, without_repeats
-from veilscan.llm.token_counts import PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
+from veilscan.llm.token_counts import REDACTED, PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
 from veilscan.llm.toxicity import toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -227,6 +228,74 @@ def test_vectors(spark):
     assert vector_links(frame.limit(0)).count() == 0
 
 
+def links_by_hand(rows):
+    """(vec_id, vector) rows -> how many vectors each row links with, and the smallest id of its component, by all cosines in double precision."""
+    fit = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = defaultdict(set)
+    for size in {len(rows[k][1]) for k in fit}:
+        own = [k for k in fit if len(rows[k][1]) == size]
+        unit = np.array([rows[k][1] for k in own], dtype=float)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)), strict=True):
+            links[own[a]].add(own[b])
+            links[own[b]].add(own[a])
+    return Counter((i, len(links[k]), min(rows[m][0] for m in reach(links, k)) if links[k] else i) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("folder", [SF, SF.replace("0.001", "0.01")])
+def test_vectors_of_a_whole_table(spark, folder):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in QUERIES["op4_embedding_near_dedup"](spark, folder).collect())
+    assert got == links_by_hand(rows)
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0] * 8 + [0.0] * 8, [0.0] * 8 + [1.0] * 8
+    near = lambda v: [x + 0.01 * (k == 3) for k, x in enumerate(v)]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (1, a), (None, a), (4, None), (4, b)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_links(frame).collect())
+    assert got == links_by_hand(rows)
+
+
+def swapped(length):
+    """Two unlike words of this length that a polynomial hash modulo a power of two takes for one."""
+    bits = [bin(k).count("1") % 2 for k in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("length", [1024, 2048])
+def test_unlike_long_words_are_unlike(spark, length):
+    one, other = swapped(length)
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}", "en", "s", 1), (2, f"{other} {rest}", "en", "s", 1), (3, one, "en", "s", 1), (4, other, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(7, other)], "item_id long, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in benchmark_hits(docs, items).collect()} == {1: (0, []), 2: (1, [7]), 3: (0, []), 4: (1, [7])}
+    texts = {r["doc_id"]: r["text"] for r in decontaminated(docs, items).collect()}
+    assert texts[3] == one and one in texts[1] and other not in texts[2]
+    short = docs.where("doc_id > 2")
+    assert all(r["n_links"] == 0 for r in similarity_classes(short).collect())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, short, SF).collect()) == [3, 4]
+
+
+def test_word_hashes_tell_words_apart():
+    draw = np.random.default_rng(5)
+    words_given = sorted({bytes(draw.integers(97, 100, n).astype(np.uint8)) for n in [1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 300] for _ in range(60)})
+    whole = np.frombuffer(b" ".join(words_given), dtype=np.uint8)
+    stop = np.cumsum([len(w) + 1 for w in words_given]) - 1
+    hashes = word_hashes(whole, stop - [len(w) for w in words_given], stop)
+    assert len(set(hashes.tolist())) == len(words_given)
+    alone = [word_hashes(np.frombuffer(w, dtype=np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words_given]
+    assert hashes.tolist() == alone
+
+
+def test_items_with_string_ids_and_without_ids(spark):
+    docs = spark.createDataFrame([(1, "two words here"), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([("x10", "two words"), (None, "words here"), ("x9", "two"), ("x9", None)], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in benchmark_hits(docs, items).collect()}
+    assert got == {1: (3, ["x10", "x9"]), 2: (0, [])}
+
+
 def repeats(rows):
     seen, out = {}, {}
     for key, text in sorted(rows.items()):
@@ -364,6 +433,48 @@ def test_edits_count_as_a_whole_encoding_does():
         assert (tree.tokens, tree.length) == (sum(counts.counts(counts.split(new))), len(new))
 
 
+def edited_again(counts, text, edits):
+    """Pre-tokens of the text, pre-tokens encoded again, and whether the tree says what a whole encoding says."""
+    found = counts.split(text)
+    tree = PreTokenTree(np.array(list(map(len, found)), dtype=int), np.array(counts.counts(found), dtype=int))
+    new, again = apply_edits(text, tree, edits, counts)
+    assert (tree.tokens, tree.length) == (sum(counts.counts(counts.split(new))), len(new))
+    return len(found), again
+
+
+def test_edits_follow_each_other_in_one_tree():
+    counts = PreTokenCounts(read_ranks(RANKS))
+    draw, letters = random.Random(4), ["a", "b", " ", "  ", "\n", "'s", "'", "1", "!!", "é", "   \n  "]
+    for _ in range(300):
+        text = "".join(draw.choices(letters, k=draw.choice([0, 3, 40, 200])))
+        found = counts.split(text)
+        tree = PreTokenTree(np.array(list(map(len, found)), dtype=int), np.array(counts.counts(found), dtype=int))
+        for _ in range(4):
+            edits = [(a := draw.randint(-2, len(text) + 2), a + draw.randint(-1, 6), "".join(draw.choices(letters, k=draw.randint(0, 3)))) for _ in range(draw.choice([1, 4, 30]))]
+            text, _ = apply_edits(text, tree, edits, counts)
+            assert (tree.tokens, tree.length) == (sum(counts.counts(counts.split(text))), len(text))
+
+
+@pytest.mark.parametrize("n", [500, 100_000])
+def test_work_follows_the_edits(n):
+    """Double blanks, single edits far apart, edits in one unbroken run and in white space alone."""
+    counts = PreTokenCounts(read_ranks(RANKS))
+    text = "word  " * n
+    _, again = edited_again(counts, text, [(m.start(), m.end(), " ") for m in re.finditer("  ", text)])
+    assert again <= 3 * n
+    _, again = edited_again(counts, "one more thing. " * n, [(i * 160, i * 160 + 1, "X") for i in range(n // 10)])
+    assert again <= 8 * (n // 10) + 8
+    for text in ("y" * n, "\n\n  " * n):
+        size, again = edited_again(counts, text, [(i * 10, i * 10 + 1, " ") for i in range(n // 10)])
+        assert again <= n
+
+
+def test_redactions_of_long_runs():
+    for text in ("x" * 1_000_000, "ab12" * 250_000, " " * 1_000_000, "a.b@c" * 200_000, "1 (" * 300_000):
+        for m in REDACTED.finditer(text):
+            assert m.end() > m.start()
+
+
 def test_token_counts(docs, odd):
     ranks = read_ranks(RANKS)
     counts = PreTokenCounts(ranks)
@@ -425,7 +536,7 @@ def test_stage_near_copies_against_brute_force(spark, docs):
 
 def test_stage_benchmark_against_brute_force(spark, docs):
     phrases = set()
-    for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id IS NOT NULL").collect():
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = words(r["text"])
         phrases |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
     lengths, expected, cut = {len(p) for p in phrases}, [], 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ RESULT = ("leaves", "n_pretokens", "n_tokens", "edits", "n_edits", "n_tokens_aft
 PIECE = 1 << 19
 KNOWN_PRE_TOKENS = 200_000
 
-REDACTED = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?\d[\d ().-]{6,}\d|[ \t]{2,}|\n{2,}")
+REDACTED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?\d[\d ().-]{6,}\d|[ \t]{2,}|\n{2,}")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,93 +73,114 @@ class PreTokenTree:
     def length(self) -> int:
         return int(self.sums[1, 0])
 
-    def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds a character, and the leaf's first character."""
-        node, start = 1, 0
-        while node < self.width:
-            node *= 2
-            left = int(self.sums[node, 0])
-            if at - start >= left:
-                start += left
-                node += 1
-        return node - self.width, start
-
-    def size(self, leaf: int) -> int:
-        return int(self.sums[self.width + leaf, 0])
-
-    def put(self, leaf: int, length: int, tokens: int) -> None:
-        node = self.width + leaf
-        change = np.array([length, tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += change
-            node //= 2
+    def ends(self) -> list[int]:
+        """Where each leaf ends, in characters."""
+        return np.cumsum(self.sums[self.width : self.width + self.leaves, 0]).tolist()
+
+    def replace(self, first: int, stop: int, lengths: list[int], tokens: list[int]) -> None:
+        """New pre-tokens stand where the leaves first .. stop - 1 stood, one each; the last takes what is over. The sums above are updated level by level."""
+        room = stop - first
+        new = np.zeros((room, 2), dtype=np.int64)
+        alone = min(room - 1, len(lengths))
+        new[:alone, 0], new[:alone, 1] = lengths[:alone], tokens[:alone]
+        new[room - 1] += (sum(lengths[alone:]), sum(tokens[alone:]))
+        self.sums[self.width + first : self.width + stop] = new
+        low, high = (self.width + first) // 2, (self.width + stop - 1) // 2
+        while low:
+            below = self.sums[2 * low : 2 * high + 2]
+            self.sums[low : high + 1] = below[0::2] + below[1::2]
+            low, high = low // 2, high // 2
+
+    def grow(self, length: int, tokens: int) -> None:
+        """A tree without text takes one leaf."""
+        fresh = PreTokenTree(np.array([length] if length else [], dtype=np.int64), np.array([tokens] if length else [], dtype=np.int64))
+        self.width, self.leaves, self.sums = fresh.width, fresh.leaves, fresh.sums
+
+
+def in_order(edits: list[tuple[int, int, str]], length: int) -> list[tuple[int, int, str]]:
+    """The edits from left to right, apart from each other: bounds are clamped to the text, and an edit that reaches into one to its right ends where that starts."""
+    out, right = [], length
+    for start, stop, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
+        start, stop = max(0, min(start, right)), max(0, min(stop, right))
+        out.append((start, max(start, stop), new))
+        right = start
+    return out[::-1]
 
 
 def apply_edits(text: str, tree: PreTokenTree, edits: list[tuple[int, int, str]], counter: PreTokenCounts) -> tuple[str, int]:
-    """The edited text, and how many pre-tokens were encoded again; the tree follows.
-
-    Edits (start, stop, replacement) name characters of the text before any edit. They run from right to left, so those on the left keep their places; bounds are clamped, and an edit that reaches into one to its
-    right ends where that starts. A pre-token depends on the text from its start on, and looks beyond its end at most over white space and one character. So encoding restarts a pre-token before
-    the last character that isn't white space ahead of the edit, and stops at the first old boundary behind the edit that is a new one too and has more than white space behind it in view."""
-    again, right = 0, len(text)
-    for start, stop, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
-        start, stop = max(0, min(start, right)), max(0, min(stop, right))
-        stop, right = max(start, stop), start
-        first, begin = 0, 0
-        before = start - 1
-        while before >= 0 and text[before].isspace():
-            before -= 1
-        if before > 0 and tree.length:
-            first, begin = tree.find(before - 1 if before == start - 1 else before)
-            if begin > 0:
-                first, begin = tree.find(begin - 1)
-        edited = text[:start] + new + text[stop:] if len(text) < 4096 else None
-        shift = len(new) - (stop - start)
-        total = len(text) + shift
-        piece = lambda a, b: edited[a:b] if edited is not None else (text[a : min(b, start)] if a < start else "") + new[max(0, a - start) : max(0, b - start)] + (text[max(stop, a - shift) : b - shift] if b - shift > stop else "")  # noqa: B023, E731
-        last, end = tree.find(min(stop, max(tree.length - 1, 0))) if tree.length else (0, 0)
-        end += tree.size(last) if tree.length else 0
-        reach = 4
+    """The edited text, and how many pre-tokens were encoded again; the tree follows. Edits (start, stop, replacement) name characters of the text before any edit (see in_order).
+
+    One pass from left to right. A pre-token depends on the text from its start on, and looks beyond its end at most over white space and one character. So encoding restarts a pre-token before the last
+    character that isn't white space ahead of an edit, and goes on until an old boundary behind the edit is a new one too and has more than white space behind it in view. Edits that are met before that are taken
+    up by the same run; what is settled of a run is not looked at again, so the work follows the edits and not their square."""
+    edits = in_order(edits, len(text))
+    parts, at = [], 0
+    for start, stop, new in edits:
+        parts += [text[at:start], new]
+        at = stop
+    if not tree.length:
+        whole = "".join([*parts, text[at:]])
+        counts = counter.counts(counter.split(whole))
+        tree.grow(len(whole), sum(counts))
+        return whole, len(counts)
+    again, j, floor, ends = 0, 0, 0, tree.ends()
+    while j < len(edits):
+        first, begin = _context(text, ends, edits[j][0], floor)
+        leaf, end, read = first, begin, begin  # the next old leaf and where it begins; old text is taken up to `read`
+        carry, lengths, tokens, reach = "", [], [], 4
         while True:
-            bounds, leaf, at = {}, last, max(end, stop)
-            while leaf < tree.leaves and len(bounds) < reach:
-                bounds[at + shift - begin] = leaf
+            while j < len(edits) and (edits[j][0] <= end or _context(text, ends, edits[j][0], begin)[1] <= end):
+                start, stop, new = edits[j]
+                carry += text[read:start] + new
+                read, j = stop, j + 1
+                if end < read:
+                    leaf = bisect_left(ends, read, leaf) + 1
+                    end = ends[leaf - 1]
+            limit = edits[j][0] if j < len(edits) else len(text)
+            bounds, seen = {len(carry) + end - read: (leaf, end)}, end
+            while leaf < tree.leaves and len(bounds) <= reach and seen < limit:
+                seen = ends[leaf]
                 leaf += 1
-                at += tree.size(leaf) if leaf < tree.leaves else 0
-            upto = min(total, at + shift)
-            view = piece(begin, upto)
-            pre_tokens = counter.split(view)
-            if upto >= total:
-                used, leaf_end, size = len(pre_tokens), tree.leaves - 1, len(view)
-                place = 0
-                for k, p in enumerate(pre_tokens):
-                    place += len(p)
-                    if place in bounds and place < len(view) and not view[place:].isspace():
-                        used, leaf_end, size = k + 1, bounds[place], place
-                        break
-                break
-            place, done = 0, None
-            for k, p in enumerate(pre_tokens):
+                bounds[len(carry) + seen - read] = (leaf, seen)
+            upto = min(seen, limit)
+            view = carry + text[read:upto]
+            last = upto == len(text) and j == len(edits)
+            least, place, settled_to, done = len(carry) + end - read, 0, 0, None
+            solid = len(view) if last else len(view.rstrip())
+            found = counter.split(view)
+            for k, p in enumerate(found):
                 place += len(p)
-                if place in bounds and place < len(view) and not view[place:].isspace():
-                    done = k + 1, bounds[place], place
+                if place >= solid and not (last and place == len(view)):
+                    break
+                settled_to = k + 1
+                if place in bounds and place >= least and bounds[place][0] > first and not (j < len(edits) and _context(text, ends, edits[j][0], begin)[1] < bounds[place][1]):
+                    done = bounds[place]
                     break
-            if done:
-                used, leaf_end, size = done
+            lengths += map(len, found[:settled_to])
+            tokens += counter.counts(found[:settled_to])
+            if done or last:
+                leaf, floor = done or (tree.leaves, len(text))
                 break
-            reach *= 2
-        counts = counter.counts(pre_tokens[:used])
-        again += used
-        if tree.leaves:
-            tree.put(first, size, sum(counts))
-            for leaf in range(first + 1, leaf_end + 1):
-                if tree.size(leaf):
-                    tree.put(leaf, 0, 0)
-        elif used:
-            fresh = PreTokenTree(np.array([size]), np.array([sum(counts)]))
-            tree.width, tree.leaves, tree.sums = fresh.width, fresh.leaves, fresh.sums
-        text = text[:start] + new + text[stop:]
-    return text, again
+            carry, read, end, reach = view[sum(map(len, found[:settled_to])) :], upto, seen, 2 * reach
+        again += len(lengths)
+        tree.replace(first, leaf, lengths, tokens)
+    return "".join([*parts, text[at:]]), again
+
+
+def _context(text: str, ends: list[int], start: int, floor: int) -> tuple[int, int]:
+    """The leaf from which an edit at `start` may change pre-tokens, and its first character; none before `floor`, a boundary."""
+
+    def holds(at: int) -> tuple[int, int]:
+        leaf = bisect_right(ends, at)
+        return leaf, ends[leaf - 1] if leaf else 0
+
+    before = start - 1
+    while before >= floor and text[before].isspace():
+        before -= 1
+    if before <= floor:
+        return holds(floor)
+    first, begin = holds(before - 1 if before == start - 1 else before)
+    return holds(begin - 1) if begin > floor else (first, begin)
 
 
 def pre_token_trees(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -218,7 +240,9 @@ def edited_counts(trees: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def redaction_edits(docs: DataFrame) -> DataFrame:
-    """The columns of docs, and edits: mail addresses and long numbers give way to a mark, runs of blanks or line breaks to one. Columns named like it are replaced."""
+    """The columns of docs, and edits: mail addresses and long numbers give way to a mark, runs of blanks or line breaks to one, in time that follows the length of the text.
+
+    A null or empty text has none. Repeated rows have their own. Columns named like it are replaced."""
     small_batches(docs)
     keep = plain_columns(docs, "edits")
 
