@@ -217,14 +217,14 @@ def test_filters_lose_nothing(n, bits):
     part_bits = min(2, left_bits)
     merged = {}
     for at in range(0, 3000, 600):
-        left, right, counts = summed(*permuted(*packed_ngrams([w[at : at + 600] for w in words], bits), left_bits, right_bits), None)
+        left, right, counts = summed(*permuted(*packed_ngrams([w[at : at + 600] for w in words], bits), left_bits, right_bits), None, left_bits, right_bits)
         parts = (left >> np.uint64(left_bits - part_bits)).astype(np.int64)
         for part in np.unique(parts):
             own = parts == part
             packed_filter = CountingFilter(left[own], right[own], counts[own]).pack(left_bits, right_bits, part_bits)
             again = CountingFilter.unpack(packed_filter, left_bits, right_bits, int(part))
             assert (again.left == left[own]).all() and (again.right == right[own]).all() and (again.counts == counts[own]).all()
-            merged[part] = merged[part].merged(again) if part in merged else again
+            merged[part] = CountingFilter.merged([merged[part], again], left_bits, right_bits, part_bits) if part in merged else again
     got = Counter()
     for one in merged.values():
         for *gram, count in zip(*unpacked_ngrams(*restored(one.left, one.right, left_bits, right_bits), n, bits), one.counts, strict=True):
@@ -235,7 +235,7 @@ def test_filters_lose_nothing(n, bits):
 def test_filters_are_compact():
     draw = np.random.default_rng(0)
     words = [draw.integers(1, 1 << 16, 1 << 20).astype(np.uint64) for _ in range(4)]
-    left, right, counts = summed(*permuted(*packed_ngrams(words, 16), 32, 32), None)
+    left, right, counts = summed(*permuted(*packed_ngrams(words, 16), 32, 32), None, 32, 32)
     assert len(CountingFilter(left, right, counts).pack(32, 32, 0)) < 6.6 * len(left)
 
 

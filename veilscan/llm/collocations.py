@@ -100,11 +100,13 @@ def _count(settings: PhraseSettings, bits: int, part_bits: int):
                     whole = (ids > 0)[: len(ids) - n + 1] & whole[1:] if n > 2 else (ids > 0)[:-1] & (ids > 0)[1:]
                     at = np.flatnonzero(whole)
                     left_bits, right_bits = (bits * k for k in halves(n))
-                    left, right, counts = summed(*permuted(*packed_ngrams([ids[at + k] for k in range(n)], bits), left_bits, right_bits), None)
-                    parts = (left >> np.uint64(left_bits - part_bits)).astype(np.int64)
-                    cuts = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(parts))
-                    for a, b in pairwise(cuts):
-                        out.append((n, int(parts[a]), CountingFilter(left[a:b], right[a:b], counts[a:b]).pack(left_bits, right_bits, part_bits)))
+                    left, right = permuted(*packed_ngrams([ids[at + k] for k in range(n)], bits), left_bits, right_bits)
+                    parts = (left >> np.uint64(left_bits - part_bits)).astype(np.uint16 if part_bits <= 16 else np.uint32)
+                    order = np.argsort(parts, kind="stable")
+                    left, right, parts = left[order], right[order], parts[order]
+                    for a, b in pairwise(np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts)) if len(parts) else []):
+                        one = CountingFilter(*summed(left[a:b], right[a:b], None, left_bits - part_bits, right_bits))
+                        out.append((n, int(parts[a]), one.pack(left_bits, right_bits, part_bits)))
                 if out:
                     n, part, filters = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(part, pa.int64()), pa.array(filters, pa.binary())], names=["n", "part", "filter"])
@@ -112,38 +114,43 @@ def _count(settings: PhraseSettings, bits: int, part_bits: int):
     return run
 
 
-def _merge(settings: PhraseSettings, bits: int):
-    """The filters of a part, from all shards -> the n-grams that occur often enough. A few filters at a time are merged into those of like size, so the part is never unpacked whole beside its sum."""
+def _merge(settings: PhraseSettings, bits: int, part_bits: int):
+    """The filters of a part, from all shards -> the n-grams that occur often enough. Some filters at a time are merged into one, and those into others of like size, so the part is never unpacked whole."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, levels = None, []
+        key, levels, loose = None, [], []
 
-        def add(one: CountingFilter) -> None:
-            levels.append(one)
+        def widths(n: int) -> tuple[int, int, int]:
+            left, right = halves(n)
+            return bits * left, bits * right, part_bits
+
+        def lift() -> None:
+            if loose:
+                levels.append(CountingFilter.merged(loose, *widths(key[0])))
+                loose.clear()
             while len(levels) > 1 and len(levels[-2].left) <= 2 * len(levels[-1].left):
-                levels.append(levels.pop().merged(levels.pop()))
+                levels[-2:] = [CountingFilter.merged(levels[-2:], *widths(key[0]))]
 
         def done() -> pa.RecordBatch:
-            n = key[0]
-            while len(levels) > 1:
-                levels.append(levels.pop().merged(levels.pop()))
-            often = np.flatnonzero(levels[0].counts >= settings.least)
-            left_bits, right_bits = (bits * k for k in halves(n))
-            words = unpacked_ngrams(*restored(levels[0].left[often], levels[0].right[often], left_bits, right_bits), n, bits)
+            lift()
+            n, whole = key[0], CountingFilter.merged(levels, *widths(key[0]))
+            levels.clear()
+            often = np.flatnonzero(whole.counts >= settings.least)
+            words = unpacked_ngrams(*restored(whole.left[often], whole.right[often], *widths(n)[:2]), n, bits)
             ids = np.stack(words, axis=1).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(often) + 1, dtype=np.int32) * n), pa.array(ids, pa.int64()))
-            return pa.RecordBatch.from_arrays([lists, pa.array(levels[0].counts[often])], names=["ids", "f"])
+            return pa.RecordBatch.from_arrays([lists, pa.array(whole.counts[often])], names=["ids", "f"])
 
-        for rows in by_key(batches, ["n", "part"], 64):
+        for rows in by_key(batches, ["n", "part"], 256):
             now = rows["n"][0].as_py(), rows["part"][0].as_py()
             if key not in (None, now):
                 yield done()
-                levels.clear()
             key = now
-            left_bits, right_bits = (bits * k for k in halves(key[0]))
             for data in rows["filter"]:
-                add(CountingFilter.unpack(data.as_py(), left_bits, right_bits, key[1]))
+                loose.append(CountingFilter.unpack(data.as_py(), *widths(key[0])[:2], key[1]))
+                if sum(len(f.left) for f in loose) >= settings.part:
+                    lift()
         if key is not None:
             yield done()
 
@@ -189,7 +196,7 @@ def collocations(docs: DataFrame, settings: PhraseSettings = PhraseSettings()) -
     counted = coded.select("codes", "n_words", F.col("_pairs.own").alias("own"), F.col("_pairs.number").alias("number"))
     filters = counted.mapInArrow(_count(settings, bits, part_bits), "n int, part long, filter binary")
     merged = filters.repartition("n", "part").sortWithinPartitions("n", "part")
-    phrases = settled(merged.mapInArrow(_merge(settings, bits), "ids array<bigint>, f long"), "phrases")
+    phrases = settled(merged.mapInArrow(_merge(settings, bits, part_bits), "ids array<bigint>, f long"), "phrases")
 
     grams = phrases.unionByName(words.select(F.array(F.col("number").cast("long")).alias("ids"), "f"))
     size = F.size("ids")

@@ -61,18 +61,32 @@ def restored(left: np.ndarray, right: np.ndarray, left_bits: int, right_bits: in
     return left, right
 
 
-def summed(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs and the sums of their counts (1 each where None). Runs that are sorted already are merged, not sorted anew."""
+def summed(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None, left_bits: int, right_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and the sums of their counts (1 each where None). All left halves agree above their left_bits low bits; pairs of 64 bits at most are sorted as one number each."""
     if not len(left):
         return left, right, np.zeros(0, dtype=np.int64)
-    order = np.argsort(right, kind="stable")
-    order = order[np.argsort(left[order], kind="stable")]
-    left, right = left[order], right[order]
-    first = np.ones(len(left), dtype=bool)
-    first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    at = np.flatnonzero(first)
-    sums = np.diff(np.append(at, len(left))) if counts is None else np.add.reduceat(counts[order], at)
-    return left[at], right[at], sums.astype(np.int64)
+    if left_bits + right_bits <= 64:
+        above = left[0] & ~_mask(left_bits)
+        key = ((left & _mask(left_bits)) << np.uint64(right_bits)) | right if right_bits < 64 else right
+        if counts is None:
+            key = np.sort(key)
+        else:
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = len(key)
+        key = key[at]
+        left, right = above | (key >> np.uint64(right_bits) if right_bits < 64 else np.uint64(0)), key & _mask(right_bits)
+        left = np.broadcast_to(left, right.shape)
+    else:
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        counts = None if counts is None else counts[order]
+        at = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        size = len(left)
+        left, right = left[at], right[at]
+    sums = np.diff(np.append(at, size)) if counts is None else np.add.reduceat(counts, at)
+    return left, right, sums.astype(np.int64)
 
 
 def _planes(values: np.ndarray, size: int) -> bytes:
@@ -144,7 +158,8 @@ class CountingFilter:
         counts[many] = _from_planes(take(more * width), more, width).astype(np.int64)
         return CountingFilter(low, right, counts)
 
-    def merged(self, other: CountingFilter) -> CountingFilter:
-        """The filter of both inputs."""
-        both = (np.concatenate([a, b]) for a, b in ((self.left, other.left), (self.right, other.right), (self.counts, other.counts)))
-        return CountingFilter(*summed(*both))
+    @staticmethod
+    def merged(filters: list[CountingFilter], left_bits: int, right_bits: int, part_bits: int) -> CountingFilter:
+        """One filter of all entries of filters of one part."""
+        both = (np.concatenate(columns) for columns in zip(*((f.left, f.right, f.counts) for f in filters), strict=True))
+        return CountingFilter(*summed(*both, left_bits - part_bits, right_bits))
