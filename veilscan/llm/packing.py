@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ from .storage import plain_columns, settled, small_batches
 
 RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 TEXT_PIECE = 1 << 20
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 TRAILING = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?]+(?=\s)")
 
 
@@ -41,7 +42,7 @@ class PackSettings:
 
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers, from those of the parts between ASCII white space: the vocabulary drops white space and none of its tokens spans any. Punctuation
-    behind an ASCII letter or digit and ahead of white space is a part of its own, as it is for the vocabulary. Forgets all parts once it knows KNOWN_WORDS, so its size is bounded."""
+    behind an ASCII letter or digit and ahead of white space is a part of its own, as it is for the vocabulary. Parts are remembered until KNOWN_WORDS newer ones are known, so the size is bounded."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
@@ -49,16 +50,21 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         parts = []
         for text in texts:
-            data = TRAILING.sub(rb" \g<0>", text.encode())
+            data = TRAILING.sub(_apart, text.encode())
             parts.append((data.lower() if data.isascii() else data).split())
-        every = set().union(*parts)
-        if len(self.known) + len(every) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in every if w in self.known}
-        new = [w for w in every if w not in self.known]
+        new = [w for w in set().union(*parts) if w not in self.known]
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+            new = list(set().union(*parts))
+        again = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        if again:
+            new = [w for w in new if w not in self.known]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
@@ -66,12 +72,22 @@ class WordIds:
         return (b"".join(map(self.known.__getitem__, words)) for words in parts)
 
 
+def _apart(found: re.Match[bytes]) -> bytes:
+    return b" " + found[0]
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_json: str) -> WordIds:
+    """One per vocabulary and Python worker, so that the tasks of a worker share what they know."""
+    return WordIds(tokenizer_json)
+
+
 def _cut(tokenizer, settings: PackSettings, keep: list[str]):
     """A row per piece: documents of more than `capacity` ids are cut into pieces of that many."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, width = WordIds(tokenizer.value), settings.end_id.to_bytes(4, "little"), 4 * settings.capacity
+        words, end, width = word_ids(tokenizer.value), settings.end_id.to_bytes(4, "little"), 4 * settings.capacity
         for batch in batches:
             for part in pieces(batch, TEXT_PIECE):
                 rows, piece, length, crc = [], [], [], []
