@@ -23,7 +23,7 @@ from .storage import plain_columns, settled, small_batches
 
 RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 TEXT_PIECE = 1 << 20
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 700_000
 TRAILING = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?]+(?=\s)")
 
 
