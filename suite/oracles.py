@@ -162,6 +162,19 @@ ORACLES["address_spans"] = union(
 ORACLES["name_label_spans"] = flat(spans(CUSTOMERS, NAME_RE))
 ORACLES["rule_pattern_recogniser"] = scored(spans(DOCS, I + r"\b[0-9a-f]{32,64}\b"), "DIGEST", 0.5)
 
+ORACLES["declared_python_patterns"] = union(
+    *(
+        scored(spans(DOCS, I + regex), entity, 0.5)
+        for entity, regex in (
+            ("BRACE", r"\{|\bwh{0,2}en?an\b"),
+            ("CONDITION", r"theanre|heann"),
+            ("NAMED", r"(?:hh|nn|tt)an\w*"),
+            ("SCOPED", r"\b(?-i:Th)ean\w+"),
+            ("SPACED", r"\d{3}[.]\d{2}"),
+        )
+    )
+)
+
 ORACLES["credit_card_luhn"] = union(
     *(f"SELECT id, s AS start, e AS \"end\", value, '{n}' AS source, {luhn()} AS valid FROM ({spans(src, CARD_RE)})" for n, src in (("documents", DOCS), ("pages", PAGES)))
 )
@@ -220,6 +233,10 @@ ORACLES["include_exclude_patterns"] = scored(
     spans(DOCS, EMAIL_RE), "EMAIL_ADDRESS", 0.9,
     r"regexp_matches(value, '(?i)MAIL[0-5][.]') AND NOT regexp_matches(value, '(?i)^the') AND NOT regexp_matches(value, '[.]\d[02468]@')",
 )
+ORACLES["python_value_patterns"] = scored(
+    spans(DOCS, EMAIL_RE), "EMAIL_ADDRESS", 0.9,
+    r"regexp_matches(value, '(?i)MAIL[0-5][.]') AND NOT regexp_matches(value, '(?i)^(?:the|ha)') AND NOT regexp_matches(value, '[.]\d[02468]@')",
+)
 ORACLES["length_bounds"] = scored(spans(ORDERS, BANK_RE), "DIGIT_RUN", 0.5, "length(value) BETWEEN 13 AND 15")
 IP_BOTH = lambda src, keep: union(*(scored(spans(src, p), "IP_ADDRESS", 0.6, keep) for p in (IPV4_RE, IPV6_RE)))
 ORACLES["required_forbidden_context"] = IP_BOTH(DOCS, f"{needs(['the', 'que', 'ein'], 30)} AND NOT {needs(['th ', '###'], 30)}")

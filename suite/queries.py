@@ -194,6 +194,24 @@ def rule_pattern_recogniser(spark, sf_dir):
     return scanned(documents(spark, sf_dir), ScanSpec(rules))
 
 
+@query
+def declared_python_patterns(spark, sf_dir):
+    """Patterns of a rule file that Python knows and the JVM doesn't, each for an entity of its own; what has no JVM form or doesn't compile is left out."""
+    from veilscan.rules import resolve_rules
+
+    patterns = {
+        "BRACE": [r"{|\bwh{,2}en?an\b", "(broken"],
+        "CONDITION": [r"(t)?hean(?(1)re|n)", r"(a)(?<=\1)b"],
+        "NAMED": [r"(?P<twice>[hnt])(?P=twice)(?P<end>an\w*)"],
+        "SCOPED": [r"\b(?-i:Th)e(?i:A)n\w+"],
+        "SPACED": ["(?x) \\d{3} [.] # a network\n \\d{2}"],
+        "NOTHING": [r"(a)(?<=\1)b"],
+    }
+    declared = [{"name": f"{e}_RECOGNIZER", "entity": e, "patterns": [{"name": f"p{k}", "regex": p} for k, p in enumerate(ps)]} for e, ps in patterns.items()]
+    rules = resolve_rules({"entities": list(patterns), "score_threshold": 0.35}, {}, [{"additional_pattern_recognizers": declared}])
+    return scanned(documents(spark, sf_dir), ScanSpec(rules, DetectOptions(resolve=False)))
+
+
 # ---- checks -------------------------------------------------------------------------------------------------
 
 
@@ -291,6 +309,14 @@ def include_exclude_patterns(spark, sf_dir):
     return scanned(documents(spark, sf_dir), only(GENERAL["EMAIL_ADDRESS"], rules=rules, boost=NO_BOOST))
 
 
+@query
+def python_value_patterns(spark, sf_dir):
+    """Rule patterns with named groups, conditionals, open-ended counts and literal braces; the last exclusion has no JVM form."""
+    rule = EntityRule(include_patterns=(r"MAIL(?P<n>[0-5])[.]", "{"), exclude_patterns=(r"^(t)?h(?(1)e|a)", r"[.]\d(?=[02468]@)(?!x{,3}y)", r"(.)(?<=\1)"))
+    rules = RuleSet(score_threshold=0.0, entity_rules={"EMAIL_ADDRESS": rule})
+    return scanned(documents(spark, sf_dir), only(GENERAL["EMAIL_ADDRESS"], rules=rules, boost=NO_BOOST))
+
+
 @query
 def length_bounds(spark, sf_dir):
     return scanned(order_text(spark, sf_dir), _bank_like(EntityRule(normalization="digits", min_length=13, max_length=15)))

@@ -1,4 +1,5 @@
 import re
+import warnings
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,10 +8,12 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import checks, paths, urls
 from veilscan.functions.context import near_word, tokens_after, tokens_before
+from veilscan.functions.regex_dialect import ANALYSER, RULE, has_jvm_form, jvm_form
 from veilscan.functions.regexes import PLAIN_FLAGS, glob_regex, jvm_pattern, matches_empty, usable
 from veilscan.functions.spans import regex_spans
 from veilscan.functions.sqltext import text_literal
 from veilscan.operators.recognisers import AADHAAR, BANK_ACCOUNT, EMAIL, EMAIL_JVM, Pattern
+from veilscan.rules import EntityRule
 
 FLAGS = re.I | re.M | re.S
 PYTHON_PATTERNS = [AADHAAR, BANK_ACCOUNT, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", r"[a-z]+\s*:\s*\d+"]
@@ -149,3 +152,33 @@ def test_python_patterns_on_the_jvm(spark, pattern):
 
 def test_patterns_that_match_nothing_are_left_out():
     assert not usable(r"\d*") and not usable("(") and usable(r"\d+")
+
+
+DIALECT_PATTERNS = [
+    r'{"pan"', r"x{,3}y", r"(x)?(?(1)x|y)", r"(?P<q>a+)-(?P=q)", r"(?i:AB)c", r"(?-i:AB)c", r"(?s:a.b)", "(?x) a \\s b # c", r"[[a]+", r"[a&&b]", r"^a$", r"\Aa\Z", r"[^\W\d]+",
+    r"[\W_]+", r"\bé\w+\b", r"\Bx", r"a++b", r"(?>a|ab)c", r"(?<=a)b(?!c)", r"(?:(a)|b)(?(1)c|d)", r"(a)(b)?\1(?(2)\2|x)0", r"[]x]", r"[^]x]+", r"a{2,}?b", r".+", r"\s+", r"\d+", r"\S+",
+    r"(?a)\w+\b", r"(?m)^b", r"b$", r"[\d\s]x", r"()\1a", r"(a)(?:\1)0", r"\.\*\\", r"ſ|K", r"(?<=(?:ab|cd))e", r"((a)|(b))+(?(2)x|y)", r"a{x}", r"a{1", r"}{", r"\b(?:ab|cd)\b", r"\b[a-f_]+\b", r"\b\d{2}",
+]
+DIALECT_TEXTS = [
+    "asha@x", '{"pan"', "xxy xxxxy y", "a-a aa-aa", "abC ABc AB c", "a\nb", "a b", "[[a", "&a&b", "a\n", "b\na\nb\n", "ab_1é ü٣ x́y", "éa é xéy", "aab aaab", "abc ac", "ab cb abc", "bd ac bc ad",
+    "abax0 aabb0 aax0 ababb0", "]x]-", "x\x1cy z\x85 \xa0", "٣x4 12 x12", "\\.*\\", "ſK kSs", "cde abe", "abx aby bay", "a{x} a{1 }{", "aa0", "é\u0301\u200d", "abé cd́ ab",
+]
+
+
+def test_translated_patterns_find_what_python_finds(spark):
+    """All matches of each pattern in each text, under the flags of recognisers and of rules."""
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(DIALECT_TEXTS)], "k int, t string")
+    for flags in (ANALYSER, RULE):
+        found = [f"regexp_extract_all(t, {text_literal(jvm_form(p, flags))}, 0) AS p{k}" for k, p in enumerate(DIALECT_PATTERNS)]
+        for row in frame.selectExpr("k", *found).collect():
+            for k, p in enumerate(DIALECT_PATTERNS):
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    want = [m.group() for m in re.finditer(p, DIALECT_TEXTS[row["k"]], flags)]
+                assert list(filter(None, row[f"p{k}"])) == list(filter(None, want)), (p, DIALECT_TEXTS[row["k"]])
+
+
+def test_what_the_jvm_cannot_express_is_told():
+    assert not has_jvm_form(r"(x)(?<=\1)") and not has_jvm_form(r"(?<=(a)(?(1)b|c))d") and not has_jvm_form("(")
+    assert not has_jvm_form(r"a(?a:\w)") and has_jvm_form(r"(?<=a)b")
+    assert not usable(r"(x)(?<=\1)") and EntityRule().usable((r"a{,2}b", r"(x)(?<=\1)", "(")) == [r"a{,2}b"]

@@ -1,15 +1,15 @@
-"""Patterns are written in Python ``re`` syntax; these helpers give the JVM form of them."""
+"""Helpers for patterns in Python ``re`` syntax. ``jvm_pattern`` serves the library's own patterns, which both dialects read alike; ``regex_dialect`` translates those of users."""
 
 from __future__ import annotations
 
 import fnmatch
 import re
 
+from .regex_dialect import ANALYSER, has_jvm_form
+
 # Ignore case, '.' matches newlines, multi-line anchors, Unicode classes, and '\n' as the only line end (d).
 ANALYSER_FLAGS = "(?idmsU)"
 PLAIN_FLAGS = "(?dU)"
-# Rule patterns are searched ignoring case, without multi-line or dot-all.
-RULE_FLAGS = "(?idU)"
 
 
 def jvm_pattern(pattern: str, flags: str = ANALYSER_FLAGS) -> str:
@@ -32,22 +32,13 @@ def _jvm_token(token: re.Match[str]) -> str:
     return f"{head}{body}]"
 
 
-def compiles(pattern: str) -> bool:
-    """False for a pattern Python rejects; such rule patterns are ignored."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def matches_empty(pattern: str) -> bool:
-    return re.search(pattern, "") is not None
+    return re.search(pattern, "", ANALYSER) is not None
 
 
 def usable(pattern: str) -> bool:
-    """A pattern that compiles and finds no empty spans; a declared pattern that does not is left out by itself."""
-    return compiles(pattern) and not matches_empty(pattern)
+    """A pattern that compiles, has a JVM form and finds no empty spans; a declared pattern that does not is left out by itself."""
+    return has_jvm_form(pattern, ANALYSER) and not matches_empty(pattern)
 
 
 def literal(text: str) -> str:

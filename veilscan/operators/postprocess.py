@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import digits_of, looks_like_aadhaar, looks_like_mobile
 from ..functions.context import contains_any
-from ..functions.regexes import RULE_FLAGS, jvm_pattern
+from ..functions.regex_dialect import RULE, jvm_form
 from ..functions.sqltext import all_of, any_of, around, let, text_list, text_literal
 from ..rules import EntityRule
 
@@ -45,7 +45,7 @@ def normalise(value: str, mode: str, digits: str | None = None) -> str:
 
 def found_in(value: str, patterns: list[str]) -> str:
     """True when any pattern is found in the value, ignoring case."""
-    return any_of(f"{value} RLIKE {text_literal(jvm_pattern(p, RULE_FLAGS))}" for p in patterns)
+    return any_of(f"{value} RLIKE {text_literal(jvm_form(p, RULE))}" for p in patterns)
 
 
 def passes_values(value: str, rule: EntityRule, digits: str | None = None) -> str:
@@ -130,7 +130,7 @@ def passes_allow_list(value: str, allow_list: tuple[str, ...], match: str = "exa
     if not allow_list:
         return "true"
     if match == "regex":
-        return "NOT " + any_of(f"{value} RLIKE {text_literal(jvm_pattern(p))}" for p in allow_list)
+        return "NOT " + any_of(f"{value} RLIKE {text_literal(jvm_form(p))}" for p in allow_list)
     return f"{value} NOT IN ({text_list(allow_list)})"
 
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 
 from ..functions import checks
+from ..functions.regex_dialect import jvm_form
 from ..functions.regexes import PLAIN_FLAGS, jvm_pattern, literal, matches_empty, usable
 from ..rules import RuleSet
 
@@ -37,7 +38,7 @@ class Pattern:
 
     @property
     def jvm_regex(self) -> str:
-        return self.jvm or jvm_pattern(self.regex)
+        return self.jvm or jvm_form(self.regex)
 
 
 @dataclass(frozen=True)
@@ -102,34 +103,39 @@ URL = r"\bhttps?://[^\s<>\"']+"
 ISO_DATE = r"(?<!\d)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)"
 
 
+def _own(name: str, regex: str, score: float, needs: str | int) -> Pattern:
+    """One of the patterns above; they are written so that both dialects read them alike."""
+    return Pattern(name, regex, score, needs, jvm_pattern(regex))
+
+
 def india_recognisers(custom: Mapping[str, Any]) -> list[Recogniser]:
     domains = custom.get("upi_handle_domains") or UPI_DOMAINS
     strict = UPI_STRICT.replace("DOMAINS", "|".join(literal(str(d)) for d in domains))
-    upi = [Pattern("upi_strict", strict, 0.7, "@")]
+    upi = [_own("upi_strict", strict, 0.7, "@")]
     if custom.get("upi_generic_pattern", False):
-        upi.append(Pattern("upi_generic", UPI_GENERIC, 0.45, "@"))
+        upi.append(_own("upi_generic", UPI_GENERIC, 0.45, "@"))
     checksum = bool(custom.get("aadhaar_checksum_validation", True))
     aadhaar = Recogniser(
         "IN_AADHAAR",
         "IN_AADHAAR_RECOGNIZER",
-        (Pattern("aadhaar_strict", AADHAAR, 0.35, 4),),
+        (_own("aadhaar_strict", AADHAAR, 0.35, 4),),
         AADHAAR_CONTEXT,
         lambda _value, digits: checks.aadhaar_valid(digits, checksum),
     )
     return [
         aadhaar,
-        Recogniser("IN_PAN", "IN_PAN_RECOGNIZER", (Pattern("pan_regex", PAN, 0.55, 4),), PAN_CONTEXT),
-        Recogniser("IN_IFSC", "IN_IFSC_RECOGNIZER", (Pattern("ifsc_regex", IFSC, 0.6, 1),), IFSC_CONTEXT),
+        Recogniser("IN_PAN", "IN_PAN_RECOGNIZER", (_own("pan_regex", PAN, 0.55, 4),), PAN_CONTEXT),
+        Recogniser("IN_IFSC", "IN_IFSC_RECOGNIZER", (_own("ifsc_regex", IFSC, 0.6, 1),), IFSC_CONTEXT),
         Recogniser("IN_UPI_ID", "IN_UPI_RECOGNIZER", tuple(upi), UPI_CONTEXT),
-        Recogniser("IN_PASSPORT", "IN_PASSPORT_RECOGNIZER", (Pattern("passport_regex", PASSPORT, 0.55, 6),), PASSPORT_CONTEXT),
-        Recogniser("IN_BANK_ACCOUNT", "IN_BANK_ACCOUNT_RECOGNIZER", (Pattern("bank_account_regex", BANK_ACCOUNT, 0.35, 6),), BANK_CONTEXT),
+        Recogniser("IN_PASSPORT", "IN_PASSPORT_RECOGNIZER", (_own("passport_regex", PASSPORT, 0.55, 6),), PASSPORT_CONTEXT),
+        Recogniser("IN_BANK_ACCOUNT", "IN_BANK_ACCOUNT_RECOGNIZER", (_own("bank_account_regex", BANK_ACCOUNT, 0.35, 6),), BANK_CONTEXT),
     ]
 
 
 def general_recognisers() -> list[Recogniser]:
     """The built-in general entities. Patterns and scores are this library's own."""
     card_words = ("credit", "card", "visa", "mastercard", "amex", "discover", "jcb", "diners", "maestro")
-    ip_patterns = (Pattern("ipv4", IPV4, 0.6, 1, IPV4_JVM), Pattern("ipv6", IPV6, 0.6, ":"))
+    ip_patterns = (Pattern("ipv4", IPV4, 0.6, 1, IPV4_JVM), _own("ipv6", IPV6, 0.6, ":"))
     phone = Recogniser(
         "PHONE_NUMBER",
         "PhoneRecognizer",
@@ -158,8 +164,8 @@ def general_recognisers() -> list[Recogniser]:
         card,
         iban,
         Recogniser("IP_ADDRESS", "IpRecognizer", ip_patterns, ("ip", "ipv4", "ipv6")),
-        Recogniser("URL", "UrlRecognizer", (Pattern("url", URL, 0.5, "://"),), ("url", "website", "link")),
-        Recogniser("DATE_TIME", "DateRecognizer", (Pattern("iso_date", ISO_DATE, 0.5, 4),), ("date", "birthday")),
+        Recogniser("URL", "UrlRecognizer", (_own("url", URL, 0.5, "://"),), ("url", "website", "link")),
+        Recogniser("DATE_TIME", "DateRecognizer", (_own("iso_date", ISO_DATE, 0.5, 4),), ("date", "birthday")),
     ]
 
 

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.regexes import compiles
+from .functions.regex_dialect import RULE, has_jvm_form
 
 DEFAULT_WINDOW = 64
 RULE_SCHEMA = (
@@ -82,7 +82,7 @@ class EntityRule:
         )
 
     def usable(self, patterns: tuple[str, ...]) -> list[str]:
-        return [p for p in patterns if compiles(p)]
+        return [p for p in patterns if has_jvm_form(p, RULE)]
 
 
 @dataclass(frozen=True)
