@@ -12,7 +12,9 @@ from veilscan.plans.config import ScanSpec, load_spec, output_location, rules_fo
 from veilscan.plans.scan import scan_all, scan_files, scan_records
 from veilscan.sources import tables as tb
 from veilscan.sources.databases import catalog_tables, database_findings, read_databases
+from veilscan.sources.docx import document_text
 from veilscan.sources.files import FileOutput, Location, read_files
+from veilscan.sources.listing import contents, directories, listed_files, opens
 from veilscan.sources.records import text_records, union_all
 from veilscan.streaming.scan import stream_findings
 
@@ -70,25 +72,59 @@ def test_file_records(spark, tree):
     assert got["profile.txt"]["content_hash"] == hashlib.sha256(PROFILE.encode()).hexdigest()
 
 
-def test_filtered_files_are_never_opened(spark, tree):
-    files = read_files(spark, [Location(input_paths=(f"{tree}/in",), include_extensions=(".log",))]).select("text")
-    assert files.count() >= 1
-    files.collect()
-    opened = []
-
-    def walk(node):
-        if node.nodeName().startswith("Scan binaryFile"):
-            opened.append(node.metrics().apply("numFiles").value())
-        if node.nodeName() == "AdaptiveSparkPlan":
-            walk(node.executedPlan())
-        elif node.nodeName().endswith("QueryStage"):
-            walk(node.plan())
-        children = node.children()
-        for i in range(children.size()):
-            walk(children.apply(i))
-
-    walk(files._jdf.queryExecution().executedPlan())
-    assert opened and max(opened) == 1
+def test_failed_files_are_rows_of_their_own(spark, tmp_path):
+    """A link to nothing, a file whose bytes can't be read and a pipe fail alone; where a filter leaves them out, or they are too large, nothing is opened."""
+    root = str(tmp_path / "in")
+    for k in range(9):
+        put(root, f"{k}.txt", PROFILE)
+    os.symlink(f"{root}/absent", f"{root}/gone.txt")
+    os.symlink("/proc/self/mem", f"{root}/unread.txt")
+    os.mkfifo(f"{root}/pipe.txt")
+    rows = by_name(read_files(spark, [Location(input_paths=(root,))], FileOutput(mask_mode="basename")))
+    assert sum(r["record_type"] == "source" and r["text"] == PROFILE for r in rows.values()) == 9
+    for name, reason in (("gone.txt", "No such file"), ("unread.txt", "Input/output error"), ("pipe.txt", "Not a regular file")):
+        assert rows[name]["record_type"] == "error" and reason in rows[name]["reason"] and rows[name]["text"] is None and rows[name]["content_hash"] is None
+    assert len(rows) == 12
+    few = Location(input_paths=(root,), exclude_file_globs=("gone*", "unread*", "pipe*"))
+    assert {r["record_type"] for r in read_files(spark, [few]).collect()} == {"source"}
+    counts = scan_files(spark, ScanSpec(rules_for("default"), locations=(Location(input_paths=(root,)),))).stats.first()
+    assert counts["files_failed"] == 3 and counts["files_scanned"] == 9
+
+
+def test_pruned_trees_are_never_looked_into(spark, tmp_path):
+    for name in ("a.txt", "node_modules/deep/er/x.txt", "src/node_modules/y.txt", "src/.hidden/z.txt", "src/key=1/_w.txt"):
+        put(str(tmp_path), f"in/{name}", PROFILE)
+    root = str(tmp_path / "in")
+    os.symlink(root, f"{root}/src/loop")
+    seen = directories(spark, root, root, ("node_modules",))
+    assert sorted(d[len(root) :] for d in seen) == ["", "/src", "/src/.hidden", "/src/key=1"]
+    uri = f"file://{root}"
+    for spelling in (root, uri, f"file:{root}"):
+        rows = read_files(spark, [Location(input_paths=(spelling,))], FileOutput(mask_mode="relative", base_dirs=(root,))).collect()
+        assert sorted(r["source_path"] for r in rows) == ["a.txt", "src/.hidden/z.txt", "src/key=1/_w.txt"]
+
+
+def test_a_full_directory_is_dealt_to_many_tasks(spark, tmp_path):
+    for k in range(300):
+        put(str(tmp_path), f"in/{k}.txt", "x")
+    files = listed_files(spark, str(tmp_path / "in"), True, ())
+    read = contents(files, str(tmp_path / "in"), 10, document_text).withColumn("task", F.spark_partition_id())
+    assert read.count() == 300 and read.select("task").distinct().count() > 1
+
+
+def test_stores_that_only_spark_opens(spark, tmp_path):
+    """A mounted view of a local tree stands for such a store: read by Spark's reader, documents included."""
+    put(str(tmp_path), "in/a.txt", PROFILE)
+    put(str(tmp_path), "in/good.docx", docx_bytes("Customer PAN ABCDE1234F"))
+    put(str(tmp_path), "in/broken.docx", b"no archive")
+    put(str(tmp_path), "in/big.csv", "x" * 3_000_000)
+    put(str(tmp_path), "in/node_modules/y.txt", PROFILE)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.probe.link./data", f"file://{tmp_path}")
+    assert not opens("viewfs://probe/data/in") and opens(f"file://{tmp_path}/in") and not opens(f"{tmp_path}/absent")
+    rows = by_name(read_files(spark, [Location(input_paths=("viewfs://probe/data/in",), max_file_size_mb=1)], FileOutput(mask_mode="basename")))
+    assert {k: r["record_type"] for k, r in rows.items()} == {"a.txt": "source", "good.docx": "source", "broken.docx": "error", "big.csv": "skip"}
+    assert rows["good.docx"]["text"] == "Customer PAN ABCDE1234F" and len(rows["good.docx"]["content_hash"]) == 64 and rows["a.txt"]["text"] == PROFILE
 
 
 def test_flat_listing_single_file_and_binary(spark, tree):

@@ -35,6 +35,11 @@ def docx_text(data: bytes) -> str:
     return "\n".join(_paragraph_text(p) for p in root.iterfind(f"{_W}body/{_W}p"))
 
 
+def document_text(path: str, data: bytes) -> str | None:
+    """The text of a document; None for other files."""
+    return docx_text(data) if path.lower().endswith(".docx") else None
+
+
 def extract_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replace the column ``content`` by ``text`` and ``error``."""
     for batch in batches:

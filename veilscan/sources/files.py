@@ -1,18 +1,16 @@
 """The file source: listing, filters, decoding and DOCX text.
 
-Filters test the hidden ``_metadata`` columns, so files that are filtered out are never opened. Spark lists
-no file or directory whose name begins with ``.`` or ``_``; on local paths those are listed beside it and read
-by tasks.
+Files are filtered by name before they are opened. Trees that tasks can open are listed and read by ``listing``;
+others by Spark's own file reader.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import masked, suffix
 from ..functions.regexes import any_case_extension_glob, glob_regex
 from ..schemas import ERROR, SKIP, SOURCE
-from .docx import extract_documents
+from .docx import document_text, extract_documents
+from .listing import contents, listed_files, opens
 from .records import RECORD_COLUMNS, status_row, status_row_if_empty, union_all
 
 PLUGIN = "filesystem"
@@ -95,94 +94,34 @@ def decoded(content: str, newlines: bool = True) -> str:
     return f"regexp_replace({text}, '\\\\r\\\\n?', '\\n')" if newlines else text
 
 
-def hidden(name: str) -> bool:
-    """Spark's listing leaves out files and directories of such names."""
-    left_out = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
-    return left_out and not name.startswith(("_metadata", "_common_metadata"))
-
-
-def hidden_files(root: str, location: Location) -> list[tuple[str, int]]:
-    """(path, size) of the files at a local path that Spark doesn't list, pruned directories never entered."""
-    if os.path.isfile(root):
-        return [(root, os.path.getsize(root))] if hidden(os.path.basename(root)) else []
-    found = []
-    for folder, below, names in os.walk(root):
-        below[:] = [d for d in below if d not in location.exclude_dirs] if location.recursive else []
-        inside = folder != root and any(hidden(part) for part in os.path.relpath(folder, root).split(os.sep))
-        paths = [os.path.join(folder, name) for name in names if inside or hidden(name)]
-        found += [(path, os.path.getsize(path)) for path in paths if os.path.isfile(path)]
-    return found
-
-
-def _looks_partitioned(root: str) -> bool:
-    """Spark would take directories named key=value for partitions, list them in a flat listing and leave out the files beside them."""
-    return not os.path.isdir(root) or any("=" in entry.name and entry.is_dir() for entry in os.scandir(root))
-
-
-def _read_up_to(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Reads the files of (path, size) rows one by one; those over the limit stay closed."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, size in zip(frame["path"], frame["size"], strict=True):
-                content = None
-                if size <= limit:
-                    with open(path, "rb") as handle:
-                        content = handle.read()
-                yield pd.DataFrame({"path": [path], "size": [size], "content": [content]})
-
-    return run
-
-
 def _listed(spark: SparkSession, location: Location, index: int, output: FileOutput) -> list[DataFrame]:
     """Candidate files per input path, not yet opened: path, size, extension and the size verdict."""
     frames = []
     for position, raw in enumerate(location.input_paths):
         root = re.sub("^file:/+", "/", raw)
         root = os.path.abspath(os.path.expanduser(root)) if "://" not in root else root
-        # What this machine doesn't see may lie on the default file system, so Spark is asked.
-        is_dir = not os.path.isfile(root)
-
-        def wanted(files: DataFrame, path: str, root: str = root, is_dir: bool = is_dir) -> DataFrame:
+        def wanted(files: DataFrame, path: str, root: str = root) -> DataFrame:
             files = files.filter(extension_allowed(path, location.include_extensions))
             files = files.filter(~glob_excluded(path, location.exclude_file_globs))
-            if is_dir and location.recursive:
-                files = files.filter(~dir_pruned(path, root, location.exclude_dirs))
-            elif is_dir:
-                top = F.lit(root.rstrip("/"))
-                files = files.filter(F.expr(path).endswith(top) | F.expr(f"regexp_replace({path}, '/[^/]*$', '')").endswith(top))
             if output.report_path:
                 own = os.path.abspath(output.report_path)
                 files = files.filter((F.expr(path) != own) & ~F.expr(path).startswith(own.rstrip("/") + "/"))
             return files
 
-        parts = []
-        if unseen := hidden_files(root, location):
-            listed = wanted(spark.createDataFrame(unseen, "path string, size long"), "path")
-            limit = int(location.max_file_size_mb * 1024 * 1024)
-            parts.append(listed.mapInPandas(_read_up_to(limit), "path string, size long, content binary"))
-        reader = spark.read.format("binaryFile")
-        if is_dir and (location.recursive or _looks_partitioned(root)):
-            reader = reader.option("recursiveFileLookup", "true")
-        if is_dir and location.include_extensions:
-            reader = reader.option("pathGlobFilter", any_case_extension_glob(list(location.include_extensions)))
-        path = "regexp_replace(url_decode(replace(_metadata.file_path, '+', '%2B')), '^file:/+', '/')"
-        if is_dir or not hidden(os.path.basename(root)):
-            try:
-                loaded = wanted(reader.load(root), path)
-                parts.append(loaded.select(F.expr(path).alias("path"), F.col("_metadata.file_size").alias("size"), "content"))
-            except AnalysisException as exc:
-                if exc.getCondition() != "PATH_NOT_FOUND":
-                    raise
-        if not parts:
+        if opens(raw):
+            found = wanted(listed_files(spark, raw, location.recursive, location.exclude_dirs), "path")
+            part = contents(found, raw, int(location.max_file_size_mb * 1024 * 1024), document_text)
+        elif (part := _by_spark(spark, root, location, wanted)) is None:
             continue
         frames.append(
-            union_all(parts).select(
+            part.select(
                 # a digest, so that no report says more of the path than its mask lets it
                 F.concat(F.lit(f"{index}.{position}:"), F.sha2(F.concat(F.lit(f"{output.hash_salt}|"), "path"), 256)).alias("source_id"),
                 "path",
                 "size",
                 "content",
+                "extracted",
+                "error",
                 F.lit(location.name).alias("location"),
                 F.lit(location.provider).alias("provider"),
             )
@@ -190,45 +129,55 @@ def _listed(spark: SparkSession, location: Location, index: int, output: FileOut
     return frames
 
 
-def _file_records(files: DataFrame, location: Location, output: FileOutput) -> DataFrame:
-    """Skip rows for files over the size limit, source rows with text for the others, error rows for broken ones."""
+def _by_spark(spark: SparkSession, root: str, location: Location, wanted: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
+    """Files of a root that only Spark's own readers open, or None where there is nothing. Names that begin with `.` or `_` aren't listed here, pruned directories are listed and then left out, and a file that fails fails its job."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if location.include_extensions:
+        reader = reader.option("pathGlobFilter", any_case_extension_glob(list(location.include_extensions)))
+    path = "regexp_replace(url_decode(replace(_metadata.file_path, '+', '%2B')), '^file:/+', '/')"
+    try:
+        loaded = wanted(reader.load(root), path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if location.recursive:
+        loaded = loaded.filter(~dir_pruned(path, root, location.exclude_dirs))
+    else:
+        top = F.lit(root.rstrip("/"))
+        loaded = loaded.filter(F.expr(path).endswith(top) | F.expr(f"regexp_replace({path}, '/[^/]*$', '')").endswith(top))
+    size, nothing = F.col("_metadata.file_size"), F.lit(None).cast("string")
     limit = int(location.max_file_size_mb * 1024 * 1024)
-    extension = F.expr(f"lower({suffix('path')})")
-    small = files.filter(F.col("size") <= limit)
+    document = F.expr(f"lower({suffix(path)})") == DOCX
+    large = loaded.filter(size > limit).select(F.expr(path).alias("path"), size.alias("size"), F.lit(None).cast("binary").alias("content"), nothing.alias("extracted"), nothing.alias("error"))
+    plain = loaded.filter((size <= limit) & ~document).select(F.expr(path).alias("path"), size.alias("size"), "content", nothing.alias("extracted"), nothing.alias("error"))
+    documents = loaded.filter((size <= limit) & document).select(F.expr(path).alias("path"), size.alias("size"), "content", F.col("content").alias("_content"))
+    read = documents.withColumnsRenamed({"content": "_kept", "_content": "content"}).mapInPandas(extract_documents, "path string, size long, _kept binary, text string, error string")
+    return union_all([plain, large, read.selectExpr("path", "size", "_kept AS content", "text AS extracted", "error")])
+
 
+def _file_records(files: DataFrame, location: Location, output: FileOutput) -> DataFrame:
+    """Skip rows for files over the size limit, source rows with text for the others, error rows for broken ones; one pass, each file opened once."""
+    limit = int(location.max_file_size_mb * 1024 * 1024)
+    kind = f"lower({suffix('path')})"
     other = f"CASE WHEN true THEN {decoded('content', newlines=False)} END" if location.read_binary_files_as_text else "''"
     texts = ", ".join(f"'{e}'" for e in TEXT_EXTENSIONS)
-    kind = f"lower({suffix('path')})"
     never = ", ".join(f"'{e}'" for e in UNEXTRACTED)
+    text = f"CASE WHEN {kind} = '{DOCX}' THEN extracted WHEN {kind} IN ({texts}) THEN {decoded('content')} WHEN {kind} IN ({never}) THEN '' ELSE {other} END"
+    failed, large = F.col("error").isNotNull(), F.col("size") > limit
     # No PDF text can be had here, so such files are shown as skipped, not as scanned without findings.
-    pdf = extension == PDF
-    plain = small.filter(extension != DOCX).select(
+    pdf = F.expr(kind) == PDF
+    records = files.select(
         *_provenance(output),
-        F.when(pdf, SKIP).otherwise(SOURCE).alias("record_type"),
-        F.expr(f"CASE WHEN {kind} IN ({texts}) THEN {decoded('content')} WHEN {kind} IN ({never}) THEN '' ELSE {other} END").alias("text"),
+        F.when(failed, ERROR).when(large | pdf, SKIP).otherwise(SOURCE).alias("record_type"),
+        F.when(~failed & ~large, F.expr(text)).alias("text"),
         _hash(output).alias("content_hash"),
-        F.when(pdf, "PDF text extraction is not available").alias("reason"),
-    )
-    documents = small.filter(extension == DOCX).select(
-        *_provenance(output), _hash(output).alias("content_hash"), "content"
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "content")
-    extracted = documents.mapInPandas(extract_documents, f"{schema}, text string, error string").select(
-        "source_id", "plugin_name", "source_type", "source_path", "metadata",
-        F.when(F.col("error").isNull(), SOURCE).otherwise(ERROR).alias("record_type"),
-        "text", "content_hash", F.col("error").alias("reason"),
-    )
-    too_large = files.filter(F.col("size") > limit).select(
-        *_provenance(output),
-        F.lit(SKIP).alias("record_type"),
-        F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("string").alias("content_hash"),
-        F.lit(f"File larger than max_file_size_mb ({location.max_file_size_mb})").alias("reason"),
+        F.when(failed, F.col("error"))
+        .when(large, F.lit(f"File larger than max_file_size_mb ({location.max_file_size_mb})"))
+        .when(pdf, F.lit("PDF text extraction is not available"))
+        .alias("reason"),
     )
-    parts = [plain, too_large]
-    if not location.include_extensions or DOCX in {e.lower() for e in location.include_extensions}:
-        parts.append(extracted)
-    return union_all(p.select(*RECORD_COLUMNS) for p in parts)
+    return records.select(*RECORD_COLUMNS)
 
 
 def _hash(output: FileOutput) -> Column:
