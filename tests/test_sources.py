@@ -182,6 +182,27 @@ def test_scan_and_save(spark, tree, tmp_path):
     assert spark.read.json(str(tmp_path / "report/run")).first()["environment"] == "default"
 
 
+def test_sources_are_read_once_per_save(spark, tree, tmp_path):
+    """A counter in the records' own plan: one row each, however many datasets are written; results equal the lazy ones."""
+    spec = ScanSpec(rules_for("default"), locations=(Location(input_paths=(f"{tree}/in",), max_file_size_mb=1),), segment_chars=200)
+    records, seen = read_files(spark, list(spec.locations)), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    result = scan_records(records.mapInPandas(counted, records.schema), spec)
+    saved = result.save(str(tmp_path / "once"), fmt="parquet")
+    assert seen.value == records.count() and not [n for n in os.listdir(tmp_path / "once") if n.startswith("_scan")]
+    plain = lambda frame: sorted(map(repr, frame.collect()))
+    lazy = scan_records(records, spec)
+    assert plain(saved.findings.select(lazy.findings.columns)) == plain(lazy.findings)
+    written = spark.read.parquet(str(tmp_path / "once/sources"))
+    assert plain(written.select(lazy.sources.columns)) == plain(lazy.sources)
+    assert plain(spark.read.parquet(str(tmp_path / "once/stats"))) == plain(lazy.stats)
+
+
 def test_config(tmp_path):
     rules = {"my_overrides": {"score_threshold": 0.9, "entities": ["EMAIL_ADDRESS"]}, "entities": {"EMAIL_ADDRESS": {"score_threshold": 0.95}}}
     (tmp_path / "base.json").write_text(json.dumps(rules))

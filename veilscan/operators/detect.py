@@ -158,10 +158,12 @@ def detect(
     rules: RuleSet,
     options: DetectOptions = DetectOptions(),
     models: tuple[ModelRecogniser, ...] = (),
+    markers: bool = False,
 ) -> DataFrame:
     """One row per surviving span; ``start`` and ``end`` refer to the whole text.
 
-    ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along.
+    ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along. With ``markers`` a segment without
+    a core gives one row without an entity.
     """
     others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
     patterns = [(p, r) for r in recognisers for p in r.patterns]
@@ -181,10 +183,11 @@ def detect(
     )
     if gates and not models and all(p.needs is not None for p, _ in live):
         open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
-        gated = gated.filter(open_gates)
+        gated = gated.filter(f"{open_gates} OR lo < 0" if markers else open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.
     hits = same_span_winners(found) if options.resolve else found
-    spans = gated.select(*others, "base", F.expr(f"inline_outer({hits})")).filter(F.col("entity").isNotNull())
+    kept = F.col("entity").isNotNull() | (F.col("lo") < 0) if markers else F.col("entity").isNotNull()
+    spans = gated.select(*others, "base", *(["lo"] if markers else []), F.expr(f"inline_outer({hits})")).filter(kept)
     return spans.select(
         *others,
         F.col("entity").alias("entity_type"),

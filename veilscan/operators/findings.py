@@ -22,8 +22,8 @@ def category_of(entity: str | Column) -> Column:
     return F.when(column.isin(*SENSITIVE_ENTITIES), "SENSITIVE_PERSONAL").otherwise("PERSONAL")
 
 
-def to_findings(spans: DataFrame) -> DataFrame:
-    """``spans`` are rows of :func:`detect` over records; the record columns become the provenance."""
+def to_findings(spans: DataFrame, *more: str) -> DataFrame:
+    """``spans`` are rows of :func:`detect` over records; the record columns become the provenance. ``more`` columns stay."""
     return spans.select(
         "source_id",
         "entity_type",
@@ -39,6 +39,7 @@ def to_findings(spans: DataFrame) -> DataFrame:
         F.col("metadata").alias("source_metadata"),
         F.col("recogniser").alias("recognizer_name"),
         "snippet",
+        *more,
     )
 
 

@@ -33,6 +33,18 @@ def segments_of(text: str, size: int, margin: int) -> str:
     return f"CASE WHEN length({text}) <= {size} THEN {whole} ELSE {let(blocks, 'blocks', cut)} END"
 
 
+# A segment without a core: nothing is found in it, so it stands for its record alone.
+MARKER = "struct(0 AS base, -1 AS lo, -1 AS hi, '' AS body)"
+
+
+def explode_marked_segments(records: DataFrame, text: str, size: int, margin: int, scanned: str = "true") -> DataFrame:
+    """The segments of the records for which ``scanned`` holds and the text isn't blank, and one marker of every record."""
+    others = [c for c in records.columns if c != text]
+    cut = segments_of(f"`{text}`", size, margin)
+    wanted = f"coalesce(({scanned}) AND `{text}` RLIKE '(?U)\\\\S', false)"
+    return records.select(*others, F.expr(f"inline(array_append(CASE WHEN {wanted} THEN {cut} ELSE cast(array() AS array<struct<base:int,lo:int,hi:int,body:string>>) END, {MARKER}))"))
+
+
 def explode_segments(records: DataFrame, text: str, size: int, margin: int) -> DataFrame:
     """Replace the text column by one row per segment with columns ``base, lo, hi, body``.
 

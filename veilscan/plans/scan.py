@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from ..operators.detect import detect
 from ..operators.findings import in_report_order, to_findings
 from ..operators.recognisers import select_recognisers
 from ..operators.report import global_stats, plugin_summary, source_rows, sources_report
-from ..operators.segments import explode_segments
-from ..schemas import ERROR, SOURCE
+from ..operators.segments import explode_marked_segments, explode_segments
+from ..schemas import ERROR, FINDING_COLUMNS, SOURCE
 from ..sources.databases import DatabaseLister, TableReader, catalog_tables, database_findings, read_databases
 from ..sources.files import read_files
 from ..sources.records import status_row, union_all
@@ -37,13 +38,26 @@ def find_in_records(records: DataFrame, spec: ScanSpec) -> DataFrame:
     return findings if spec.keep_source_metadata else findings.drop("source_metadata")
 
 
+def find_with_status(records: DataFrame, spec: ScanSpec) -> DataFrame:
+    """The findings of the records and a row per record, from one pass: finding rows have an entity type, record rows don't; all carry record_type and reason."""
+    size = max(spec.segment_chars, spec.margin_chars) if spec.segment_chars > 0 else 0
+    segments = explode_marked_segments(records, "text", size, spec.margin_chars, f"record_type = '{SOURCE}'")
+    recognisers = select_recognisers(spec.rules, spec.extra_recognisers)
+    spans = detect(segments, recognisers, spec.rules, spec.detect, spec.models, markers=True)
+    return to_findings(spans, "record_type", "reason")
+
+
+Precomputed = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class ScanResult:
-    """Lazy frames. ``findings`` is read again for the counts, so save it first on big inputs."""
+    """Lazy frames. ``findings`` is read again for the counts, so save it first on big inputs. ``precomputed``: the part of the findings that isn't from texts, or a function of the records that gives it."""
 
     spec: ScanSpec
     records: DataFrame
     findings: DataFrame
+    precomputed: Precomputed | None = None
 
     @property
     def sources(self) -> DataFrame:
@@ -59,21 +73,39 @@ class ScanResult:
     def save(self, path: str, fmt: str = "json", ordered: bool = False) -> ScanResult:
         """Write ``findings``, ``sources``, ``stats``, ``plugins`` and ``run`` as datasets below ``path``.
 
-        Texts are scanned once: the counts come from the findings as written. ``ordered`` sorts the findings in
-        report order, which costs a range shuffle. On a cluster ``path`` must be on shared storage.
+        Sources are read, extracted and scanned once: one write beside the report holds the findings and a slim row per source, and all else
+        is read from it. ``ordered`` sorts the findings in report order, which costs a range shuffle. On a cluster ``path`` must be on shared storage.
         """
         spark = self.records.sparkSession
         started = _utc_now(spark)
-        findings = in_report_order(self.findings) if ordered else self.findings
+        once = f"{path.rstrip('/')}/_scan-{uuid.uuid4().hex}"
+        staged = find_with_status(self.records, self.spec).withColumn("_of_record", F.col("entity_type").isNull())
+        staged.write.partitionBy("_of_record").parquet(once)
+        both = spark.read.schema(staged.schema).parquet(once)
+        records = both.filter("_of_record").select(
+            "source_id", "record_type", F.col("source_plugin").alias("plugin_name"), "source_type", F.col("file_path").alias("source_path"), F.col("source_metadata").alias("metadata"), "reason"
+        )
+        found = both.filter("NOT _of_record").select(*FINDING_COLUMNS)
+        if self.precomputed is not None:
+            found = union_all([found, self.precomputed(records) if callable(self.precomputed) else self.precomputed])
+        found = found.select(*self.findings.columns)
+        findings = in_report_order(found) if ordered else found
         findings.write.mode("overwrite").format(fmt).save(f"{path}/findings")
         written = spark.read.schema(self.findings.schema).format(fmt).load(f"{path}/findings")
-        saved = ScanResult(self.spec, self.records, written)
+        saved = ScanResult(self.spec, records, written)
         saved.sources.write.mode("overwrite").format(fmt).save(f"{path}/sources")
         report = spark.read.schema(saved.sources.schema).format(fmt).load(f"{path}/sources")
         global_stats(report, written).write.mode("overwrite").format(fmt).save(f"{path}/stats")
         plugin_summary(spark, report, written, list(self.spec.plugins)).write.mode("overwrite").format(fmt).save(f"{path}/plugins")
         run_frame(spark, self.spec, started).write.mode("overwrite").format(fmt).save(f"{path}/run")
-        return saved
+        _remove(spark, once)
+        return ScanResult(self.spec, self.records, written)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a dataset that this scan wrote for itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def _utc_now(spark: SparkSession) -> str:
@@ -115,12 +147,12 @@ def connection_summary(spec: ScanSpec) -> list[dict[str, object]]:
     ]
 
 
-def scan_records(records: DataFrame, spec: ScanSpec, precomputed: DataFrame | None = None) -> ScanResult:
-    """Scan any record frame. ``precomputed`` findings, of flagged columns, join those from the texts."""
+def scan_records(records: DataFrame, spec: ScanSpec, precomputed: Precomputed | None = None) -> ScanResult:
+    """Scan any record frame. ``precomputed`` findings, of flagged columns, join those from the texts; a function gives them from the records."""
     findings = find_in_records(records, spec)
     if precomputed is not None:
-        findings = union_all([findings, precomputed])
-    return ScanResult(spec, records, findings)
+        findings = union_all([findings, precomputed(records) if callable(precomputed) else precomputed])
+    return ScanResult(spec, records, findings, precomputed)
 
 
 def scan_files(spark: SparkSession, spec: ScanSpec) -> ScanResult:
@@ -130,7 +162,7 @@ def scan_files(spark: SparkSession, spec: ScanSpec) -> ScanResult:
 def scan_all(spark: SparkSession, spec: ScanSpec, read_tables: TableReader | None = None, list_databases: DatabaseLister | None = None) -> ScanResult:
     """All enabled sources of the config. A source that fails as a whole becomes one error row."""
     parts: list[DataFrame] = []
-    precomputed = None
+    precomputed: Precomputed | None = None
     for plugin in spec.plugins:
         try:
             if plugin == "filesystem":
@@ -138,7 +170,7 @@ def scan_all(spark: SparkSession, spec: ScanSpec, read_tables: TableReader | Non
             else:
                 reader = read_tables or catalog_tables(spark)
                 records = read_databases(spark, spec.database, select_recognisers(spec.rules), reader, list_databases)
-                precomputed = database_findings(records)
+                precomputed = database_findings
                 parts.append(records)
         except Exception as exc:  # noqa: BLE001 - one broken source must not stop the others
             kind = "database" if plugin == "database" else "filesystem"

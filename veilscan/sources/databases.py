@@ -208,6 +208,6 @@ def _connection_parts(
 
 def database_findings(records: DataFrame) -> DataFrame:
     """Findings of the flagged columns among database records."""
-    if "metadata" not in records.columns:
+    if "metadata" not in records.columns or "pii_types" not in records.schema["metadata"].dataType.names:
         records = records.withColumn("metadata", F.lit(None).cast("struct<schema:string,table:string,column:string,pii_types:array<string>>"))
     return column_findings(records.filter(F.col("record_type") == "source"))
