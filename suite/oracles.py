@@ -79,15 +79,37 @@ def luhn(digits: str = DIGITS) -> str:
     )
 
 
+# Product table of the dihedral group of order ten, and the permutations of the digits by place.
+VERHOEFF_PRODUCT = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 2, 3, 4, 0, 6, 7, 8, 9, 5],
+    [2, 3, 4, 0, 1, 7, 8, 9, 5, 6],
+    [3, 4, 0, 1, 2, 8, 9, 5, 6, 7],
+    [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
+    [5, 9, 8, 7, 6, 0, 4, 3, 2, 1],
+    [6, 5, 9, 8, 7, 1, 0, 4, 3, 2],
+    [7, 6, 5, 9, 8, 2, 1, 0, 4, 3],
+    [8, 7, 6, 5, 9, 3, 2, 1, 0, 4],
+    [9, 8, 7, 6, 5, 4, 3, 2, 1, 0],
+]
+VERHOEFF_PERMUTATION = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 5, 7, 6, 2, 8, 3, 0, 9, 4],
+    [5, 8, 0, 3, 7, 9, 6, 1, 4, 2],
+    [8, 9, 1, 6, 0, 4, 3, 5, 2, 7],
+    [9, 4, 5, 3, 1, 2, 6, 8, 7, 0],
+    [4, 2, 8, 6, 5, 7, 3, 9, 0, 1],
+    [2, 7, 9, 3, 8, 0, 6, 4, 1, 5],
+    [7, 0, 4, 6, 9, 1, 3, 2, 5, 8],
+]
+
+
 def verhoeff(digits: str = DIGITS) -> str:
     """The textbook tables of the scheme, applied to the reversed digits."""
-    # Product table of the dihedral group and the digit permutations.
-    d = "0123456789123406789523401789563401289567401239567859876043216598710432765982104387659321049876543210"
-    p = "01234567891576283094580379614289160435279453126870428657390127938064157046913258"
+    product, permutation = VERHOEFF_PRODUCT, VERHOEFF_PERMUTATION
     digit = f"CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER)"
-    step = f"CAST(substr('{p}', (i % 8) * 10 + {digit} + 1, 1) AS INTEGER)"
-    permuted = f"list_transform(range(0, length({digits})), lambda i: {step})"
-    return f"list_reduce(list_concat([0], {permuted}), lambda a, b: CAST(substr('{d}', a * 10 + b + 1, 1) AS INTEGER)) = 0"
+    permuted = f"list_transform(range(0, length({digits})), lambda i: {permutation}[i % 8 + 1][{digit} + 1])"
+    return f"list_reduce(list_concat([0], {permuted}), lambda a, b: {product}[a + 1][b + 1]) = 0"
 
 
 def iban(value: str = "value") -> str:
@@ -585,3 +607,22 @@ ORACLES["column_samples"] = union(
 )
 ORACLES["connection_summary"] = f"""SELECT source_type, count(*) AS connections, CAST(coalesce(sum(n), 0) AS BIGINT) AS tables
     FROM (SELECT id, {KIND} AS source_type FROM ({CONNECTIONS})) c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c.id = o.o_custkey GROUP BY 1"""
+
+# ---- further settings ----------------------------------------------------------------------------------------
+
+ORACLES["aadhaar_without_checksum"] = scored(AADHAAR, "IN_AADHAAR", 1.0, f"length({DIGITS}) = 12")
+ORACLES["merged_context_words"] = union(
+    scored(spans(CUSTOMERS, PASSPORT_RE), "IN_PASSPORT", 0.9), scored(spans(CUSTOMERS, IFSC_RE), "IN_IFSC", 0.95)
+)
+ORACLES["rule_engine_off"] = union(scored(spans(DOCS, EMAIL_RE), "EMAIL_ADDRESS", 0.9), IP_BOTH(DOCS, "true"))
+ORACLES["optional_columns"] = (
+    'SELECT file_path, entity_type, start, "end", CAST(NULL AS VARCHAR) AS snippet, CAST(NULL AS VARCHAR) AS file_hash, CAST(13 AS INTEGER) AS columns '
+    f"FROM ({FOUND})"
+)
+ORACLES["precomputed_findings"] = union(
+    *(
+        f"""SELECT '{way}' AS way, file_path, entity_type, start, "end", text, score FROM ({part})"""
+        for way in ("frame", "records")
+        for part in (FOUND, ORACLES["column_findings"])
+    )
+)

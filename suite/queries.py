@@ -17,12 +17,13 @@ from veilscan.operators.findings import category_of, in_report_order
 from veilscan.operators.postprocess import dedup_spans, resolve_same_span
 from veilscan.operators.recognisers import Pattern, Recogniser
 from veilscan.operators.report import entity_profile, findings_per_source, plugin_summary, source_rows
-from veilscan.plans.config import ScanSpec, rules_for
+from veilscan.plans.config import ScanSpec, rules_for, spec_from
 from veilscan.plans.scan import find_in_records, scan_records, scan_text
-from veilscan.rules import EntityRule, RuleSet, layered_rule_frame
+from veilscan.rules import EntityRule, RuleSet, layered_rule_frame, resolve_rules
 from veilscan.schemas import SKIP, SOURCE
 from veilscan.sources import files as fs
 from veilscan.sources import tables as tb
+from veilscan.sources.databases import database_findings
 from veilscan.sources.docx import extract_documents
 from veilscan.sources.records import spread, text_records, union_all
 
@@ -188,8 +189,6 @@ def rule_pattern_recogniser(spark, sf_dir):
         ],
         "include_entities": ["DIGEST"],
     }
-    from veilscan.rules import resolve_rules
-
     rules = resolve_rules({"entities": ["DIGEST"], "score_threshold": 0.35}, {}, [layer])
     return scanned(documents(spark, sf_dir), ScanSpec(rules))
 
@@ -197,8 +196,6 @@ def rule_pattern_recogniser(spark, sf_dir):
 @query
 def declared_python_patterns(spark, sf_dir):
     """Patterns of a rule file that Python knows and the JVM doesn't, each for an entity of its own; what has no JVM form or doesn't compile is left out."""
-    from veilscan.rules import resolve_rules
-
     patterns = {
         "BRACE": [r"{|\bwh{,2}en?an\b", "(broken"],
         "CONDITION": [r"(t)?hean(?(1)re|n)", r"(a)(?<=\1)b"],
@@ -243,6 +240,12 @@ def aadhaar_validation_outcome(spark, sf_dir):
     return scanned(order_text(spark, sf_dir), only(INDIA["IN_AADHAAR"], boost=NO_BOOST))
 
 
+@query
+def aadhaar_without_checksum(spark, sf_dir):
+    """With the checksum switched off any twelve digits of the right shape pass."""
+    return scanned(order_text(spark, sf_dir), only(rec.india_recognisers({"aadhaar_checksum_validation": False})[0], boost=NO_BOOST))
+
+
 # ---- segments, context, thresholds and rules ----------------------------------------------------------------
 
 
@@ -268,6 +271,21 @@ def scan_wide_context(spark, sf_dir):
     return scanned(customer_text(spark, sf_dir), only(INDIA["IN_PASSPORT"], INDIA["IN_IFSC"], rules=rules))
 
 
+@query
+def merged_context_words(spark, sf_dir):
+    """Scan-wide words of the config and of a rule layer count together, stripped and each once."""
+    layer = {"analyser_overrides": {"context_words": ["branch ", "passport office"]}}
+    rules = resolve_rules({"score_threshold": 0.0, "context_words": [" passport office", ""]}, {}, [layer])
+    return scanned(customer_text(spark, sf_dir), only(INDIA["IN_PASSPORT"], INDIA["IN_IFSC"], rules=rules))
+
+
+@query
+def rule_engine_off(spark, sf_dir):
+    """A config without rules: base settings alone decide."""
+    config = {"rule_engine": {"enabled": False}, "analyser": {"entities": ["EMAIL_ADDRESS", "IP_ADDRESS"], "context_enhancer": {"enabled": False}}}
+    return scanned(documents(spark, sf_dir), spec_from(config))
+
+
 @query
 def global_threshold(spark, sf_dir):
     rules = RuleSet(score_threshold=0.58)
@@ -501,6 +519,15 @@ def union_sources(spark, sf_dir):
     return find_in_records(records, ScanSpec(PLAIN_RULES)).select("file_path", "entity_type", "start", "end", "text", "score")
 
 
+@query
+def optional_columns(spark, sf_dir):
+    """Findings without source metadata, snippets and hashes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = ScanSpec(PLAIN_RULES, DetectOptions(snippet_chars=None), keep_source_metadata=False)
+    found = find_in_records(text_records(docs, "documents", "doc_id", "text"), spec)
+    return found.select("file_path", "entity_type", "start", "end", "snippet", "file_hash", F.lit(len(found.columns)).alias("columns"))
+
+
 def _gated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as two plugins; texts over 8,000 bytes are skipped with a reason."""
     parts = []
@@ -824,6 +851,17 @@ def column_findings(spark, sf_dir):
     return found.select("file_path", "entity_type", "category", "score", "text", "start", "end", F.col("source_metadata.connection").alias("connection"))
 
 
+@query
+def precomputed_findings(spark, sf_dir):
+    """Findings of flagged columns join those from texts, whether they come as a frame or from the records."""
+    catalog = cols.detection_catalog(cols.normalise_detections(_detector_rows(spark, sf_dir)))
+    columns = cols.column_records(catalog, "crm:main", "postgresql", "db.example.com", "main")
+    as_frame = scan_records(_doc_records(spark, sf_dir), ScanSpec(PLAIN_RULES), cols.column_findings(columns))
+    from_records = scan_records(union_all([_doc_records(spark, sf_dir), columns]), ScanSpec(PLAIN_RULES), database_findings)
+    parts = [r.findings.select(F.lit(way).alias("way"), "file_path", "entity_type", "start", "end", "text", "score") for way, r in (("frame", as_frame), ("records", from_records))]
+    return union_all(parts)
+
+
 @query
 def column_samples(spark, sf_dir):
     options = cols.SampleOptions.from_config({"limit": 7, "max_chars": 1}, {"max_chars": 16})

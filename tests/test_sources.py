@@ -259,6 +259,35 @@ def test_discovery(spark, crm):
     assert ("payments", "handle", "IN_UPI_ID") in found and not any(k[1] in ("notes", "payment_id") for k in found)
 
 
+def test_profile_of_a_wide_table(spark):
+    """Each pattern stands in the plan once however many columns there are; columns of nulls, of blanks and of an empty table have zeros."""
+    wide = spark.range(40).selectExpr(*(f"concat('m{c}.', id, '@x{c}.example') AS c{c}" for c in range(200)), "cast(null AS string) AS none", "'' AS blank", "id", "'a' AS `odd.name`")
+    profile = cols.value_profile(wide, "wide", recognisers())
+    rows = {(r["column"], r["pii_type"]): (r["non_null"], r["hits"]) for r in profile.collect()}
+    kinds = {r.entity for r in recognisers()}
+    assert len(rows) == 203 * len(kinds)
+    assert all(rows[f"c{c}", "EMAIL_ADDRESS"] == (40, 40) for c in range(200))
+    assert all(rows["none", k] == (0, 0) and rows["blank", k] == (40, 0) and rows["odd.name", k] == (40, 0) for k in kinds)
+
+    def patterns(frame):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("RLIKE") + plan.count("regexp_extract_all")
+
+    assert patterns(profile) == patterns(cols.value_profile(wide.select("c0"), "wide", recognisers()))
+    assert {(r["non_null"], r["hits"]) for r in cols.value_profile(wide.limit(0), "wide", recognisers()).collect()} == {(0, 0)}
+    assert cols.value_profile(wide.select("id"), "wide", recognisers()).count() == 0
+
+
+def test_samples_in_byte_order(spark):
+    values = ["b", "é", "\U0001f600", "a", None, "", "a", "\ue000", "Z", *("x" * (k % 50) for k in range(500))]
+    table = spark.createDataFrame([(v, k % 3 == 0 and v or None) for k, v in enumerate(values)], "v string, w string").repartition(4)
+    options = cols.SampleOptions(enabled=True, limit_per_column=1000, max_value_length=200, exclude_null=False, exclude_empty_strings=False)
+    got = cols.column_samples(table, ["v", "w"], options).orderBy("column", "rank").collect()
+    for c, given in (("v", values), ("w", [v for k, v in enumerate(values) if k % 3 == 0 and v] + [None])):
+        want = sorted(set(given), key=lambda v: (v is not None, (v or "").encode()))
+        assert [r["value"] for r in got if r["column"] == c] == [v or "" for v in want]
+
+
 def test_samples(spark, crm):
     table = spark.createDataFrame([(v,) for v in ["b ", "b ", "", None, "a" * 20, "c", "d", " "]], "v string")
     take = lambda **kw: [r["value"] for r in cols.column_samples(table, ["v"], cols.SampleOptions(**kw)).orderBy("rank").collect()]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from ..functions.regexes import PLAIN_FLAGS
 from ..functions.sqltext import any_of, let, text_literal
 from ..functions.urls import column_path
 from ..schemas import COLUMN_METADATA, SOURCE
+from .detect import gate_columns, gate_of
 from .recognisers import Recogniser
 
 PLUGIN = "database"
@@ -53,37 +54,43 @@ def column_names_pii(names: DataFrame, column: str = "column") -> DataFrame:
     return names.withColumn("pii_type", F.explode(F.array_compact(F.array(*tests))))
 
 
-def value_hits(value: str, recognisers: list[Recogniser]) -> str:
-    """SQL test: any recogniser finds a valid span in the value."""
+def value_hits(recognisers: list[Recogniser], gates: dict[str, str]) -> str:
+    """SQL test of a row with a value ``body`` and gate columns: any recogniser finds a valid span in the value."""
     tests = []
     for rec in recognisers:
         for pattern in rec.patterns:
             regex = text_literal(pattern.jvm_regex)
             if rec.validator is None:
-                tests.append(f"{value} RLIKE {regex}")
+                test = f"body RLIKE {regex}"
             else:
                 valid = let(digits_of("v"), "num", rec.validator("v", "num"))
-                tests.append(f"exists(regexp_extract_all({value}, {regex}, 0), v -> {valid})")
+                test = f"exists(regexp_extract_all(body, {regex}, 0), v -> {valid})"
+            gate = gate_of(pattern, gates)
+            tests.append(test if gate is None else f"({gate} AND {test})")
     return any_of(tests)
 
 
 def value_profile(table: DataFrame, name: str, recognisers: list[Recogniser], schema: str = "") -> DataFrame:
-    """Per string column and entity: non-null values and values with a span. One pass, one partial aggregate."""
-    columns = [f.name for f in table.schema if isinstance(f.dataType, StringType)]
+    """Per string column and entity: non-null values and values with a span.
+
+    The columns are turned into rows once, values pass the gates of the scan, and one aggregate by column counts a flag per entity, so the plan holds each pattern once
+    whatever the number of columns. Counts combine on the map side. A column without values has zeros.
+    """
+    spark, columns = table.sparkSession, [f.name for f in table.schema if isinstance(f.dataType, StringType)]
     by_entity: dict[str, list[Recogniser]] = {}
     for rec in recognisers:
         by_entity.setdefault(rec.entity, []).append(rec)
-    aggregates, rows = [], []
-    for c, column in enumerate(columns):
-        quoted = f"`{column}`"
-        aggregates.append(F.expr(f"count({quoted}) AS n{c}"))
-        for e, (entity, recs) in enumerate(by_entity.items()):
-            aggregates.append(F.expr(f"count_if({value_hits(quoted, recs)}) AS h{c}_{e}"))
-            rows.append(f"struct({text_literal(column)} AS column, {text_literal(entity)} AS pii_type, n{c} AS non_null, h{c}_{e} AS hits)")
-    if not rows:
-        return table.sparkSession.createDataFrame([], "schema string, table string, column string, pii_type string, non_null bigint, hits bigint")
-    counted = table.agg(*aggregates)
-    return counted.select(F.lit(schema).alias("schema"), F.lit(name).alias("table"), F.expr(f"inline(array({', '.join(rows)}))"))
+    if not columns or not by_entity:
+        return spark.createDataFrame([], "schema string, table string, column string, pii_type string, non_null bigint, hits bigint")
+    gates = gate_columns([p for rec in recognisers for p in rec.patterns])
+    pairs = F.array(*(F.struct(F.lit(c).alias("_column"), F.col(f"`{c}`").alias("body")) for c in columns))
+    values = table.select(F.inline(pairs)).filter("body IS NOT NULL").select("*", *(F.expr(sql).alias(gate) for gate, sql in gates.items()))
+    flags = [F.expr(f"count_if({value_hits(recs, gates)})").alias(f"_h{e}") for e, recs in enumerate(by_entity.values())]
+    counted = values.groupBy("_column").agg(F.count("*").alias("_n"), *flags)
+    rows = ", ".join(f"struct({text_literal(entity)} AS pii_type, coalesce(_n, 0) AS non_null, coalesce(_h{e}, 0) AS hits)" for e, entity in enumerate(by_entity))
+    every = spark.createDataFrame([(c,) for c in columns], "column string")
+    known = every.join(counted, F.col("column") == F.col("_column"), "left")
+    return known.select(F.lit(schema).alias("schema"), F.lit(name).alias("table"), "column", F.expr(f"inline(array({rows}))"))
 
 
 def discover_columns(
@@ -204,19 +211,19 @@ def column_values(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _first_distinct(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per partition, the first ``limit`` distinct values of each column in value order, null first."""
+    """Per partition, the first ``limit`` distinct values of each column in value order (of UTF-8 bytes), null first. Arrow's kernels look at the values, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[str, list[tuple[bool, str]]] = {}
+        first: dict[str, pa.Array] = {}
         for batch in batches:
-            for column, value in zip(batch.column("column").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                kept, key = first.setdefault(column, []), (value is not None, value or "")
-                place = bisect_left(kept, key)
-                if place < limit and kept[place : place + 1] != [key]:
-                    kept.insert(place, key)
-                    del kept[limit:]
-        rows = [(column, value if known else None) for column, kept in first.items() for known, value in kept]
-        yield pa.RecordBatch.from_pydict({"column": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.string())})
+            names, values = batch.column("column"), batch.column("value")
+            for name in pc.unique(names).to_pylist():
+                own = values.filter(pc.equal(names, name))
+                distinct = pc.unique(pa.concat_arrays([own, first[name]]) if name in first else own)
+                first[name] = distinct.take(pc.array_sort_indices(distinct, null_placement="at_start")[:limit])
+        rows = pa.concat_arrays(list(first.values())) if first else pa.array([], pa.string())
+        names = [name for name, kept in first.items() for _ in range(len(kept))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), rows], names=["column", "value"])
 
     return run
 

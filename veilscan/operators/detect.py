@@ -126,7 +126,7 @@ def same_span_winners(hits: str) -> str:
     return let(hits, "raw", f"CASE WHEN size(raw) < 2 THEN raw ELSE {let('sort_array(raw)', 'o', first)} END")
 
 
-def _gate_columns(patterns: list[Pattern]) -> dict[str, str]:
+def gate_columns(patterns: list[Pattern]) -> dict[str, str]:
     """Cheap per-segment facts that let most segments skip most patterns, computed once each."""
     words = {p.needs for p in patterns if isinstance(p.needs, str)}
     gates = {}
@@ -142,14 +142,18 @@ def _gate_columns(patterns: list[Pattern]) -> dict[str, str]:
     return gates
 
 
-def _gated(hits: str, pattern: Pattern, gates: dict[str, str]) -> str:
+def gate_of(pattern: Pattern, gates: dict[str, str]) -> str | None:
+    """The test, over gate columns, that a segment with a match passes; None for a pattern that needs nothing."""
     if pattern.needs is None:
-        return hits
+        return None
     if isinstance(pattern.needs, int):
-        test = f"_run >= {pattern.needs}"
-    else:
-        test = next(name for name, sql in gates.items() if sql.endswith(f", {text_literal(pattern.needs)})"))
-    return f"CASE WHEN {test} THEN {hits} ELSE cast(array() AS {HIT_TYPE}) END"
+        return f"_run >= {pattern.needs}"
+    return next(name for name, sql in gates.items() if sql.endswith(f", {text_literal(pattern.needs)})"))
+
+
+def _gated(hits: str, pattern: Pattern, gates: dict[str, str]) -> str:
+    test = gate_of(pattern, gates)
+    return hits if test is None else f"CASE WHEN {test} THEN {hits} ELSE cast(array() AS {HIT_TYPE}) END"
 
 
 def detect(
@@ -169,7 +173,7 @@ def detect(
     patterns = [(p, r) for r in recognisers for p in r.patterns]
     hits_of = [(p, pattern_hits(p, r, i, rules, options)) for i, (p, r) in enumerate(patterns)]
     live = [(p, hits) for p, hits in hits_of if hits is not None]
-    gates = _gate_columns([p for p, _ in live])
+    gates = gate_columns([p for p, _ in live])
     parts = [f"cast(array() AS {HIT_TYPE})", *(_gated(hits, p, gates) for p, hits in live)]
     for m, model in enumerate(models):
         by_entity = (model_hits(f"_model{m}", e, model, len(patterns) + m, rules, options) for e in model.entities if rules.wants(e))

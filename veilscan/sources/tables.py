@@ -106,13 +106,15 @@ def filter_tables(catalog: DataFrame, wanted: TableFilter) -> DataFrame:
 
 
 def filter_tables_by_frame(catalog: DataFrame, include: DataFrame, exclude: DataFrame) -> DataFrame:
-    """The same test with the lists as frames of one column ``name``, for lists of any length."""
+    """The same test with the lists as frames of one column ``name``, for lists of any length: names are tagged once and joined by table and by schema and table."""
     short = F.lower(F.trim("table"))
     owner = F.lower(F.trim(F.coalesce("schema", F.lit(""))))
     keyed = catalog.withColumn("_t", short).withColumn("_st", F.concat_ws(".", F.nullif(owner, F.lit("")), short))
-    names = [f.select(F.lower(F.trim("name")).alias("_name")) for f in (include, exclude)]
-    by_table = keyed.join(names[0], keyed["_t"] == names[0]["_name"], "left_semi")
-    missed = keyed.join(names[0], keyed["_t"] == names[0]["_name"], "left_anti")
-    kept = by_table.unionByName(missed.join(names[0], missed["_st"] == names[0]["_name"], "left_semi"))
-    kept = kept.join(names[1], kept["_t"] == names[1]["_name"], "left_anti")
-    return kept.join(names[1], kept["_st"] == names[1]["_name"], "left_anti").drop("_t", "_st")
+    listed = include.select(F.lower(F.trim("name")).alias("_name"), F.lit(True).alias("_in"), F.lit(False).alias("_out"))
+    tagged = listed.unionByName(exclude.select(F.lower(F.trim("name")).alias("_name"), F.lit(False).alias("_in"), F.lit(True).alias("_out")))
+    tagged = tagged.groupBy("_name").agg(F.bool_or("_in").alias("_in"), F.bool_or("_out").alias("_out"))
+    by_table = tagged.withColumnsRenamed({"_name": "_t", "_in": "_in_t", "_out": "_out_t"})
+    by_both = tagged.withColumnsRenamed({"_name": "_st", "_in": "_in_st", "_out": "_out_st"})
+    known = keyed.join(by_table, "_t", "left").join(by_both, "_st", "left")
+    wanted = known.filter("coalesce(_in_t, false) OR coalesce(_in_st, false)").filter("NOT (coalesce(_out_t, false) OR coalesce(_out_st, false))")
+    return wanted.select(*catalog.columns)
