@@ -132,6 +132,16 @@ def test_damaged_tables_repaired(spark):
     assert {r["conv_id"] for r in rows} == every and len(rows) == len(every)
 
 
+@pytest.mark.parametrize("folder", [SF, SF.replace("0.001", "0.01")])
+def test_repairs_by_sql(spark, folder):
+    """Whole tables; adjacent equal rows among them, of which the later one is the duplicate."""
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    cursor = duck.execute(ORACLES["op11_conversation_repair"])
+    names = [d[0] for d in cursor.description]
+    assert sorted(map(tuple, QUERIES["op11_conversation_repair"](spark, folder).select(*names).collect())) == sorted(cursor.fetchall())
+
+
 def test_damage(spark):
     rows = [(c, t, None if t == 3 else "assistant", None if t == 4 else f"Text {t}. Ok! {c}") for c in [None, 0, 1, 2] for t in [None, *range(40)]]
     got = Counter(tuple(r) for r in damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())

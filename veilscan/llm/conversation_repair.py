@@ -217,10 +217,10 @@ def _conversations(batches: Iterator[pa.RecordBatch], stats: list[str]) -> Itera
 def _turns(conversations: DataFrame) -> DataFrame:
     """Rows with their place in the conversation and their symbol, written to the shared folder."""
     blank, ended = "text NOT RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'", "text RLIKE '[.!?][\\\\x20\\\\x09-\\\\x0D]*\\\\z'"
-    first = Window.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("_turn"))
+    first = Window.partitionBy("conv_id", "role", "text").orderBy("_place")  # by place, so that of equal rows of one turn the later ones are the duplicates
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("_turn"), "role", "text")
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("_turn"), *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")))
-    rows = rows.repartition("conv_id").withColumn("_seen", F.row_number().over(first)).withColumn("_place", F.row_number().over(order).cast("long"))
+    rows = rows.repartition("conv_id").withColumn("_place", F.row_number().over(order).cast("long")).withColumn("_seen", F.row_number().over(first))
     fault = F.expr(f"CASE WHEN {blank} THEN {BLANK} WHEN _seen > 1 THEN {DUPLICATE} WHEN {ended} THEN {SOUND} ELSE {TRUNCATED} END")
     role = F.expr(f"CASE left(role, 1) WHEN 's' THEN {SYSTEM} WHEN 'u' THEN {USER} WHEN 'a' THEN {ASSISTANT} ELSE 0 END")
     return settled(rows.select("conv_id", "_turn", "_place", "role", "text", (role * 4 + fault).cast("int").alias("_symbol")), "turns")
