@@ -26,7 +26,7 @@ from veilscan.llm.oracles import ORACLES
 from veilscan.llm.quality import quality_scores
 from veilscan.llm.queries import QUERIES
 from veilscan.llm.sharding import byte_shards, sharded
-from veilscan.llm.suffix_dedup import MatchSettings, SuffixFamily, without_repeats
+from veilscan.llm.suffix_dedup import Found, MatchSettings, SuffixFamily, _settle, without_repeats
 from veilscan.llm.token_counts import REDACTED, PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
 from veilscan.llm.toxicity import toxicity
 
@@ -356,6 +356,26 @@ def test_suffix_dedup_in_small_batches(docs):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == repeats(rows)
 
 
+@pytest.mark.parametrize("most", [20, 400])
+def test_suffix_dedup_of_buckets_dealt_anew(docs, most):
+    draw = random.Random(12)
+    common = " ".join(f"{draw.getrandbits(40):x}" for _ in range(4))
+    rows = {i: f"{draw.getrandbits(60):x} {common} {draw.getrandbits(30) % 3:x} tail {draw.getrandbits(90):x}" for i in range(150)}
+    rows |= {150: None, 151: "", 152: common, 153: common * 40, 154: rows[3]}
+    table = docs.sparkSession.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = without_repeats(table, MatchSettings(batch=64, most=most, share=1000)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == repeats(rows)
+
+
+def test_runs_of_one_hash_are_told_apart_by_bytes(monkeypatch):
+    texts = [b"a" * 50, b"b" * 50, b"a" * 50, b"a" * 51, b"a" * 50]
+    size = np.array([len(t) for t in texts])
+    found = Found(np.array([4, 5, 6, 7, 4]), np.zeros(5, dtype=np.int64), np.zeros(5, dtype=np.int64), size, np.frombuffer(b"".join(texts), dtype=np.uint8))
+    monkeypatch.setattr(Found, "content", lambda self: np.zeros(len(self.doc), dtype=np.uint64))
+    stay, done = _settle(found)
+    assert sorted(stay.tolist()) == [0, 1, 3, 4] and done.tolist() == [2]
+
+
 def test_patience():
     assert patience([9, 1, 2, 7, 3, 4, 9], [1, 2, 3, 4]) == [(1, 0), (2, 1), (4, 2), (5, 3)]
     assert patience([], [1]) == [] == patience([5, 5], [1, 2])
