@@ -26,7 +26,7 @@ from veilscan.llm.oracles import ORACLES
 from veilscan.llm.quality import quality_scores
 from veilscan.llm.queries import QUERIES
 from veilscan.llm.sharding import byte_shards, sharded
-from veilscan.llm.suffix_dedup import Found, MatchSettings, SuffixFamily, _settle, without_repeats
+from veilscan.llm.suffix_dedup import Found, MatchSettings, SuffixFamily, _same, _settle, without_repeats
 from veilscan.llm.token_counts import REDACTED, PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
 from veilscan.llm.toxicity import toxicity
 
@@ -376,6 +376,18 @@ def test_runs_of_one_hash_are_told_apart_by_bytes(monkeypatch):
     assert sorted(stay.tolist()) == [0, 1, 3, 4] and done.tolist() == [2]
 
 
+def test_runs_compared_by_eights():
+    draw = random.Random(3)
+    texts = []
+    for n in (50, 51, 57, 58, 76, 1024, 1025, 5000):
+        base = bytes(draw.randrange(256) for _ in range(n))
+        texts += [base, base, base[:-1] + bytes([base[-1] ^ 1]), bytes([base[0] ^ 1]) + base[1:], base[: n // 2] + bytes([base[n // 2] ^ 1]) + base[n // 2 + 1 :]]
+    size, none = np.array([len(t) for t in texts]), np.zeros(len(texts), dtype=np.int64)
+    found = Found(none, none, none, size, np.frombuffer(b"".join(texts), dtype=np.uint8))
+    rows, others = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    assert _same(found, rows, others).tolist() == [texts[a] == texts[b] for a, b in zip(rows, others, strict=True)]
+
+
 def test_patience():
     assert patience([9, 1, 2, 7, 3, 4, 9], [1, 2, 3, 4]) == [(1, 0), (2, 1), (4, 2), (5, 3)]
     assert patience([], [1]) == [] == patience([5, 5], [1, 2])
