@@ -78,9 +78,9 @@ def text_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
         features.append((mix64((np.floor(level).astype(np.uint64) + np.uint64(k << 20)) + np.uint64(1 << 41)) >> np.uint64(64 - bits)).astype(np.int64))
         values.append(np.ones(n))
         texts.append(np.arange(n))
-    order = np.argsort(np.concatenate(texts), kind="stable")
-    own = np.concatenate(texts)[order]
-    return np.concatenate(features)[order], np.concatenate(values)[order], np.searchsorted(own, np.arange(n + 1))
+    # Unlike grams may share a feature; a text has each feature once, with the sum of its values.
+    keys, place = np.unique((np.concatenate(texts) << bits) | np.concatenate(features), return_inverse=True)
+    return keys & ((1 << bits) - 1), np.bincount(place, weights=np.concatenate(values), minlength=len(keys)), np.searchsorted(keys >> bits, np.arange(n + 1))
 
 
 def _examples(settings: QualitySettings):
