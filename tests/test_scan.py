@@ -111,6 +111,45 @@ def test_texts_below_the_chunk_size_are_whole(spark):
     key = lambda r: (r["start"], r["end"], r["entity_type"])
     assert sorted(map(key, rows)) == sorted(map(key, found(spark, replace(spec, segment_chars=0), text)))
     assert spec_from({"analyser_section": {"chunk_size_chars": 12345}}).segment_chars == 12345
+    assert spec_from({"analyser_section": {"chunk_exact": True}}).exact_cuts and not spec_from({}).exact_cuts
+
+
+def _cut_sensitive():
+    """Digit groups without an end, a URL over several segments, words far longer than the margin between a number and its context word."""
+    far = " ".join("w" * 3000 for _ in range(6))
+    after = "v" * 2500
+    return "".join((
+        "😀 " + "1234 5678 9012 " * 300,
+        "+91 98765-43210 " * 60 + "98765" * 200 + " ",
+        "see https://example.org/" + "a" * 4000 + "?q=1 then 10.1.2.3 ",
+        f"passport {far} M1234567 é {far} ",
+        f"K7654321 {after} passport {after} A1234567 ",
+        "x" * 1990 + "@" + "y" * 900 + ".example.com " + "ABCDE1234F " * 50,
+        "2024-01-" + "02-" * 500 + " card 4111 1111 1111 1111 4111 1111 1111 1111 " * 20,
+    ))
+
+
+@pytest.fixture(scope="module")
+def cut_sensitive_rows(spark):
+    key = lambda r: (r["start"], r["end"], r["entity_type"], round(r["score"], 6), r["value"], r["snippet"])
+    text, spec = _cut_sensitive(), ScanSpec(RuleSet(score_threshold=0.0), overlap_chars=40, exact_cuts=True)
+    return key, text, spec, sorted(map(key, found(spark, replace(spec, segment_chars=0), text)))
+
+
+@pytest.mark.parametrize("size", [1, 1000, 20000])
+def test_cuts_change_nothing_even_where_matches_and_context_pass_them(spark, cut_sensitive_rows, size):
+    key, text, spec, whole = cut_sensitive_rows
+    assert {"URL", "PHONE_NUMBER", "IN_PASSPORT", "EMAIL_ADDRESS", "CREDIT_CARD"} <= {r[2] for r in whole}
+    assert sorted(map(key, found(spark, replace(spec, segment_chars=size), text))) == whole
+
+
+def test_a_text_above_the_default_chunk_size_is_scanned_as_a_whole_one(spark):
+    text = "x " * 70000 + _cut_sensitive() + "passport " + "w" * 210000 + " M1234567"
+    spec = ScanSpec(RuleSet(score_threshold=0.0), exact_cuts=True)
+    key = lambda r: (r["start"], r["end"], r["entity_type"], round(r["score"], 6))
+    rows = sorted(map(key, found(spark, spec, text)))
+    assert len(text) > 2 * spec.segment_chars and rows == sorted(map(key, found(spark, replace(spec, segment_chars=0), text)))
+    assert [r[3] for r in rows if r[2] == "IN_PASSPORT"][-1] == 0.9
 
 
 def test_windows_wider_than_a_segment(spark):

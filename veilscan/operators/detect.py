@@ -1,6 +1,6 @@
-"""Detection: all recognisers, checks, boosts, thresholds and rules over one segment, as one array column.
+"""Detection: all recognisers, checks, boosts, thresholds and rules over one text, as one array column.
 
-Everything happens inside the row that holds the segment, so the whole chain runs without a shuffle.
+Everything happens inside the row that holds the text, so the whole chain runs without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.context import boosted, near_word
-from ..functions.spans import regex_spans
+from ..functions.spans import NO_SPANS, regex_spans
 from ..functions.sqltext import all_of, any_of, around, let, text_literal
 from ..rules import RuleSet
 from .postprocess import ENTITY_PRIORITY, passes_allow_list, passes_rule
 from .recognisers import ModelRecogniser, Pattern, Recogniser
-from .segments import SEGMENT_COLUMNS
+from .segments import explode_segments
 
 AnyRecogniser = Recogniser | ModelRecogniser
 
@@ -102,10 +102,9 @@ def _surviving(
     return hits if isinstance(score, float) else f"filter({hits}, h -> -h.neg_score >= {_number(floor)})"
 
 
-def pattern_hits(pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str | None:
-    """The surviving spans of one pattern in the segment columns ``body``, ``lo`` and ``hi``."""
-    found = regex_spans("body", pattern.jvm_regex)
-    return _surviving(found, rec.entity, rec, pattern.name, pattern.score, ordinal, rules, options)
+def pattern_hits(spans: str, pattern: Pattern, rec: Recogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str | None:
+    """The surviving spans among those a pattern has in the segment columns ``body``, ``lo`` and ``hi``."""
+    return _surviving(spans, rec.entity, rec, pattern.name, pattern.score, ordinal, rules, options)
 
 
 def model_hits(column: str, entity: str, rec: ModelRecogniser, ordinal: int, rules: RuleSet, options: DetectOptions) -> str | None:
@@ -126,18 +125,18 @@ def same_span_winners(hits: str) -> str:
     return let(hits, "raw", f"CASE WHEN size(raw) < 2 THEN raw ELSE {let('sort_array(raw)', 'o', first)} END")
 
 
-def gate_columns(patterns: list[Pattern]) -> dict[str, str]:
-    """Cheap per-segment facts that let most segments skip most patterns, computed once each."""
+def gate_columns(patterns: list[Pattern], body: str = "body") -> dict[str, str]:
+    """Cheap facts of a text that let most texts skip most patterns, computed once each."""
     words = {p.needs for p in patterns if isinstance(p.needs, str)}
     gates = {}
     if any(isinstance(p.needs, int) for p in patterns):
         # A lower bound of the longest digit run, in the steps the patterns ask for.
         gates["_run"] = (
-            r"CASE WHEN NOT body RLIKE '(?U)\\d' THEN 0 WHEN NOT body RLIKE '(?U)\\d{4}' THEN 1 "
-            r"WHEN NOT body RLIKE '(?U)\\d{6}' THEN 4 ELSE 6 END"
+            rf"CASE WHEN NOT {body} RLIKE '(?U)\\d' THEN 0 WHEN NOT {body} RLIKE '(?U)\\d{{4}}' THEN 1 "
+            rf"WHEN NOT {body} RLIKE '(?U)\\d{{6}}' THEN 4 ELSE 6 END"
         )
     for i, word in enumerate(sorted(words)):
-        haystack = "body" if word.upper() == word.lower() else "lower(body)"
+        haystack = body if word.upper() == word.lower() else f"lower({body})"
         gates[f"_has{i}"] = f"contains({haystack}, {text_literal(word)})"
     return gates
 
@@ -151,47 +150,68 @@ def gate_of(pattern: Pattern, gates: dict[str, str]) -> str | None:
     return next(name for name, sql in gates.items() if sql.endswith(f", {text_literal(pattern.needs)})"))
 
 
-def _gated(hits: str, pattern: Pattern, gates: dict[str, str]) -> str:
+def _gated(found: str, pattern: Pattern, gates: dict[str, str], nothing: str) -> str:
     test = gate_of(pattern, gates)
-    return hits if test is None else f"CASE WHEN {test} THEN {hits} ELSE cast(array() AS {HIT_TYPE}) END"
+    return found if test is None else f"CASE WHEN {test} THEN {found} ELSE {nothing} END"
 
 
 def detect(
-    segments: DataFrame,
+    records: DataFrame,
+    text: str,
     recognisers: list[Recogniser],
     rules: RuleSet,
     options: DetectOptions = DetectOptions(),
     models: tuple[ModelRecogniser, ...] = (),
+    segment_chars: int = 0,
+    margin_chars: int = 0,
     markers: bool = False,
+    exact_cuts: bool = False,
 ) -> DataFrame:
-    """One row per surviving span; ``start`` and ``end`` refer to the whole text.
+    """One row per surviving span of the text column; ``start`` and ``end`` are offsets in the text.
 
-    ``segments`` has the columns of :func:`explode_segments`; its other columns are carried along. With ``markers`` a segment without
-    a core gives one row without an entity.
+    The other columns are carried along. Texts longer than ``segment_chars`` (zero: none) are cut. With ``exact_cuts`` patterns run
+    over such a text before it is cut for what is decided per span, so rows equal those of an uncut text; this doubles the plan and
+    costs time where texts are short. Models see one segment at a time either way. With ``markers`` each record gives one more row,
+    without an entity.
     """
-    others = [c for c in segments.columns if c not in SEGMENT_COLUMNS]
+    others = [c for c in records.columns if c != text]
     patterns = [(p, r) for r in recognisers for p in r.patterns]
-    hits_of = [(p, pattern_hits(p, r, i, rules, options)) for i, (p, r) in enumerate(patterns)]
-    live = [(p, hits) for p, hits in hits_of if hits is not None]
-    gates = gate_columns([p for p, _ in live])
-    parts = [f"cast(array() AS {HIT_TYPE})", *(_gated(hits, p, gates) for p, hits in live)]
+    cuts = exact_cuts and segment_chars > 0
+
+    def spans_in_body(i: int, pattern: Pattern) -> str:
+        own = regex_spans("body", pattern.jvm_regex)
+        return f"CASE WHEN _spans{i} IS NULL THEN {own} ELSE _spans{i} END" if cuts else own
+
+    hits_of = [(p, pattern_hits(spans_in_body(i, p), p, r, i, rules, options)) for i, (p, r) in enumerate(patterns)]
+    live = [(i, p, hits) for i, (p, hits) in enumerate(hits_of) if hits is not None]
+    gates = gate_columns([p for _, p, _ in live], f"`{text}`" if cuts else "body")
+    parts = [f"cast(array() AS {HIT_TYPE})", *(_gated(hits, p, gates, f"cast(array() AS {HIT_TYPE})") for _, p, hits in live)]
     for m, model in enumerate(models):
         by_entity = (model_hits(f"_model{m}", e, model, len(patterns) + m, rules, options) for e in model.entities if rules.wants(e))
         parts += [hits for hits in by_entity if hits is not None]
     found = f"concat({', '.join(parts)})"
 
-    gated = segments.select(
-        "*",
-        *(F.expr(sql).alias(name) for name, sql in gates.items()),
-        *(model.find(F.col("body")).alias(f"_model{m}") for m, model in enumerate(models)),
-    )
-    if gates and not models and all(p.needs is not None for p, _ in live):
+    gate_facts = [F.expr(sql).alias(name) for name, sql in gates.items()]
+    if cuts:
+        # The spans of texts that are cut; all others have theirs found where they are used, which copies nothing.
+        spans_of = {
+            f"_spans{i}": f"CASE WHEN length(`{text}`) > {segment_chars} THEN {_gated(regex_spans(f'`{text}`', p.jvm_regex), p, gates, NO_SPANS)} END"
+            for i, p, _ in live
+        }
+        placed = records.select("*", *gate_facts).select("*", *(F.expr(sql).alias(name) for name, sql in spans_of.items()))
+        before, after = (options.boost.before, options.boost.after) if options.boost.enabled else (0, 0)
+        segments = explode_segments(placed, text, segment_chars, margin_chars, list(spans_of), before, after, markers)
+    else:
+        segments = explode_segments(records, text, segment_chars, margin_chars, markers=markers).select("*", *gate_facts)
+    if models:
+        segments = segments.select("*", *(model.find(F.col("body")).alias(f"_model{m}") for m, model in enumerate(models)))
+    elif gates and all(p.needs is not None for _, p, _ in live):
         open_gates = any_of(["_run > 0"] * ("_run" in gates) + [g for g in gates if g != "_run"])
-        gated = gated.filter(f"{open_gates} OR lo < 0" if markers else open_gates)
+        segments = segments.filter(f"{open_gates} OR lo < 0" if markers else open_gates)
     # inline_outer, because the optimizer would evaluate the whole chain a second time to pre-filter inline.
     hits = same_span_winners(found) if options.resolve else found
     kept = F.col("entity").isNotNull() | (F.col("lo") < 0) if markers else F.col("entity").isNotNull()
-    spans = gated.select(*others, "base", *(["lo"] if markers else []), F.expr(f"inline_outer({hits})")).filter(kept)
+    spans = segments.select(*others, "base", *(["lo"] if markers else []), F.expr(f"inline_outer({hits})")).filter(kept)
     return spans.select(
         *others,
         F.col("entity").alias("entity_type"),

@@ -38,6 +38,7 @@ DEFAULTS: dict[str, Any] = {
         "context_words": [],
         "chunk_size_chars": 200000,
         "chunk_overlap_chars": 500,
+        "chunk_exact": False,
         "context_enhancer": {
             "enabled": True,
             "context_similarity_factor": 0.35,
@@ -76,6 +77,8 @@ class ScanSpec:
     detect: DetectOptions = DetectOptions()
     # Texts up to this length are scanned whole, longer ones in cores of it. Zero or less keeps all texts whole.
     segment_chars: int = 200000
+    # Cut texts give the rows of whole ones, whatever the length of matches and context; costs time on short texts.
+    exact_cuts: bool = False
     overlap_chars: int = 500
     extra_recognisers: tuple[Recogniser, ...] = ()
     models: tuple[ModelRecogniser, ...] = ()
@@ -212,6 +215,7 @@ def spec_from(config: Mapping[str, Any], config_dir: str = ".") -> ScanSpec:
             snippet_chars=int(output["snippet_context_chars"]) if output["include_text_snippet"] else None,
         ),
         segment_chars=max(chunk, 0),
+        exact_cuts=bool(analyser["chunk_exact"]),
         overlap_chars=max(ScanSpec.overlap_chars, overlap),
         locations=_locations(merged),
         files=FileOutput(

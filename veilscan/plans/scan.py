@@ -14,7 +14,6 @@ from ..operators.detect import detect
 from ..operators.findings import in_report_order, to_findings
 from ..operators.recognisers import select_recognisers
 from ..operators.report import global_stats, plugin_summary, source_rows, sources_report
-from ..operators.segments import explode_marked_segments, explode_segments
 from ..schemas import ERROR, FINDING_COLUMNS, SOURCE
 from ..sources.databases import DatabaseLister, TableReader, catalog_tables, database_findings, read_databases
 from ..sources.files import read_files
@@ -22,13 +21,16 @@ from ..sources.records import status_row, union_all
 from .config import ScanSpec
 
 
-def scan_text(table: DataFrame, text: str, spec: ScanSpec) -> DataFrame:
-    """Spans of one text column; the other columns of the table are carried along."""
+def _detect(table: DataFrame, text: str, spec: ScanSpec, markers: bool = False) -> DataFrame:
     # A core is never shorter than the margin, which must hold the widest window of any rule.
     size = max(spec.segment_chars, spec.margin_chars) if spec.segment_chars > 0 else 0
-    segments = explode_segments(table, text, size, spec.margin_chars)
     recognisers = select_recognisers(spec.rules, spec.extra_recognisers)
-    return detect(segments, recognisers, spec.rules, spec.detect, spec.models)
+    return detect(table, text, recognisers, spec.rules, spec.detect, spec.models, size, spec.margin_chars, markers, spec.exact_cuts)
+
+
+def scan_text(table: DataFrame, text: str, spec: ScanSpec) -> DataFrame:
+    """Spans of one text column; the other columns of the table are carried along."""
+    return _detect(table, text, spec)
 
 
 def find_in_records(records: DataFrame, spec: ScanSpec) -> DataFrame:
@@ -40,10 +42,8 @@ def find_in_records(records: DataFrame, spec: ScanSpec) -> DataFrame:
 
 def find_with_status(records: DataFrame, spec: ScanSpec) -> DataFrame:
     """The findings of the records and a row per record, from one pass: finding rows have an entity type, record rows don't; all carry record_type and reason."""
-    size = max(spec.segment_chars, spec.margin_chars) if spec.segment_chars > 0 else 0
-    segments = explode_marked_segments(records, "text", size, spec.margin_chars, f"record_type = '{SOURCE}'")
-    recognisers = select_recognisers(spec.rules, spec.extra_recognisers)
-    spans = detect(segments, recognisers, spec.rules, spec.detect, spec.models, markers=True)
+    scanned = records.withColumn("text", F.when(F.col("record_type") == SOURCE, F.col("text")))
+    spans = _detect(scanned, "text", spec, markers=True)
     return to_findings(spans, "record_type", "reason")
 
 
