@@ -6,6 +6,7 @@ from fixtures import EXPORT, HARMLESS, PROFILE
 from pyspark.sql import functions as F
 
 from suite.docx_build import docx_bytes
+from suite.queries import QUERIES
 from veilscan.operators import columns as cols
 from veilscan.operators.recognisers import general_recognisers, india_recognisers
 from veilscan.plans.config import ScanSpec, load_spec, output_location, rules_for, spec_from
@@ -15,7 +16,7 @@ from veilscan.sources.databases import catalog_tables, database_findings, read_d
 from veilscan.sources.docx import document_text
 from veilscan.sources.files import FileOutput, Location, read_files
 from veilscan.sources.listing import contents, directories, listed_files, opens
-from veilscan.sources.records import text_records, union_all
+from veilscan.sources.records import SLIM_ROWS, spread_slim, text_records, union_all
 from veilscan.streaming.scan import stream_findings
 
 
@@ -489,3 +490,31 @@ def test_datasets_below_the_report_path_are_not_read(spark, tmp_path):
     put(str(tmp_path), "in/report/findings/part-0.json", PROFILE)
     out = FileOutput(report_path=str(tmp_path / "in/report"))
     assert read_files(spark, [Location("a", (str(tmp_path / "in"),))], out).count() == 1
+
+
+@pytest.fixture(scope="module")
+def many_orders(spark, tmp_path_factory):
+    """One file and one split with more rows than the cores take at SLIM_ROWS each."""
+    place = str(tmp_path_factory.mktemp("orders"))
+    rows = (spark.sparkContext.defaultParallelism + 2) * SLIM_ROWS - 1
+    table = spark.range(rows).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority", "timestamp'1996-01-02' AS o_orderdate")
+    table.coalesce(1).write.parquet(f"{place}/orders.parquet")
+    return place
+
+
+@pytest.mark.parametrize("name", ["scan_order_text"])
+def test_order_scans_have_a_task_per_slim_rows(spark, many_orders, name):
+    assert QUERIES[name](spark, many_orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 2
+
+
+def test_slim_rows_are_dealt_whole_and_evenly(spark, many_orders):
+    cores = spark.sparkContext.defaultParallelism
+    orders = spark.read.parquet(f"{many_orders}/orders.parquet")
+    dealt = spread_slim(orders, "o_orderkey")
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == cores + 2 and sum(sizes) == (cores + 2) * SLIM_ROWS - 1 and max(sizes) < 1.1 * SLIM_ROWS
+    assert dealt.exceptAll(orders).count() == 0
+    # few rows go to all cores; enough splits stay as they are
+    assert spread_slim(orders.limit(10), "o_orderkey").rdd.getNumPartitions() == cores
+    assert spread_slim(spark.range(0, 10, 1, cores + 3), "id").rdd.getNumPartitions() == cores + 3
+    assert spread_slim(orders.filter("false"), "o_orderkey").count() == 0
