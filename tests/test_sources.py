@@ -502,7 +502,7 @@ def many_orders(spark, tmp_path_factory):
     return place
 
 
-@pytest.mark.parametrize("name", ["scan_order_text"])
+@pytest.mark.parametrize("name", ["scan_order_text", "dedup_spans_best_score"])
 def test_order_scans_have_a_task_per_slim_rows(spark, many_orders, name):
     assert QUERIES[name](spark, many_orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 2
 
@@ -518,3 +518,10 @@ def test_slim_rows_are_dealt_whole_and_evenly(spark, many_orders):
     assert spread_slim(orders.limit(10), "o_orderkey").rdd.getNumPartitions() == cores
     assert spread_slim(spark.range(0, 10, 1, cores + 3), "id").rdd.getNumPartitions() == cores + 3
     assert spread_slim(orders.filter("false"), "o_orderkey").count() == 0
+
+
+@pytest.mark.parametrize("name", ["dedup_spans_best_score"])
+def test_span_windows_use_the_dealing_of_the_orders(spark, many_orders, name, capsys):
+    QUERIES[name](spark, many_orders).explain()
+    plan = capsys.readouterr().out
+    assert "Window " in plan and plan.count("Exchange ") == 1
