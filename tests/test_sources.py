@@ -502,7 +502,7 @@ def many_orders(spark, tmp_path_factory):
     return place
 
 
-@pytest.mark.parametrize("name", ["scan_order_text", "dedup_spans_best_score"])
+@pytest.mark.parametrize("name", ["scan_order_text", "dedup_spans_best_score", "same_span_winner"])
 def test_order_scans_have_a_task_per_slim_rows(spark, many_orders, name):
     assert QUERIES[name](spark, many_orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 2
 
@@ -520,7 +520,7 @@ def test_slim_rows_are_dealt_whole_and_evenly(spark, many_orders):
     assert spread_slim(orders.filter("false"), "o_orderkey").count() == 0
 
 
-@pytest.mark.parametrize("name", ["dedup_spans_best_score"])
+@pytest.mark.parametrize("name", ["dedup_spans_best_score", "same_span_winner"])
 def test_span_windows_use_the_dealing_of_the_orders(spark, many_orders, name, capsys):
     QUERIES[name](spark, many_orders).explain()
     plan = capsys.readouterr().out
