@@ -502,7 +502,7 @@ def many_orders(spark, tmp_path_factory):
     return place
 
 
-@pytest.mark.parametrize("name", ["scan_order_text", "dedup_spans_best_score", "same_span_winner", "same_span_winner_in_row"])
+@pytest.mark.parametrize("name", ["scan_order_text", "dedup_spans_best_score", "same_span_winner", "same_span_winner_in_row", "scan_order_text_prod"])
 def test_order_scans_have_a_task_per_slim_rows(spark, many_orders, name):
     assert QUERIES[name](spark, many_orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 2
 
