@@ -1,6 +1,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from fixtures import EXPORT, HARMLESS, PROFILE
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from veilscan.operators import columns as cols
 from veilscan.operators.recognisers import general_recognisers, india_recognisers
 from veilscan.plans.config import ScanSpec, load_spec, output_location, rules_for, spec_from
 from veilscan.plans.scan import scan_all, scan_files, scan_records
+from veilscan.sources import docx
 from veilscan.sources import tables as tb
 from veilscan.sources.databases import catalog_tables, database_findings, read_databases
 from veilscan.sources.docx import document_text
 from veilscan.sources.files import FileOutput, Location, read_files
 from veilscan.sources.listing import contents, directories, listed_files, opens
-from veilscan.sources.records import SLIM_ROWS, spread_slim, text_records, union_all
+from veilscan.sources.records import PYTHON_BATCH, SLIM_ROWS, small_batches, spread_slim, text_records, union_all
 from veilscan.streaming.scan import stream_findings
 
 
@@ -525,3 +527,38 @@ def test_span_windows_use_the_dealing_of_the_orders(spark, many_orders, name, ca
     QUERIES[name](spark, many_orders).explain()
     plan = capsys.readouterr().out
     assert "Window " in plan and plan.count("Exchange ") == 1
+
+
+BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_docx_workers_hold_small_batches(spark, monkeypatch):
+    spark.conf.unset(BATCH_BOUND)
+    extract = docx.extract_documents
+
+    def measured(batches):
+        for batch in batches:
+            size = sum(map(len, batch["content"]))
+            for out in extract(iter([batch])):
+                yield out.assign(size=size)
+
+    monkeypatch.setattr(docx, "extract_documents", measured)
+    content = docx_bytes("Customer PAN ABCDE1234F\n" * 400)
+    files = spark.createDataFrame(pd.DataFrame({"id": range(1500), "content": [content] * 1500})).coalesce(1)
+    rows = docx.extracted(files, "id long, text string, error string, size long").collect()
+    assert sorted(r["id"] for r in rows) == list(range(1500)) and all(r["text"] == "Customer PAN ABCDE1234F\n" * 400 for r in rows)
+    assert len(content) * 1500 > 10 * PYTHON_BATCH and max(r["size"] for r in rows) < 1.5 * PYTHON_BATCH
+
+
+def test_docx_query_bounds_its_batches(spark):
+    spark.conf.unset(BATCH_BOUND)
+    QUERIES["docx_extract"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(BATCH_BOUND) == str(PYTHON_BATCH)
+
+
+@pytest.mark.parametrize(("given", "kept"), [("64m", False), ("67108864b", False), ("5MB", False), ("4m", True), ("512k", True), ("1000", True)])
+def test_a_smaller_batch_bound_is_kept(spark, given, kept):
+    spark.conf.set(BATCH_BOUND, given)
+    small_batches(spark.range(1))
+    assert spark.conf.get(BATCH_BOUND) == (given if kept else str(PYTHON_BATCH))
+    spark.conf.unset(BATCH_BOUND)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.records import small_batches  # noqa: F401 - the operators take it from here
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset and all tasks run on this machine, as in tests, is a temporary one set."""
@@ -21,16 +23,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-ARROW_BATCH = 4 << 20
-
-
-def small_batches(frame: DataFrame) -> None:
-    """Lets at most ARROW_BATCH bytes of rows travel to a Python task at once (Spark's own bound is 64 MB), so that a task's memory follows its longest text and not its batch."""
-    conf = frame.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BATCH:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
-
-
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: a lost executor costs no earlier stage."""
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
