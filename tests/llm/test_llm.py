@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,7 +28,7 @@ from veilscan.llm.oracles import ORACLES
 from veilscan.llm.quality import quality_scores
 from veilscan.llm.queries import QUERIES
 from veilscan.llm.sharding import byte_shards, sharded
-from veilscan.llm.suffix_dedup import Found, MatchSettings, SuffixFamily, _same, _settle, without_repeats
+from veilscan.llm.suffix_dedup import Found, MatchSettings, SuffixFamily, _same, _settle, anchor_runs, block_runs, without_repeats
 from veilscan.llm.token_counts import REDACTED, PreTokenCounts, PreTokenTree, apply_edits, edited_counts, pre_token_trees, read_ranks, redaction_edits
 from veilscan.llm.toxicity import toxicity
 
@@ -388,6 +390,63 @@ def test_runs_compared_by_eights():
     assert _same(found, rows, others).tolist() == [texts[a] == texts[b] for a, b in zip(rows, others, strict=True)]
 
 
+def test_suffix_dedup_leaves_no_shuffle_behind(docs):
+    """What the jobs before the result have shuffled is gone when they are done; only the sum of the texts' bytes may stay."""
+    blocks = docs.sparkSession._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        names = {files.apply(k).getPath() for k in range(files.size())}
+        return {n: os.path.getsize(n) for n in names if os.path.basename(n).startswith("shuffle_") and os.path.exists(n)}
+
+    before = shuffled()
+    without_repeats(docs)
+    for _ in range(40):
+        left = sum(size for n, size in shuffled().items() if n not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.25)
+    assert left < 20_000
+
+
+def test_long_equal_passages_have_equal_blocks():
+    draw, settings = random.Random(21), MatchSettings()
+    some = lambda n: bytes(draw.randrange(97, 123) for _ in range(n))
+    passage = some(5000)
+    texts = [passage, b"", some(700) + passage + some(90), b"a" * 49, b"a" * 50, some(61) + passage, b"ab" * 3000]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    blocks, skipped = block_runs(data, offsets, settings), np.zeros(len(data), dtype=bool)
+    for i, t in enumerate(texts):  # each string stands in one block
+        mine = blocks.text == i
+        assert np.concatenate([[0], np.cumsum(blocks.count[mine])])[:-1].tolist() == blocks.start[mine].tolist()
+        assert blocks.count[mine].sum() == max(len(t) - 49, 0)
+    first = set(blocks.anchor[blocks.text == 0].tolist())
+    for i in (2, 5):
+        again = np.array([i == t and a in first for t, a in zip(blocks.text, blocks.anchor.tolist(), strict=True)])
+        assert blocks.count[again].sum() > 3500
+        for s, n in zip(blocks.start[again], blocks.count[again], strict=True):
+            assert texts[i][s : s + n + 49] in passage
+            skipped[offsets[i] + s : offsets[i] + s + n] = True
+    runs, whole = (anchor_runs(data, offsets, settings, x) for x in (skipped, None))
+    spread = lambda r: {(t, s + k): a for t, s, n, a in zip(r.text, r.start, r.count, r.anchor, strict=True) for k in range(n)}
+    assert spread(runs) == {(t, s): a for (t, s), a in spread(whole).items() if not skipped[offsets[t] + s]}
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_suffix_dedup_of_long_passages_in_many_documents(spark, partitions):
+    """Passages that are settled as blocks, between neighbours that are not, in documents of any order; ids that several texts share."""
+    draw = random.Random(22)
+    some = lambda n: "".join(chr(draw.randrange(97, 123)) for _ in range(n))
+    passages = [some(n) for n in (60, 300, 1500, 4000)]
+    rows = {draw.getrandbits(62): " ".join(draw.choice(passages)[draw.choice((0, 0, 37)) :] + some(draw.randrange(90)) for _ in range(draw.randint(1, 5))) for _ in range(120)}
+    rows |= {-7: passages[3] * 2, 5: passages[2]}
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(partitions)
+    got = without_repeats(table).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == repeats(rows)
+    two = spark.createDataFrame([(1, passages[3]), (1, passages[3][500:] + some(80)), (2, passages[3])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in without_repeats(two).collect()) == [(1, 0), (1, 0), (2, 4000)]
+
+
 def test_patience():
     assert patience([9, 1, 2, 7, 3, 4, 9], [1, 2, 3, 4]) == [(1, 0), (2, 1), (4, 2), (5, 3)]
     assert patience([], [1]) == [] == patience([5, 5], [1, 2])
